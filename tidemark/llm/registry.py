@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules, secret_scans, simhash, url_filters
+from . import packing, quality_classifier, quality_rules, secret_scans, simhash, substring_dedup, url_filters
 
-MODULES = (quality_classifier, simhash, secret_scans, url_filters, quality_rules)
+MODULES = (quality_classifier, simhash, secret_scans, url_filters, quality_rules, packing, substring_dedup)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
