@@ -150,7 +150,7 @@ def learn(x: np.ndarray, parts: int, k: int = K, recall: float = RECALL) -> Rout
 def _nearest(k: int):
     """Per query of a block, the ``k`` nearest candidates by exact distance; ties to the smaller id."""
 
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"rep": [], "vec_id": [], "score": []})
         q, x = (np.stack(side["vec"].to_numpy()).astype(np.float64) for side in (left, right))

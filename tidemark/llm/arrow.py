@@ -14,7 +14,10 @@ _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches and sends the package's source to the executors, once an application."""
+    """Bounds Arrow batches and sends the package's source to the executors, once an application.
+
+    Called before a Python column is made: it takes along the sources that are known at that time.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
@@ -27,3 +30,11 @@ def prepare(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

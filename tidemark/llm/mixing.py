@@ -3,8 +3,8 @@
 Token weights of (source, language, topic) cells are raked: in turn for each of the three dimensions, cells are scaled so
 that their sums meet that dimension's target shares. What a target does not name is one value, ``OTHER``, so there are
 at most as many cells as the product of the targets' sizes, whatever the corpus holds: cells are counted where the
-documents are, and only their sums are raked on the driver. A document is then kept with a probability in proportion to
-its cell's factor; the cell with the largest factor is kept whole. The draw hashes the id, so it is repeatable and
+documents are, and only their sums are raked on the driver. A document is then kept with a probability of ``KEEP`` times
+its cell's factor, at most 1: nothing is repeated, so cells that are too rare to meet their target are kept whole. The draw hashes the id, so it is repeatable and
 independent of how rows are spread.
 
 A null id is drawn as the empty string; a null source, language or text counts as ``OTHER``, as ``OTHER`` and as no tokens.
@@ -25,6 +25,8 @@ from .words import WORD_RE
 OTHER = "*"
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 20
+#: The share of all tokens to keep.
+KEEP = 0.8
 #: The production targets, as shares of tokens.
 TARGETS = {
     "source": {"src0": 0.25, "src1": 0.05, "src2": 0.05, OTHER: 0.65},
@@ -85,15 +87,14 @@ def with_other(targets: dict[str, dict[str, float]]) -> dict[str, dict[str, floa
     return {d: s if OTHER in s else {**s, OTHER: 0.0} for d, s in targets.items()}
 
 
-def calibrate(docs: DataFrame, values: dict[str, Column], tokens: Column, targets: dict[str, dict[str, float]], rounds: int = ROUNDS) -> Mixture:
+def calibrate(docs: DataFrame, values: dict[str, Column], tokens: Column, targets: dict[str, dict[str, float]], keep: float = KEEP, rounds: int = ROUNDS) -> Mixture:
     """Counts tokens by cell and rakes them. The cells that reach the driver are bounded by ``targets``."""
     targets = with_other(targets)
     weights = np.zeros([len(s) for s in targets.values()])
     for row in docs.groupBy(*[fold(values[d], s).alias(d) for d, s in targets.items()]).agg(F.sum(tokens).alias("n")).collect():
         weights[tuple(list(s).index(row[d]) for d, s in targets.items())] = row.n or 0
     factor = rake(weights, [np.array(list(s.values())) for s in targets.values()], rounds)
-    most = factor[weights > 0].max(initial=0)
-    return Mixture(targets, np.where(weights > 0, np.minimum(factor / most, 1), 1) if most else np.ones(weights.shape))
+    return Mixture(targets, np.minimum(keep * factor, 1))
 
 
 def draw(doc_id: Column) -> Column:
@@ -101,23 +102,23 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substr(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("double") / float(2**32)
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` (doc_id, text, source, lang and any more) with tokens, topic, keep_probability and kept."""
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]], keep: float = KEEP, rounds: int = ROUNDS) -> tuple[Column, Column, Column]:
+    """Of ``docs`` (doc_id, text, source, lang and any more): columns of tokens, topic and probability to be kept."""
     topic, tokens = topic_of(F.coalesce("text", F.lit(""))), tokens_of(F.col("text"))
     values = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
-    probability = calibrate(docs, values, tokens, targets, rounds).column(values)
-    out = docs.withColumns({"_tokens": tokens, "_topic": topic, "_p": probability})
-    return out.withColumn("_kept", draw(F.col("doc_id")) < F.col("_p"))
+    probability = calibrate(docs, values, tokens, targets, keep, rounds).column(values)
+    return tokens, topic, probability
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
     """The sampled rows of ``docs``, with its columns."""
-    return mix(docs, targets).where("_kept").select(*docs.columns)
+    return docs.where(draw(F.col("doc_id")) < mix(docs, targets)[2])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), TARGETS)
-    return docs.select("doc_id", F.col("_tokens").alias("tokens"), F.col("_topic").alias("topic"), F.round("_p", 6).alias("keep_probability"), F.col("_kept").alias("kept"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    tokens, topic, p = mix(docs, TARGETS)
+    return docs.select("doc_id", tokens.alias("tokens"), topic.alias("topic"), F.round(p, 6).alias("keep_probability"), (draw(F.col("doc_id")) < p).alias("kept"))
 
 
 def _oracle() -> str:
@@ -142,7 +143,7 @@ f{k + 1} AS MATERIALIZED (SELECT source, lang, topic, n, f * coalesce(s, 1) AS f
             k += 1
     return (
         "WITH " + ",\n".join(steps) + f""",
-p AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN n > 0 THEN least(f / (SELECT max(f) FROM f{k} WHERE n > 0), 1) ELSE 1 END AS p FROM f{k})
+p AS MATERIALIZED (SELECT source, lang, topic, least({KEEP} * f, 1) AS p FROM f{k})
 SELECT doc_id, tokens, topic, round(p, 6) AS keep_probability,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < p AS kept
 FROM d JOIN p USING (source, lang, topic)"""

@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tokenizers import Tokenizer
 
-from .arrow import prepare, table
+from .arrow import fresh, prepare, table
 from .scratch import Scratch
 
 CAPACITY, END = 1024, 2
@@ -116,19 +116,20 @@ def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def pack(parts: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
     """``parts``, which have a ``length`` of 1 to ``capacity``, with ``sequence_id`` and ``offset`` more."""
     # the row's place in a written table: it deals pieces out evenly even if all keys are equal
-    numbered = scratch.cut(parts.withColumn("_row", F.monotonically_increasing_id()))
+    row, shard = fresh(parts, "_row"), fresh(parts, "_shard")
+    numbered = scratch.cut(parts.withColumn(row, F.monotonically_increasing_id()))
     full, short = numbered.where(F.col("length") == capacity), numbered.where(F.col("length") < capacity)
     shards = max(1, math.ceil(short.count() / SHARD))
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_row", ignore_index=True)
+        pdf = pdf.sort_values(row, ignore_index=True)
         sequence, offset = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=(key[0] << 32) + sequence, offset=offset).drop(columns=["_row", "_shard"])
+        return pdf.assign(sequence_id=(key[0] << 32) + sequence, offset=offset).drop(columns=[row, shard])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
-    dealt = short.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
-    whole = full.select(*parts.columns, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return whole.unionByName(dealt.groupBy("_shard").applyInPandas(place, schema))
+    dealt = short.withColumn(shard, F.pmod(F.xxhash64(row), F.lit(shards)))
+    whole = full.select(*parts.columns, (-1 - F.col(row)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return whole.unionByName(dealt.groupBy(shard).applyInPandas(place, schema))
 
 
 def pack_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:

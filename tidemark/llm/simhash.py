@@ -29,7 +29,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from .arrow import prepare, table
+from .arrow import fresh, prepare, table
 from .graph import connected_components
 from .scratch import Scratch
 from .words import spans
@@ -196,7 +196,7 @@ def fingerprint_links(reps: DataFrame, threshold: int = THRESHOLD, bands: int =
                 rows, shard, member = top.route(fps)
                 yield pd.DataFrame({"shard": shard, "fp": pdf["fp"].to_numpy()[rows], "rep": pdf["rep"].to_numpy()[rows], "member": member})
 
-    def link(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         mask = masks[int(np.searchsorted(last, key[0], side="right"))]
         pdf = pdf.sort_values("rep", ignore_index=True)
         roots = link_shard(pdf["fp"].to_numpy().view(np.uint64), pdf["member"].to_numpy(bool), mask, radius, threshold)
@@ -223,9 +223,9 @@ def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     """``docs`` with one row of each group of near-duplicates: that of the smallest id. Rows with a null id stay."""
     classes = near_duplicates(docs, scratch, id_col, text_col)
     losers = classes.where(F.col(id_col) != F.col("component")).select(id_col).distinct()
-    kept = docs.join(losers, id_col, "left_anti")
+    kept, n = docs.join(losers, id_col, "left_anti"), fresh(docs, "_nth")
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
-    return kept.withColumn("_nth", nth).where((F.col("_nth") == 1) | F.col(id_col).isNull()).select(*docs.columns)
+    return kept.withColumn(n, nth).where((F.col(n) == 1) | F.col(id_col).isNull()).select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
