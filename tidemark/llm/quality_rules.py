@@ -18,6 +18,8 @@ from .words import SPACES, WORD_RE
 
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
+#: Domains whose verdicts are broadcast at most; more are joined by a shuffle, where hot ones are split at run time.
+BROADCAST_HOSTS = 100_000
 #: The shrunk failure rate above which a domain's documents go.
 MAX_RATE = 0.5
 
@@ -92,8 +94,10 @@ def host_verdicts(judged: DataFrame, host_col: str, failed_col: str, max_rate: f
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    stats = Scratch(spark).cut(text_stats(docs, "text", [F.col("doc_id"), F.col("source").alias("host")]).withColumn("base_failed", base_failed()))
-    hosts = host_verdicts(stats, "host", "base_failed").select("host", "host_kept")
+    scratch = Scratch(spark)
+    stats = scratch.cut(text_stats(docs, "text", [F.col("doc_id"), F.col("source").alias("host")]).withColumn("base_failed", base_failed()))
+    hosts = scratch.cut(host_verdicts(stats, "host", "base_failed").select("host", "host_kept"))
+    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
     kept = ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))
     return stats.join(hosts, "host", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
