@@ -1,0 +1,98 @@
+import html as entities
+from html.parser import HTMLParser
+
+from pyspark.sql import functions as F
+
+from tidemark.llm import warc
+from tidemark.llm.arrow import prepare
+
+PAGE = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>A &amp; B
+title</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x?a=1&amp;b=2">One</a></li>
+<li><a href='two'>Two</a></li></ul></nav><!-- no <p>ad</p> --><p>Hello <b>bold</b> world<br>next &lt;line&gt; &eacute;&#233;</p><p title="a > b">last</p><table><tr><td>c1</td><td>c2</td></tr></table></body></html>"""
+
+
+class Reader(HTMLParser):
+    """A plain reading of the same rules."""
+
+    SKIP = {"script", "style", "noscript", "template", "head"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.depth = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in self.SKIP
+        if tag in warc.BLOCKS and not self.depth:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in self.SKIP:
+            self.depth -= 1
+        elif tag in warc.BLOCKS and not self.depth:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.out.append(data.replace("\n", " "))
+
+
+def plainly(page):
+    r = Reader()
+    r.feed(page)
+    return "\n".join(x for line in "".join(r.out).split("\n") if (x := " ".join(line.split())))
+
+
+def test_plain_text_equals_a_parser(spark):
+    assert warc.plain_text(PAGE) == plainly(PAGE) == "One\nTwo\nHello bold world\nnext <line> éé\nlast\nc1\nc2"
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(250).collect()
+    same = sum(warc.plain_text(r.html) == plainly(r.html) for r in pages)
+    assert same == len(pages)
+
+
+def test_records_round_trip():
+    records = [warc.response_record(i, f"http://h.example/{i}", PAGE * i) for i in range(4)]
+    for data in (b"".join(records), warc.write_warc(records)):
+        back = list(warc.parse_records(data))
+        assert [warc.format_record(h, b) for h, b in back] == records
+        for h, b in back:
+            assert warc.header(h, "warc-block-digest") == warc.digest(b)
+            assert warc.header(h, "WARC-Payload-Digest") == warc.digest(b.partition(b"\r\n\r\n")[2])
+
+
+def test_derived_records_are_linked():
+    (headers, block), = warc.parse_records(warc.response_record(7, "http://h.example/é", PAGE))
+    (ch, cb), (mh, mb) = warc.derive(headers, block)
+    source = warc.header(headers, "WARC-Record-ID")
+    assert cb.decode() == warc.plain_text(PAGE)
+    for h, b in ((ch, cb), (mh, mb)):
+        assert warc.header(h, "WARC-Refers-To") == source
+        assert warc.header(h, "WARC-Target-URI") == "http://h.example/é" and warc.header(h, "WARC-Date") == warc.DATE
+        assert warc.header(h, "WARC-Block-Digest") == warc.digest(b)
+        assert list(warc.parse_records(warc.format_record(h, b)))[0][1] == b
+    fields = warc.parse_fields(mb)
+    assert warc.header(fields, "source-record-id") == source
+    assert warc.header(fields, "source-payload-digest") == warc.header(headers, "WARC-Payload-Digest")
+    assert warc.header(fields, "conversion-record-id") == warc.header(ch, "WARC-Record-ID")
+    assert warc.header(fields, "http-status") == "HTTP/1.1 200 OK"
+    assert warc.header(fields, "http-header-Content-Type") == "text/html; charset=utf-8"
+    assert warc.header(fields, "title") == "A & B title"
+    assert [v for k, v in fields if k == "outlink"] == ["/x?a=1&b=2", "two"]
+    assert warc.derive([("WARC-Type", "request"), ("WARC-Record-ID", "<x>")], b"") == []
+
+
+def test_rows(spark, tmp_path):
+    prepare(spark)
+    long = "<p>" + "x " * 300_000 + "</p>"
+    data = [(1, "http://a/", PAGE), (1, "http://a/", PAGE), (2, None, None), (None, "http://b/", ""), (3, "u", long)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").selectExpr("*", "'x' AS block", "1 AS record_type")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    rows = warc.op5_warc_derivatives(spark, str(tmp_path)).collect()
+    assert len(rows) == 10 and {r.record_type for r in rows} == {"conversion", "metadata"}
+    assert [len(r.block) for r in rows if r.page_id == 3 and r.record_type == "conversion"] == [599_999]
+    assert {r.target_uri for r in rows if r.page_id == 2} == {None}
+    assert len({r.record_id for r in rows if r.page_id == 1}) == 2
+    empty = pages.limit(0).select("page_id", warc.page_responses(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    assert warc.derivatives(empty).count() == 0
+    null = spark.createDataFrame([(1, None)], "page_id long, record binary")
+    assert warc.derivatives(null).count() == 0
+    assert entities.unescape("&amp;") == "&"
