@@ -78,7 +78,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
         fits = np.flatnonzero(count[s:capacity])
         if len(fits):
             # what the sum of squares changes by, less what is the same for all; a full sequence is open no more
-            change = -2 * count[s + fits] + np.where(fits > 0, 2 * count[fits] + 2, 0)
+            change = -2 * count[s + fits] + np.where(fits > 0, 2 * count[fits] + 1, 0)
             left = int(fits[change.argmin()])
             gap = s + left
             count[gap] -= 1
