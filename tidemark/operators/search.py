@@ -60,7 +60,7 @@ def search(
     if index is not None:
         segments = candidates(index, node, lambda t: query_terms(t, shortest, longest))
         if segments is not None:
-            found = found.join(segments, "segment_id", "left_semi")
+            found = found.join(segments, "segment_id", "left_semi").select(*messages.columns)
     found = found.where(matches(node, F.col("body")))
     return found.orderBy(*ORDER) if sort else found
 

@@ -42,7 +42,12 @@ class Store:
     def create_exclusively(self, path: str) -> bool:
         """Whether this call made the (empty) file: of several at once only one does."""
         fs, p = self._fs(path)
-        return fs.createNewFile(p)
+        try:
+            return fs.createNewFile(p)
+        except Exception:
+            if fs.exists(p):  # another call made it since it was looked for
+                return False
+            raise
 
     def read(self, name: str) -> DataFrame:
         if not self.exists(self.path(name)):

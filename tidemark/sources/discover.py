@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
 
 FILES = "file string, size long, modified timestamp"
 
@@ -10,14 +12,15 @@ FILES = "file string, size long, modified timestamp"
 def discover(spark: SparkSession, globs: list[str]) -> DataFrame:
     """``(file, size, modified)`` of all files that match, each once; contents are not read.
 
-    ``**`` stands for one level of folders, as ``*`` does. A pattern that nothing matches adds nothing.
+    ``**`` stands for one level of folders, as ``*`` does. Empty files count, folders do not. A pattern that nothing
+    matches adds nothing. The listing comes from the file system's own glob, as Spark's would.
     """
-    found = None
+    found = {}
     for pattern in globs:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern.replace("**", "*"))
-        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files = [s.getPath().toString() for s in fs.globStatus(hadoop) or [] if not s.isDirectory()]
-        if files:
-            rows = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(files).select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-            found = rows if found is None else found.unionByName(rows)
-    return spark.createDataFrame([], FILES) if found is None else found.dropDuplicates(["file"])
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern.replace("**", "*"))
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for s in fs.globStatus(path) or []:
+            if not s.isDirectory():
+                name = s.getPath().toString()
+                found[name] = (name, s.getLen(), datetime.fromtimestamp(s.getModificationTime() / 1000, timezone.utc))
+    return spark.createDataFrame(list(found.values()), FILES)
