@@ -11,8 +11,8 @@ with a smaller id goes.
 3. Windows with all bits set are grouped exactly, by a 96-bit hash. A task first groups its own: within a batch only the
    smallest document needs to be known elsewhere, so a passage of a third of all documents sends one entry a batch, and
    the others are already known to go. Entries travel sorted by hash in packed columns, a shard of the hash range each,
-   which takes about 14 bytes an entry instead of a row of 36.
-4. Positions to remove are gathered by document (as many as it has words at most) and joined back to the texts.
+   about 13 bytes an entry instead of a row of 36.
+4. Positions to remove travel packed in the same way, a bucket of documents each, and are joined back to the texts.
 
 Null text has no words. A null id has no order: its text neither loses words nor takes them from others. Rows of one id
 do not remove each other's words; each keeps its own positions, told apart by a 31-bit hash of its text. Repeated windows within
@@ -24,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .arrow import prepare, table
@@ -50,12 +51,12 @@ def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Integers byte plane by byte plane, lowest first: leading zeros become runs, which Spark's codec packs."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    """Integers byte plane by byte plane, lowest first, packed: higher planes hold few different bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes())
 
 
 def from_planes(data: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _sketch_parts(width: int, gather: int):
@@ -159,33 +160,63 @@ def _candidates(shared, width: int, shards: int, gather: int):
     return candidates
 
 
-def repeated_starts(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-    """Of a shard's entries, the window starts to remove by document: those whose window has a smaller document."""
-    h, g, doc, tkey, pos, out = [], [], [], [], [], []
+_STARTS = "bucket int, doc binary, pos binary, docs binary, tkeys binary"
+
+
+def _numbered(doc: np.ndarray, tkey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of (doc, tkey): where each pair begins, and every row's pair."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tkey[1:] != tkey[:-1])
+    return np.flatnonzero(new), (new.cumsum() - 1).astype("<u4")
+
+
+def _repeated_starts(buckets: int):
+    def repeated_starts(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        """Of a shard's entries, the window starts to remove: those whose window has a smaller document."""
+        h, g, doc, tkey, pos, out = [], [], [], [], [], []
+        for p in parts.itertuples():
+            local = from_planes(p.doc, "<u4")
+            columns = from_planes(p.docs, "<i8")[local], np.frombuffer(p.tkeys, "<i4")[local], from_planes(p.pos, "<u4")
+            if p.gone:
+                out.append(columns)
+            else:
+                h.append(from_planes(p.hashes, "<u8").cumsum(dtype=np.uint64))
+                g.append(np.frombuffer(p.checks, "<u4"))
+                for k, c in zip((doc, tkey, pos), columns):
+                    k.append(c)
+        if h:
+            h, g, doc, tkey, pos = map(np.concatenate, (h, g, doc, tkey, pos))
+            order = np.lexsort((doc, g, h))
+            h, g, doc = h[order], g[order], doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+            later = doc > doc[np.flatnonzero(new)[new.cumsum() - 1]]
+            out.append((doc[later], tkey[order][later], pos[order][later]))
+        doc, tkey, pos = map(np.concatenate, zip(*out))
+        bucket = (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
+        order = np.lexsort((pos, tkey, doc, bucket))
+        doc, tkey, pos, bucket = doc[order], tkey[order], pos[order], bucket[order]
+        cuts, rows = np.flatnonzero(np.diff(bucket)) + 1, []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(doc)]):
+            if b > a:
+                first, pair = _numbered(doc[a:b], tkey[a:b])
+                rows.append((bucket[a], planes(pair), planes(pos[a:b]), planes(doc[a:b][first]), tkey[a:b][first].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "doc", "pos", "docs", "tkeys"])
+
+    return repeated_starts
+
+
+def starts_by_document(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+    """All window starts to remove of a bucket's documents, a row for each."""
+    columns = []
     for p in parts.itertuples():
-        local = from_planes(p.doc, "<u4")
-        columns = from_planes(p.docs, "<i8")[local], np.frombuffer(p.tkeys, "<i4")[local], from_planes(p.pos, "<u4")
-        if p.gone:
-            out.append(columns)
-        else:
-            h.append(from_planes(p.hashes, "<u8").cumsum(dtype=np.uint64))
-            g.append(np.frombuffer(p.checks, "<u4"))
-            for k, c in zip((doc, tkey, pos), columns):
-                k.append(c)
-    if h:
-        h, g, doc, tkey, pos = map(np.concatenate, (h, g, doc, tkey, pos))
-        order = np.lexsort((doc, g, h))
-        h, g, doc = h[order], g[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        later = doc > doc[np.flatnonzero(new)[new.cumsum() - 1]]
-        out.append((doc[later], tkey[order][later], pos[order][later]))
-    doc, tkey, pos = map(np.concatenate, zip(*out))
+        pair = from_planes(p.doc, "<u4")
+        columns.append((from_planes(p.docs, "<i8")[pair], np.frombuffer(p.tkeys, "<i4")[pair], from_planes(p.pos, "<u4")))
+    doc, tkey, pos = map(np.concatenate, zip(*columns))
     order = np.lexsort((pos, tkey, doc))
     doc, tkey, pos = doc[order], tkey[order], pos[order].astype(np.int32)
-    cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (tkey[1:] != tkey[:-1])) + 1
-    first = np.concatenate([[0], cuts]) if len(doc) else cuts
-    return pd.DataFrame({"doc_id": doc[first], "tkey": tkey[first], "starts": np.split(pos, cuts) if len(doc) else []})
+    first, _ = _numbered(doc, tkey)
+    return pd.DataFrame({"doc_id": doc[first], "tkey": tkey[first], "starts": np.split(pos, first[1:])})
 
 
 def cut_words(text: str | None, starts, width: int = WIDTH) -> tuple[int, int, str]:
@@ -219,9 +250,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     windows = (ordered.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_WINDOW
     width = max(1024, min(max_cells, CELLS * windows))
     shared = spark.sparkContext.broadcast(repeated_cells(ordered.select("text"), width, gather))  # ROWS * max_cells bits at most
-    entries = ordered.mapInPandas(_candidates(shared, width, windows // shard_windows + 1, gather), _ENTRY)
-    gone = entries.groupBy("shard").applyInPandas(repeated_starts, "doc_id long, tkey int, starts array<int>")
-    starts = gone.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    shards = windows // shard_windows + 1
+    entries = ordered.mapInPandas(_candidates(shared, width, shards, gather), _ENTRY)
+    gone = entries.groupBy("shard").applyInPandas(_repeated_starts(shards), _STARTS)
+    starts = gone.groupBy("bucket").applyInPandas(starts_by_document, "doc_id long, tkey int, starts array<int>")
     cut = rows.join(starts, ["doc_id", "tkey"], "left").select(F.col("doc_id").alias(id_col), _cut("text", "starts").alias("c"))
     return cut.select(id_col, "c.n_words", "c.n_removed", "c.kept")
 
