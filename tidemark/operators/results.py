@@ -13,6 +13,9 @@ QUERY = "query_id int, text string, date_min timestamp, date_max timestamp, mess
 HIT = "query_id int, file string, pos long, len int, date timestamp, body string"
 
 
+_ids = threading.Lock()
+
+
 class Results:
     """Each query's hits are a folder of their own, written once; its metadata is one row, replaced when it is done."""
 
@@ -24,11 +27,12 @@ class Results:
         return f"{self.store.root}/{name}" + ("" if query_id is None else f"/query_id={query_id}")
 
     def _new_id(self) -> int:
-        taken = self._ids()
-        query_id = max(taken, default=0) + 1
-        while not self.store.create_exclusively(f"{self._path('query_ids')}/{query_id}"):
-            query_id += 1
-        return query_id
+        """An id that no other call gets: the file system decides between processes, the lock between threads."""
+        with _ids:
+            query_id = max(self._ids(), default=0) + 1
+            while not self.store.create_exclusively(f"{self._path('query_ids')}/{query_id}"):
+                query_id += 1
+            return query_id
 
     def _ids(self) -> list[int]:
         if not self.store.exists(self._path("query_ids")):
