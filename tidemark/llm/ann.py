@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .arrow import prepare, table
+from .arrow import hashed_sample, prepare, table
 from .scratch import Scratch
 
 K = 10
@@ -192,7 +192,7 @@ def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = K,
     asked = scratch.cut(usable(queries, id_col, vec_col))
     reps = scratch.cut(asked.groupBy("vec").agg(F.min("vec_id").alias("rep")))
     n, n_queries = rows.count(), reps.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toPandas()["vec"]
+    sample = hashed_sample(rows, "vec_id", SAMPLE, n).select("vec").toPandas()["vec"]
     router = learn(np.stack(sample) if len(sample) else np.zeros((0, 0)), min(MAX_PARTS, n // PART_ROWS), k)
 
     def assign(batches):

@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows and bytes of one Arrow batch: some very long texts must not fill a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
@@ -38,3 +38,14 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def hashed_sample(rows: DataFrame, key: str, size: int, total: int) -> DataFrame:
+    """The ``size`` rows of ``total`` whose key has the smallest hash.
+
+    A threshold on the hash leaves about that many rows before they are ordered, so no task sends more than its share.
+    """
+    space = 1 << 40
+    at = F.pmod(F.xxhash64(key), F.lit(space))
+    share = min(1.0, 1.5 * size / total + 1e-3) if total else 1.0
+    return rows.where(at < int(share * space)).orderBy(at, key).limit(size)
