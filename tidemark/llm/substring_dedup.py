@@ -264,4 +264,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_substring_dedup": op10_substring_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op10_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT k, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE doc_id IS NOT NULL),
+g AS (SELECT k, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM s),
+f AS (SELECT s, min(doc_id) AS smallest FROM g GROUP BY s),
+r AS (SELECT DISTINCT k, unnest(range(i, i + 13)) AS j FROM g JOIN f USING (s) WHERE smallest < doc_id),
+p AS (SELECT k, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+q AS (SELECT k, string_agg(x, ' ' ORDER BY j) AS kept, count(*) AS n FROM p ANTI JOIN r USING (k, j) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN q USING (k)
+"""
+}
