@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .arrow import prepare, table
+from .arrow import hashed_sample, prepare, table
 
 #: Labelled documents that are fitted at most.
 MAX_LABELLED = 20_000
@@ -145,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Trees from at most ``max_labelled`` labelled documents. At most that many vectors reach the driver."""
     prepare(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+    sample = hashed_sample(known, "_id", max_labelled, known.count())
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(sample), "_id")  # bounded by max_labelled
     rows = found.select("_id", "_y", _statistics("_t").alias("_x")).groupBy("_id").agg(F.max("_y").alias("y"), F.max("_x").alias("x")).toPandas().sort_values("_id")
     return fit(np.array(rows["x"].tolist()).reshape(len(rows), len(FEATURES)), rows["y"].to_numpy(float))
