@@ -1,5 +1,7 @@
 """Two logs and where their messages begin and end, in bytes."""
 
+# The shared fixtures, whose positions and hits results must equal.
+
 START = r"(?m)^\[(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}\.?(\d{6}([+-]\d\d:\d\d)?)?)]"
 LAYOUT = "2006-01-02T15:04:05.000000-07:00"
 

@@ -45,13 +45,14 @@ def ingest(
     rejected = rejected_files(scanned).join(changed, "file")
     rejected = store.stage(rejected.withColumn("file_id", file_id("file")))
     good = scanned.join(rejected.select("file"), "file", "left_anti")
-    old = store.stage(store.read("segments").join(changed.select("file"), "file", "left_semi"))
+    own = F.col("file_id").isin([known[f][1] for f in todo if f in known])  # prunes the partitions of other files
+    old = store.stage(store.read("segments").where(own).join(changed.select("file"), "file", "left_semi"))
     kept = old.join(misaligned_files(old, good), "file", "left_anti").join(incomplete_trailing(old, changed, segment_length).select("segment_id"), "segment_id", "left_anti")
     kept = kept.join(rejected.select("file"), "file", "left_anti")
     ends = kept.groupBy("file").agg(F.max("pos_to").alias("_end"))
     new = good.join(ends, "file", "left").where(F.col("pos_from") >= F.coalesce("_end", F.lit(0))).drop("_end")
     made = segment_ids(assign_segments(new, segment_length)).withColumn("file_id", file_id("file"))
-    before = store.read("messages").join(kept.select("segment_id"), "segment_id", "left_semi")
+    before = store.read("messages").where(own).join(kept.select("segment_id"), "segment_id", "left_semi")
     messages = store.stage(before.unionByName(made))
     ids = [r.file_id for r in rejected.select("file_id").collect()]
     store.drop_files(ids)
