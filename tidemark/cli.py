@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+import threading
 from dataclasses import fields
 
 from pyspark.sql import SparkSession
 
 from .config import Config
 from .engine import Engine
+from .http_api import server
 
 
 def main(args: list[str] | None = None) -> int:
@@ -18,7 +20,9 @@ def main(args: list[str] | None = None) -> int:
     for f in fields(Config):
         parser.add_argument("--" + f.name.replace("_", "-"), type=int if f.type == "int" else str, default=None)
     commands = parser.add_subparsers(dest="command", required=True)
-    commands.add_parser("run", help="ingest again and again")
+    run = commands.add_parser("run", help="ingest again and again, and answer over HTTP if a port is given")
+    run.add_argument("--port", type=int, default=0)
+    run.add_argument("--host", default="127.0.0.1")
     commands.add_parser("gen", help="print the settings")
     commands.add_parser("test", help="try the settings on one file")
     find = commands.add_parser("search", help="print matching messages")
@@ -41,6 +45,8 @@ def main(args: list[str] | None = None) -> int:
         if said.command == "test":
             print("OK:", engine.test_config())
         elif said.command == "run":
+            if said.port:
+                threading.Thread(target=server(engine, said.port, said.host).serve_forever, daemon=True).start()
             engine.run()
         else:
             for row in engine.bodies(engine.search(said.query, said.date_from, said.date_to)).toLocalIterator():
