@@ -29,7 +29,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from .arrow import fresh, prepare, table
+from .arrow import fresh, hashed_sample, prepare, table
 from .graph import connected_components
 from .scratch import Scratch
 from .words import spans
@@ -182,7 +182,7 @@ def fingerprint_links(reps: DataFrame, threshold: int = THRESHOLD, bands: int =
     ``reps``: ``fp`` (long, distinct) and ``rep`` (the fingerprint's node).
     """
     n, radius, masks = reps.count(), threshold // bands, band_masks(bands)
-    sample = np.array([r.fp for r in reps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in hashed_sample(reps.select("fp"), "fp", SAMPLE, n).collect()], np.int64).view(np.uint64)
     tops, shards = [], 0
     for mask in masks:
         tops.append(Top(sample, mask, radius, threshold, math.ceil(n / SHARD), shards))
