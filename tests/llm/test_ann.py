@@ -32,6 +32,12 @@ def test_one_part_is_exact_with_ties_and_unusable_vectors(spark):
     assert {r.query_id for r in out} == set(range(0, 90, 10))
 
 
+def test_length_is_that_of_most_vectors(spark):
+    vectors = table(spark, [(i, [float(i), 1.0]) for i in range(1, 6)] + [(10, [1.0]), (20, [2.0]), (30, [3.0, 3.0])])
+    out = ann.search(vectors, vectors.where("vec_id % 10 = 0"), Scratch(spark)).collect()
+    assert {r.query_id for r in out} == {30} and len(out) == 5
+
+
 def test_few_and_no_vectors(spark):
     few = table(spark, [(0, [1.0, 2.0]), (10, [1.0, 3.0]), (3, [4.0, 4.0])])
     out = ann.search(few, few.where("vec_id % 10 = 0"), Scratch(spark)).collect()

@@ -176,9 +176,13 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.transform(vec_col, lambda x: x.cast("double") + 0.0)
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vec"))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(finite & F.exists("vec", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vec") == (lengths.n if lengths else 0))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(finite & F.exists("vec", lambda x: x != 0))
+
+
+def common_length(rows: DataFrame) -> int:
+    """The length that most vectors have; of equally many, the smaller."""
+    most = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return most.n if most else 0
 
 
 def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -188,8 +192,10 @@ def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = K,
     """
     prepare(vectors.sparkSession)
     nth = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
-    rows = scratch.cut(usable(vectors, id_col, vec_col).withColumn("_n", nth).where(F.col("_n") <= k + 1).drop("_n"))
-    asked = scratch.cut(usable(queries, id_col, vec_col))
+    good = usable(vectors, id_col, vec_col)
+    fits = F.size("vec") == common_length(good)
+    rows = scratch.cut(good.where(fits).withColumn("_n", nth).where(F.col("_n") <= k + 1).drop("_n"))
+    asked = scratch.cut(usable(queries, id_col, vec_col).where(fits))
     reps = scratch.cut(asked.groupBy("vec").agg(F.min("vec_id").alias("rep")))
     n, n_queries = rows.count(), reps.count()
     sample = hashed_sample(rows, "vec_id", SAMPLE, n).select("vec").toPandas()["vec"]
