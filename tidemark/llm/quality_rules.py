@@ -84,12 +84,11 @@ def host_verdicts(judged: DataFrame, host_col: str, failed_col: str, max_rate: f
     distribution, it is uniform.
     """
     hosts = judged.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col(failed_col).cast("long")).alias("failed"))
-    rates = hosts.agg(F.avg(F.col("failed") / F.col("n")).alias("m"), F.var_pop(F.col("failed") / F.col("n")).alias("v"))
-    size = F.col("m") * (1 - F.col("m")) / F.nullif(F.col("v"), F.lit(0.0)) - 1
-    prior = rates.select(F.when(size > 0, F.col("m") * size).otherwise(1.0).alias("a"), F.when(size > 0, (1 - F.col("m")) * size).otherwise(1.0).alias("b"))
-    rate = (F.col("failed") + F.col("a")) / (F.col("n") + F.col("a") + F.col("b"))
-    # one row: the prior of all domains
-    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", rate.alias("rate"), (rate <= max_rate).alias("host_kept"))
+    rates = hosts.agg(F.avg(F.col("failed") / F.col("n")).alias("m"), F.var_pop(F.col("failed") / F.col("n")).alias("v")).first()  # two numbers
+    size = rates.m * (1 - rates.m) / rates.v - 1 if rates.v else 0
+    a, b = (rates.m * size, (1 - rates.m) * size) if size > 0 else (1.0, 1.0)
+    rate = (F.col("failed") + a) / (F.col("n") + a + b)
+    return hosts.select("host", "n", "failed", rate.alias("rate"), (rate <= max_rate).alias("host_kept"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
