@@ -58,8 +58,8 @@ def test_random_trees_equal_an_evaluator(spark):
         assert [r[f"m{i}"] for i in range(len(trees))] == [holds(n, r.t) for n in trees], r.t
 
 
-PATTERNS = [r"a$", r"a.b", r"\bé", r"\bfoo\b", r"foo\B", r"\s", r"[\s]x", r"[a&&b]", r"[[:alpha:]]+\d", r"[^[:space:]]b", r"(?P<name>fo+)", r"(?i:FOO)x", r"(?s)a.b", r"(?m)^b$", r"\pL\d", r"\Qa.b\E", r"a{2}", r"a{,2}", r"fo+?o", r"[\d-]", r"[]a]", r"ſ", r"x|", r"(?U)a+"]
-TEXTS = ["a\n", "a", "a\rb", "a\nb", "aé", "é", "foo bar", "food", "\x0b", "\tx", "&", "a&b", "ab1", "x b", "FOOx", "é1", "a.b", "aab", "foo", "-", "]", "S", "K", "b", "x\nb\ny", "{,2}", "a{,2}"]
+PATTERNS = [r"a$", r"a.b", r"\bé", r"\bfoo\b", r"\bk", r"s\b", r"\x21\b", r"o\b.", r"\bf?o", r"\ba{0}b", r"a|\bb", r"foo\B", r"\s", r"[\s]x", r"[a&&b]", r"[[:alpha:]]+\d", r"[^[:space:]]b", r"(?P<name>fo+)", r"(?i:FOO)x", r"(?s)a.b", r"(?m)^b$", r"\pL\d", r"\Qa.b\E", r"a{2}", r"a{,2}", r"fo+?o", r"[\d-]", r"[]a]", r"ſ", r"x|", r"(?U)a+"]
+TEXTS = ["a\n", "a", "a\rb", "a\nb", "aé", "é", "foo bar", "food", "\x0b", "\tx", "&", "a&b", "ab1", "x b", "FOOx", "é1", "a.b", "aab", "foo", "-", "]", "S", "K", "k!a", "!a", "xK", "ſ", "foo!", "b", "x\nb\ny", "{,2}", "a{,2}"]
 
 
 @pytest.mark.parametrize("cs", [True, False])

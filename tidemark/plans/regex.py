@@ -6,8 +6,8 @@ import re
 
 from pyspark.sql import SparkSession
 
-WORD_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-NO_WORD_EDGE = r"(?:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))"
+WORD_EDGE = r"(?-i:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+NO_WORD_EDGE = r"(?-i:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))"
 #: Named ASCII classes and Java's names for them.
 ASCII_CLASSES = {
     "alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct",
@@ -15,6 +15,20 @@ ASCII_CLASSES = {
 }
 
 
+#: Characters that stand for word characters and nothing else, in any letter case.
+PLAIN = frozenset("0123456789_ABCDEFGHIJLMNOPQRTUVWXYZabcdefghijlmnopqrtuvwxyz")
+
+
+def _edge(p: str, at: int) -> str:
+    """The word edge at ``p[at]``: one look at the other side where what stands on this side is a word character."""
+    nxt, after = p[at + 2 : at + 3], p[at + 3 : at + 4]
+    if nxt in PLAIN and nxt and after not in ("?", "*", "{"):
+        return "(?-i:(?<![0-9A-Za-z_]))"
+    if p[at - 1 : at] in PLAIN and at and "\\" not in p[max(0, at - 4) : at]:
+        return "(?-i:(?![0-9A-Za-z_]))"
+    return WORD_EDGE
+
+
 class BadPattern(ValueError):
     """The pattern is not one of the dialect."""
 
@@ -74,7 +88,7 @@ def to_java(pattern: str, case_sensitive: bool) -> str:
                 i = min(end + 2, len(p))
                 repeated = False
                 continue
-            out.append({"b": WORD_EDGE, "B": NO_WORD_EDGE, "s": r"[\t\n\f\r ]", "S": r"[^\t\n\f\r ]", "C": r"[\s\S]"}.get(e, "\\" + e))
+            out.append({"b": _edge(p, i), "B": NO_WORD_EDGE, "s": r"[\t\n\f\r ]", "S": r"[^\t\n\f\r ]", "C": r"[\s\S]"}.get(e, "\\" + e))
             i += 2
             if e in "pPx" and p[i : i + 1] == "{":
                 end = p.find("}", i) + 1
