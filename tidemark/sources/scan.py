@@ -2,49 +2,107 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.dates import parse_date
 
+_FOUND = "file string, block long, size long, at long, bytes long, date_at_byte int, date_bytes int, date_text string, date_at int, last boolean, body string"
+_COLUMNS = [c.split()[0] for c in _FOUND.split(", ")]
+
+
+class _Block:
+    """Finds the messages of one split of a file, whose lines come in order, a batch at a time.
+
+    What follows the last start seen stays here until the next start, so a message may span batches.
+    """
+
+    def __init__(self, pattern: re.Pattern, file: str, block: int, size: int):
+        self.pattern, self.file, self.block, self.size = pattern, file, block, size
+        self.at, self.held, self.date = 0, [], None  # where what is held begins; its bytes; its date's range in it
+
+    def _row(self, last: bool) -> tuple:
+        raw = b"".join(self.held)
+        if self.date is None:  # before the first start: the rest of a message of the split before
+            return self.file, self.block, self.size, self.at, len(raw), -1, 0, "", 0, last, raw.decode("utf-8", "replace")
+        a, b = self.date
+        head, date = raw[:a].decode("utf-8", "replace"), raw[a:b].decode("utf-8", "replace")
+        return self.file, self.block, self.size, self.at, len(raw), a, b - a, date, len(head), last, head + raw[b:].decode("utf-8", "replace")
+
+    def add(self, text: bytes) -> Iterator[tuple]:
+        begin = 0
+        for m in self.pattern.finditer(text):
+            self.held.append(text[begin : m.start()])
+            size = sum(map(len, self.held))
+            if size or self.date is not None:
+                yield self._row(False)
+            self.at, self.held, begin = self.at + size, [], m.start()
+            a, b = m.span(1)
+            self.date = (a - m.start(), b - m.start()) if a >= 0 else (0, 0)
+        self.held.append(text[begin:])
+
+    def end(self) -> Iterator[tuple]:
+        if any(self.held):
+            yield self._row(True)
+
+
+def _finder(start_re: str):
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pattern, now = re.compile(start_re.encode(), re.M), None
+        for pdf in batches:
+            rows = []
+            split = (pdf["file"] != pdf["file"].shift()) | (pdf["block"] != pdf["block"].shift())
+            cuts = [*split.to_numpy().nonzero()[0].tolist(), len(pdf)]
+            for a, b in zip(cuts, cuts[1:]):
+                file, block, size = pdf["file"].iat[a], int(pdf["block"].iat[a]), int(pdf["size"].iat[a])
+                if now is None or (now.file, now.block) != (file, block):
+                    rows += now.end() if now else ()
+                    now = _Block(pattern, file, block, size)
+                rows += now.add(b"\n".join(map(bytes, pdf["value"].iloc[a:b])) + b"\n")
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+        if now:
+            yield pd.DataFrame(now.end(), columns=_COLUMNS)
+
+    return find
+
 
 def scan_messages(spark: SparkSession, files: list[str], start_re: str, date_layout: str | None = None) -> DataFrame:
     """``(file, pos_from, pos_to, date_from, date_to, date_text, date_at, is_tail, body, date)`` of every message.
 
-    ``start_re`` is a Java pattern whose group 1 is the date; it is tried line by line, so it cannot span lines. ``body``
-    lacks the date, which was at character ``date_at`` of it. What comes before a file's first match belongs to no message.
+    Group 1 of ``start_re`` is the date; ``^`` and ``$`` match at lines. A start should not span lines, as splits are cut
+    between them. ``body`` lacks the date, which was at character ``date_at`` of it. What comes before a file's first
+    match belongs to no message.
 
-    Files are read in splits like any text, so their size does not matter. Positions within a split are running sums;
-    only sums and last starts per split meet by file, which makes them positions in the file.
+    Files are read in splits like any text, so their size does not matter, and messages are found where they are read.
+    Of each split only its length, the message that it ends in and what it begins with meet others of the same file.
     """
     raw = spark.read.option("lineSep", "\n").text(files)
-    lines = raw.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value"
-    )
-    pieces = F.when(F.col("value").rlike(start_re), F.split("value", f"(?={start_re})")).otherwise(F.array("value"))
-    parts = lines.select("file", "size", "block", "line", pieces.alias("p")).select("file", "size", "block", "line", F.size("p").alias("n"), F.posexplode("p").alias("k", "piece"))
-    last = F.col("k") == F.col("n") - 1
-    parts = parts.withColumn("bytes", F.octet_length("piece") + last.cast("int"))
-    parts = parts.withColumn("starts", (F.col("k") > 0) | F.col("piece").rlike(rf"\A(?:{start_re})"))
-    in_block = Window.partitionBy("file", "block").orderBy("line", "k")
-    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = parts.withColumn("at", F.sum("bytes").over(upto) - F.col("bytes"))
-    parts = parts.withColumn("own", F.last(F.when(F.col("starts"), F.col("at")), ignorenulls=True).over(upto))
-    blocks = parts.groupBy("file", "block").agg(F.sum("bytes").alias("sum"), F.max("own").alias("own"))
-    by_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("base", F.coalesce(F.sum("sum").over(by_file), F.lit(0)))
-    blocks = blocks.select("file", "block", "base", F.last(F.col("base") + F.col("own"), ignorenulls=True).over(by_file).alias("before"))
-    placed = parts.join(blocks, ["file", "block"]).withColumn("pos_from", F.coalesce(F.col("base") + F.col("own"), F.col("before"))).where("pos_from IS NOT NULL")
-    end = F.col("base") + F.col("at") + F.col("bytes")
-    closed = F.when(last & (end <= F.col("size")), "\n").otherwise("")
-    row = F.struct("block", "line", "k", F.concat("piece", closed).alias("t"))
-    messages = placed.groupBy("file", "pos_from").agg(F.max(F.least(end, F.col("size"))).alias("pos_to"), F.max("size").alias("size"), F.sort_array(F.collect_list(row)).alias("rows"))
-    whole = messages.select("file", "pos_from", "pos_to", (F.col("pos_to") == F.col("size")).alias("is_tail"), F.array_join(F.transform("rows", lambda r: r["t"]), "").alias("raw"), F.get("rows", F.lit(0))["t"].alias("first"))
-    head = F.regexp_extract("first", start_re, 0)
-    date = F.regexp_extract("first", start_re, 1)
-    found = whole.withColumns({"date_text": date, "date_at": F.instr(F.col("first"), head) - 1 + F.greatest(F.position(date, head), F.lit(1)) - 1})
-    start = F.col("pos_from") + F.octet_length(F.substr("first", F.lit(1), F.col("date_at")))
-    body = F.concat(F.substr("raw", F.lit(1), F.col("date_at")), F.substr("raw", F.col("date_at") + F.char_length("date_text") + 1))
-    out = found.select("file", "pos_from", "pos_to", start.alias("date_from"), (start + F.octet_length("date_text")).alias("date_to"), "date_text", "date_at", "is_tail", body.alias("body"))
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), "value")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = raw.groupBy("file", "block").agg(F.sum(F.octet_length("value").cast("long") + 1).alias("n"))
+    base = sums.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    found = raw.select("file", "block", "size", F.col("value").cast("binary").alias("value")).mapInPandas(_finder(start_re), _FOUND)
+    placed = found.join(base, ["file", "block"]).withColumn("pos_from", F.col("base") + F.col("at"))
+    part = ["file", "size", "pos_from", "bytes", "date_at_byte", "date_bytes", "date_text", "date_at", "body"]
+    whole = placed.where("NOT last AND date_at_byte >= 0").select(*part)
+    # the last message of a split, and what other splits begin with: a row or two of each split
+    rest = placed.where("last OR date_at_byte < 0")
+    place = Window.partitionBy("file").orderBy("pos_from").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = rest.withColumn("start", F.last(F.when(F.col("date_at_byte") >= 0, F.col("pos_from")), ignorenulls=True).over(place)).where("start IS NOT NULL")
+    first = lambda c: F.min_by(c, "pos_from").alias(c)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos_from", "body"))), lambda r: r["body"]), "").alias("text")
+    joined = rest.groupBy("file", "start").agg(F.max("size").alias("size"), F.sum("bytes").alias("sum"), *map(first, ("date_at_byte", "date_bytes", "date_text", "date_at")), text)
+    joined = joined.select("file", "size", F.col("start").alias("pos_from"), F.col("sum").alias("bytes"), "date_at_byte", "date_bytes", "date_text", "date_at", F.col("text").alias("body"))
+    messages = whole.unionByName(joined.select(*part))
+    over = F.col("pos_from") + F.col("bytes") > F.col("size")  # the last line of a file may lack its end
+    date_from = F.col("pos_from") + F.col("date_at_byte")
+    out = messages.select(
+        "file", "pos_from", F.least(F.col("pos_from") + F.col("bytes"), F.col("size")).alias("pos_to"), date_from.alias("date_from"), (date_from + F.col("date_bytes")).alias("date_to"), "date_text", "date_at",
+        (F.col("pos_from") + F.col("bytes") >= F.col("size")).alias("is_tail"), F.when(over, F.substr("body", F.lit(1), F.char_length("body") - 1)).otherwise(F.col("body")).alias("body"),
+    )
     return out.withColumn("date", parse_date(F.col("date_text"), date_layout) if date_layout else F.lit(None).cast("timestamp"))
 
 
