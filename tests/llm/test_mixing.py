@@ -64,3 +64,23 @@ def test_query_equals_its_sql(spark, tmp_path):
     names = ["doc_id", "tokens", "topic", "keep_probability", "kept"]
     got = sorted(map(repr, (tuple(r) for r in m.op7_mixing(spark, str(tmp_path)).select(names).collect())))
     assert got == sorted(map(repr, con.sql(f"SELECT {', '.join(names)} FROM ({m.ORACLE['op7_mixing']})").fetchall()))
+
+
+def test_rare_cells_keep_their_target_shares(spark):
+    rng = np.random.default_rng(1)
+    w = rng.integers(200, 1000, (4, 3, 2)).astype(float) * np.array([0.02, 1, 1, 3])[:, None, None]
+    targets = [np.array([0.25, 0.05, 0.05, 0.65]), np.array([0.5, 0.3, 0.2]), np.array([0.3, 0.7])]
+    p = m.bounded_rake(w, targets, 0.8)
+    kept = w * p
+    assert p.min() >= 0 and p.max() <= 1
+    for axis, t in enumerate(targets):
+        assert np.allclose(kept.sum(tuple(k for k in range(3) if k != axis)) / kept.sum(), t, atol=2e-4)
+    assert kept.sum() > 0.95 * w[0].sum() / 0.25  # the rare value is kept nearly whole
+    assert np.isclose((w * m.bounded_rake(w, [w.sum((1, 2)) / w.sum(), *targets[1:]], 0.3)).sum(), 0.3 * w.sum(), rtol=1e-3)
+    apart = m.bounded_rake(np.diag([10.0, 30.0]), [np.array([0.9, 0.1]), np.array([0.1, 0.9])], 0.8)  # no share meets both
+    assert 0 < apart[np.eye(2) > 0].min() and apart.max() <= 1
+
+    docs = documents(spark, [(i, "plain words only") for i in range(3000)]).selectExpr("*", "CASE WHEN doc_id % 50 = 0 THEN 'rare' ELSE 'common' END AS kind")
+    got = m.calibrate(docs, {"kind": docs.kind}, m.tokens_of(docs.text), {"kind": {"rare": 0.25, "common": 0.75}})
+    reached = {r.kind: r.p for r in docs.select("kind", got.column({"kind": docs.kind}).alias("p")).groupBy("kind").agg({"p": "sum"}).toDF("kind", "p").collect()}
+    assert np.isclose(reached["rare"], 60) and np.isclose(reached["common"], 180)

@@ -3,9 +3,11 @@
 Token weights of (source, language, topic) cells are raked: in turn for each of the three dimensions, cells are scaled so
 that their sums meet that dimension's target shares. What a target does not name is one value, ``OTHER``, so there are
 at most as many cells as the product of the targets' sizes, whatever the corpus holds: cells are counted where the
-documents are, and only their sums are raked on the driver. A document is then kept with a probability of ``KEEP`` times
-its cell's factor, at most 1: nothing is repeated, so cells that are too rare to meet their target are kept whole. The draw hashes the id, so it is repeatable and
-independent of how rows are spread.
+documents are, and only their sums are raked on the driver. A document is then kept with a probability of its cell's
+factor times a share of tokens to keep. Nothing is repeated, so no probability is above 1: cells that would be are kept
+whole and the others are raked again, and where no more than some share below ``KEEP`` lets all targets hold, that share is
+kept (``bounded_rake``). The registered query ends as its SQL does instead: factors times ``KEEP``, cut at 1, and no second
+raking. The draw hashes the id, so it is repeatable and independent of how rows are spread.
 
 A null id is drawn as the empty string; a null source, language or text counts as ``OTHER``, as ``OTHER`` and as no tokens.
 A value that has a target but no tokens keeps none, and the others share what it leaves. Rows of one id share a draw. An
@@ -14,6 +16,7 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +28,10 @@ from .words import WORD_RE
 OTHER = "*"
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 20
-#: The share of all tokens to keep.
+#: The share of all tokens to keep, if the targets allow as much.
 KEEP = 0.8
+#: Of bounded raking: rounds at most, how near each share comes to its target, and halvings of the search for the kept share.
+BOUNDED_ROUNDS, NEAR, HALVINGS = 500, 1e-4, 12
 #: The production targets, as shares of tokens.
 TARGETS = {
     "source": {"src0": 0.25, "src1": 0.05, "src2": 0.05, OTHER: 0.65},
@@ -61,6 +66,63 @@ def rake(weights: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) -
     return factor
 
 
+def _level(weights: np.ndarray, rest: np.ndarray, goal: float) -> float:
+    """The ``a`` for which the sum of ``weights * min(a * rest, 1)`` is ``goal``, or all that can be kept."""
+    free, a = weights * rest > 0, 0.0
+    while free.any():
+        a = max((goal - weights[(weights > 0) & (rest > 0) & ~free].sum()) / (weights * rest)[free].sum(), 0.0)
+        over = free & (a * rest > 1)
+        if not over.any():
+            return a
+        free &= ~over
+    live = rest[(weights > 0) & (rest > 0)]
+    return float(1 / live.min()) if len(live) else 0.0
+
+
+def _bounded(weights: np.ndarray, shares: list[np.ndarray], kept: float) -> np.ndarray | None:
+    """Probabilities of at most 1 that keep ``kept`` tokens in these ``shares``; None if raking does not get there."""
+    sides = [np.ones(n) for n in weights.shape]
+    for _ in range(BOUNDED_ROUNDS):
+        for axis, share in enumerate(shares):
+            rest = functools.reduce(np.multiply.outer, [s for k, s in enumerate(sides) if k != axis], np.ones(())).ravel()
+            cells = np.moveaxis(weights, axis, 0).reshape(len(share), -1)
+            sides[axis] = np.array([_level(w, rest, g * kept) if w.any() else 1.0 for w, g in zip(cells, share)])
+            if sides[axis].max() > 1e60:  # drifts: the targets cannot be met
+                return None
+        p = np.minimum(functools.reduce(np.multiply.outer, sides), 1)
+        got = [(weights * p).sum(tuple(k for k in range(weights.ndim) if k != axis)) / kept for axis in range(weights.ndim)]
+        if max(np.abs(g - s).max() for g, s in zip(got, shares)) <= NEAR:
+            return p
+    return None
+
+
+def bounded_rake(weights: np.ndarray, targets: list[np.ndarray], keep: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Probabilities of at most 1 under which the kept weights meet the marginal ``targets``.
+
+    ``keep`` of all weight is kept or, if the targets do not allow that, about the largest share that they do. Where they
+    hold for no share, since cells they need are empty, cells are kept in proportion to the factors of ``rake``.
+    """
+    total = weights.sum()
+    if not total:
+        return np.full(weights.shape, min(keep, 1.0))
+    have = [weights.sum(tuple(k for k in range(weights.ndim) if k != axis)) for axis in range(weights.ndim)]
+    shares = [np.where(h > 0, t, 0.0) for h, t in zip(have, targets)]
+    if all(s.sum() for s in shares):
+        shares = [s / s.sum() for s in shares]
+        low, high, best = 0.0, min([keep * total, total, *(float((h[s > 0] / s[s > 0]).min()) for h, s in zip(have, shares))]), None
+        at = high
+        for _ in range(HALVINGS):
+            p = _bounded(weights, shares, at)
+            low, high, best = (at, high, p) if p is not None else (low, at, best)
+            if low == high:
+                break
+            at = (low + high) / 2
+        if best is not None:
+            return best
+    factor = rake(weights, targets, rounds)
+    return np.minimum(factor * min(keep, 1 / max(factor[weights > 0].max(), 1e-300)), 1)
+
+
 @dataclass
 class Mixture:
     """Keep probabilities by cell, with the folded values of each dimension."""
@@ -87,14 +149,14 @@ def with_other(targets: dict[str, dict[str, float]]) -> dict[str, dict[str, floa
     return {d: s if OTHER in s else {**s, OTHER: 0.0} for d, s in targets.items()}
 
 
-def calibrate(docs: DataFrame, values: dict[str, Column], tokens: Column, targets: dict[str, dict[str, float]], keep: float = KEEP, rounds: int = ROUNDS) -> Mixture:
-    """Counts tokens by cell and rakes them. The cells that reach the driver are bounded by ``targets``."""
+def calibrate(docs: DataFrame, values: dict[str, Column], tokens: Column, targets: dict[str, dict[str, float]], keep: float = KEEP, rounds: int = ROUNDS, cut: bool = False) -> Mixture:
+    """Counts tokens by cell and rakes them; ``cut``: by factors alone. The cells that reach the driver are bounded by ``targets``."""
     targets = with_other(targets)
     weights = np.zeros([len(s) for s in targets.values()])
     for row in docs.groupBy(*[fold(values[d], s).alias(d) for d, s in targets.items()]).agg(F.sum(tokens).alias("n")).collect():
         weights[tuple(list(s).index(row[d]) for d, s in targets.items())] = row.n or 0
-    factor = rake(weights, [np.array(list(s.values())) for s in targets.values()], rounds)
-    return Mixture(targets, np.minimum(keep * factor, 1))
+    shares = [np.array(list(s.values())) for s in targets.values()]
+    return Mixture(targets, np.minimum(keep * rake(weights, shares, rounds), 1) if cut else bounded_rake(weights, shares, keep, rounds))
 
 
 def draw(doc_id: Column) -> Column:
@@ -102,11 +164,11 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substr(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("double") / float(2**32)
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]], keep: float = KEEP, rounds: int = ROUNDS) -> tuple[Column, Column, Column]:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]], keep: float = KEEP, rounds: int = ROUNDS, cut: bool = False) -> tuple[Column, Column, Column]:
     """Of ``docs`` (doc_id, text, source, lang and any more): columns of tokens, topic and probability to be kept."""
     topic, tokens = topic_of(F.coalesce("text", F.lit(""))), tokens_of(F.col("text"))
     values = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
-    probability = calibrate(docs, values, tokens, targets, keep, rounds).column(values)
+    probability = calibrate(docs, values, tokens, targets, keep, rounds, cut).column(values)
     return tokens, topic, probability
 
 
@@ -117,7 +179,7 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    tokens, topic, p = mix(docs, TARGETS)
+    tokens, topic, p = mix(docs, TARGETS, cut=True)
     return docs.select("doc_id", tokens.alias("tokens"), topic.alias("topic"), F.round(p, 6).alias("keep_probability"), (draw(F.col("doc_id")) < p).alias("kept"))
 
 
