@@ -110,3 +110,14 @@ def test_keep_one(spark):
     kept = s.keep_one(docs, Scratch(spark))
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) in ([0, 1, 3], [0, 1, 3, 4])
+
+
+def test_keep_one_judges_rows_of_one_id_by_their_texts(spark):
+    rng = random.Random(6)
+    a, b, c, d = (text(rng, 80) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (5, b), (6, b), (7, c), (7, d), (7, None), (8, ""), (None, c), (None, d)]
+    kept = s.keep_one(documents(spark, rows, extra=True), Scratch(spark)).collect()
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept)
+    assert got == sorted([(1, a), (5, b), (7, c), (7, d), (7, ""), (0, c), (0, d)])
+    # once a row is a copy of a smaller id, its id's other texts stay; no group loses all its rows
+    assert {r.text or "" for r in kept} == {a, b, c, d, ""}

@@ -27,7 +27,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .arrow import fresh, hashed_sample, prepare, table
 from .graph import connected_components
@@ -220,12 +220,21 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the smallest id. Rows with a null id stay."""
-    classes = near_duplicates(docs, scratch, id_col, text_col)
-    losers = classes.where(F.col(id_col) != F.col("component")).select(id_col).distinct()
-    kept, n = docs.join(losers, id_col, "left_anti"), fresh(docs, "_nth")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
-    return kept.withColumn(n, nth).where((F.col(n) == 1) | F.col(id_col).isNull()).select(*docs.columns)
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id, then of the smallest text hash.
+
+    Groups are components of fingerprints, whatever ids their rows have: rows of one id whose texts are in different
+    groups are judged each in its own. Rows with a null id stay, and their fingerprints link nothing.
+    """
+    prepare(docs.sparkSession)
+    i, key = F.col(id_col), fresh(docs, "_text_hash")
+    keyed = docs.withColumn(key, F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")))
+    prints = keyed.where(i.isNotNull()).select(i.alias("id"), F.col(key).alias("hash"), _fingerprint(F.col(text_col)).alias("fp"))
+    heads = scratch.cut(prints.groupBy("fp").agg(F.min(F.struct("id", "hash")).alias("first")))
+    component = connected_components(fingerprint_links(heads.select("fp", F.col("fp").alias("rep"))), "a", "b", scratch)
+    classes = heads.join(component, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
+    first = classes.select(F.col("first.id").alias(id_col), F.col("first.hash").alias(key))
+    once = keyed.where(i.isNotNull()).dropDuplicates([id_col, key]).join(first, [id_col, key], "left_semi")
+    return once.unionByName(keyed.where(i.isNull())).select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
