@@ -67,3 +67,37 @@ def test_query_equals_its_sql(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == sorted(map(repr, con.sql(u.ORACLE_SQL).fetchall()))
+
+
+@pytest.mark.parametrize(
+    "base,link,want",
+    [
+        ("http://h.example/d/e?f", "?p=2", "http://h.example/d/e?p=2"),
+        ("http://h.example/d/e?f", "#x", "http://h.example/d/e?f#x"),
+        ("http://h.example/a/b/c", "../x", "http://h.example/a/x"),
+        ("http://h.example/a/b/c", "./x?y=../z", "http://h.example/a/b/x?y=../z"),
+        ("http://h.example/a/b/c", "../../../x/.", "http://h.example/x/"),
+        ("http://h.example/a/b/c", "..", "http://h.example/a/"),
+        ("http://h.example/a", "/b/../c#d/../e", "http://h.example/c#d/../e"),
+        ("http://h.example/a", "http://o.example/b/./c", "http://o.example/b/c"),
+        ("http://h.example/a", "//o.example/b/../c", "http://o.example/c"),
+        ("http://h.example/a", "/r?u=http://o.example/", "http://h.example/r?u=http://o.example/"),
+        ("http://h.example", "x", "http://h.example/x"),
+        ("http://h.example/a", "mailto:a@o.example", None),
+    ],
+)
+def test_links_are_resolved_by_rfc_3986(spark, base, link, want):
+    pages = spark.createDataFrame([(base, f"<link rel=canonical href='{link}'>")], "url string, html string")
+    assert [r.dst for r in u.link_edges(pages).collect()] == ([want] if want else [])
+
+
+def test_every_tag_of_a_page_gives_an_edge(spark, tmp_path):
+    html = (
+        "<link rel=canonical><link rel=canonical href='/1'><link rel='canonical' href='http://b.example/2'>"
+        "<meta http-equiv=refresh content=5><meta http-equiv=refresh content='0;url=../3'><meta http-equiv='refresh' content='0; url=?q=4'>"
+    )
+    pages = spark.createDataFrame([("http://a.example/x/y", html)], "url string, html string")
+    assert sorted(r.dst for r in u.link_edges(pages).collect()) == ["http://a.example/1", "http://a.example/3", "http://a.example/x/y?q=4", "http://b.example/2"]
+    data = [(0, "http://a.example/x/y", html), (1, "http://b.example/2", "<link rel=canonical href='/2'><link rel=canonical href='http://a.net/z'>"), (2, "http://a.example/3", "")]
+    spark.createDataFrame(data, "page_id int, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: r.verdict for r in u.op6_url_filters(spark, str(tmp_path)).collect()} == {0: "block", 1: "block", 2: "block"}

@@ -46,27 +46,50 @@ def key_of(url: Column) -> Column:
     return F.concat(F.translate(head, UPPER, LOWER), F.substr(bare, F.length(head) + 1))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, without its segments ``.`` and ``..``."""
+    parts = F.split(path, "/")
+    done = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda kept, part: F.when(part == ".", kept).when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(part))),
+    )
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(done, folder), "/"))
+
+
 def _absolute(base: Column, link: Column) -> Column:
+    """A link of the page ``base`` by RFC 3986; null if its scheme has no host (``mailto:``): it leads to no page."""
     link = F.replace(link, F.lit("&amp;"), F.lit("&"))
     site = F.regexp_extract(base, r"^[^/?#]*://[^/?#]*", 0)
     folder = F.regexp_extract(base, r"^[^/?#]*://[^/?#]*(/(?:[^?#]*/)?)?", 0)
-    return (
-        F.when(F.instr(link, "://") > 0, link)
+    target = (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^[^/?#]*:", 0), link))
         .when(link.startswith("/"), F.concat(site, link))
         .when(folder == site, F.concat(site, F.lit("/"), link))
         .otherwise(F.concat(folder, link))
     )
+    head, path = (F.regexp_extract(target, r"^([^/?#]*//[^/?#]*)?(/[^?#]*)?", k) for k in (1, 2))
+    tail = F.substr(target, F.length(head) + F.length(path) + 1)
+    plain = F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(head, _without_dots(path), tail)).otherwise(target)
+    own = F.when(link.startswith("?"), F.concat(F.regexp_extract(base, r"^[^?#]*", 0), link)).when(link.startswith("#"), F.concat(F.regexp_extract(base, r"^[^#]*", 0), link))
+    return F.coalesce(own, plain)
 
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(src, dst)`` URLs of canonical links and refresh redirects in pages."""
+    """``(src, dst)`` URLs of all canonical links and refresh redirects in pages."""
     url, html = F.col(url_col), F.col(html_col)
-    canonical = F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1)
-    links = F.array(F.when(html.ilike("%canonical%"), canonical), F.when(html.ilike("%refresh%"), refresh))
+
+    def links(word: str, tag: str, value: str) -> Column:
+        found = F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, value, 1))
+        return F.when(html.ilike(f"%{word}%"), found).otherwise(F.array().cast("array<string>"))
+
+    both = F.concat(links("canonical", CANONICAL, HREF), links("refresh", REFRESH, TARGET))
     found = pages.where(html.ilike("%canonical%") | html.ilike("%refresh%")).where(url.isNotNull())
-    return found.select(url.alias("src"), F.explode(links).alias("link")).where("link != ''").select("src", _absolute(F.col("src"), F.col("link")).alias("dst"))
+    edges = found.select(url.alias("src"), F.explode(both).alias("link")).where("link != ''")
+    return edges.select("src", _absolute(F.col("src"), F.col("link")).alias("dst")).where("dst IS NOT NULL")
 
 
 def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
