@@ -1,6 +1,8 @@
 import html as entities
+import time
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import warc
@@ -96,3 +98,29 @@ def test_rows(spark, tmp_path):
     null = spark.createDataFrame([(1, None)], "page_id long, record binary")
     assert warc.derivatives(null).count() == 0
     assert entities.unescape("&amp;") == "&"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<html><head><title>t</title><body><p>text", "text"),
+        ("<head><meta charset=utf-8><title>t</title><style>s</style><script>x</script><!-- c --><link rel=x><p>one<p>two", "one\ntwo"),
+        ("<head><title>t</title>text at once", "text at once"),
+        ("<head><noscript><img></noscript><template><p>x</template></head><p>text", "text"),
+        ("<p>a<noscript>b<p>c", "ab\nc"),
+        ("<p>a<template>b<p>c", "ab\nc"),
+        ("<head><template>b<p>c", "b\nc"),
+        ("<head><title>t<p>c", "t\nc"),
+        ("<p>a<script>b<p>c", "a"),
+        ("<p>a<!-- b<p>c", "a"),
+        ("<header>a</header><head></head >b", "a\nb"),
+    ],
+)
+def test_end_tags_left_out(page, want):
+    assert warc.plain_text(page) == want
+
+
+def test_unclosed_elements_take_linear_time():
+    start = time.time()
+    warc.plain_text("<head><noscript><template><title>x" * 50_000)
+    assert time.time() - start < 10

@@ -33,7 +33,11 @@ Headers = list[tuple[str, str]]
 #: Fixed value: the date of the records that stand for the pages table, which has none.
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+SKIPPED = re.compile(r"<(?:(!--)|(script|style|noscript|template|head)\b[^>]*>)", re.I)
+ENDS = {"!--": re.compile("-->")} | {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "title")}
+#: What a head may hold beside skipped elements and a title; anything else, even text, is of the body.
+IN_HEAD = re.compile(r"\s+|</?(?:meta|link|base|basefont|bgsound|html)\b[^>]*>|</(?:script|style|noscript|template|title)\s*>", re.I)
+OPEN_TITLE, END_HEAD = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</head\s*>", re.I)
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 TAG = re.compile(r"""<(/?[a-zA-Z][a-zA-Z0-9]*)(?:[^>"']|"[^"]*"|'[^']*')*+>|<[/!?a-zA-Z][^>]*>""")
@@ -88,9 +92,55 @@ def header(headers: Headers, name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
+def without_skipped(page: str) -> str:
+    """A page with a space for each comment, script, style, noscript, template and head.
+
+    Comments, scripts and styles without an end reach to the end of the page, as in browsers; others are no more than
+    tags then. A head's end tag may be left out: it ends before the first thing that cannot be in a head.
+    """
+    never: set[str] = set()  # names that are not closed any more
+    out, last, at = [], 0, 0
+
+    def end(name: str, start: int) -> int | None:
+        if name in never:
+            return None
+        if m := ENDS[name].search(page, start):
+            return m.end()
+        if name in ("!--", "script", "style"):
+            return len(page)
+        never.add(name)
+        return None
+
+    def end_of_head(i: int) -> int:
+        while True:
+            if m := IN_HEAD.match(page, i):
+                i = m.end()
+            elif m := END_HEAD.match(page, i):
+                return m.end()
+            elif m := OPEN_TITLE.match(page, i):
+                if (to := end("title", m.end())) is None:
+                    return i
+                i = to
+            elif (m := SKIPPED.match(page, i)) and (name := (m[1] or m[2]).lower()) != "head":
+                if (to := end(name, m.end())) is None:
+                    return i
+                i = to
+            else:
+                return i
+
+    while m := SKIPPED.search(page, at):
+        name = (m[1] or m[2]).lower()
+        to = end_of_head(m.end()) if name == "head" else end(name, m.end())
+        at = m.end() if to is None else to
+        if to is not None:
+            out += [page[last : m.start()], " "]
+            last = to
+    return "".join([*out, page[last:]])
+
+
 def plain_text(page: str) -> str:
     """The readable text of an HTML page, a line for each block."""
-    text = html.unescape(TAG.sub(lambda m: "\n" if (m[1] or "").lstrip("/").lower() in BLOCKS else "", SKIPPED.sub(" ", page.replace("\n", " "))))
+    text = html.unescape(TAG.sub(lambda m: "\n" if (m[1] or "").lstrip("/").lower() in BLOCKS else "", without_skipped(page.replace("\n", " "))))
     return "\n".join(x for line in text.split("\n") if (x := " ".join(line.split())))
 
 
