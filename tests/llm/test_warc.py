@@ -1,5 +1,7 @@
+import gzip
 import html as entities
 import time
+import zlib
 from html.parser import HTMLParser
 
 import pytest
@@ -124,3 +126,32 @@ def test_unclosed_elements_take_linear_time():
     start = time.time()
     warc.plain_text("<head><noscript><template><title>x" * 50_000)
     assert time.time() - start < 10
+
+
+def chunked(body, size=7):
+    return b"".join(b"%x;e=1\r\n%s\r\n" % (len(c), c) for c in (body[i : i + size] for i in range(0, len(body), size))) + b"0\r\n\r\n"
+
+
+@pytest.mark.parametrize(
+    "fields,pack",
+    [
+        (b"Content-Encoding: gzip", gzip.compress),
+        (b"Content-Encoding: deflate", zlib.compress),
+        (b"Content-Encoding: deflate", lambda b: zlib.compress(b, wbits=-15)),
+        (b"Transfer-Encoding: chunked", chunked),
+        (b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", lambda b: chunked(gzip.compress(b))),
+        (b"Transfer-Encoding: gzip, chunked", lambda b: chunked(gzip.compress(b))),
+        (b"Content-Encoding: gzip", lambda b: b),
+        (b"Transfer-Encoding: chunked", lambda b: b),
+        (b"Content-Encoding: gzip", lambda b: gzip.compress(b[:9]) + gzip.compress(b[9:])),
+    ],
+)
+def test_encodings_are_undone_and_headers_kept(fields, pack):
+    source = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-IP-Address", "192.0.2.1"), ("WARC-Concurrent-To", "<urn:a>"), ("WARC-Concurrent-To", "<urn:b>"), ("WARC-Truncated", "time")]
+    page = "<title>t</title><p>h\u00e9llo " + "word " * 30
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + fields + b"\r\n\r\n" + pack(page.encode())
+    (_, text), (_, meta) = warc.derive(source, block)
+    assert text.decode() == warc.plain_text(page)
+    lines = meta.decode().split("\r\n")
+    assert [x for x in lines if x.startswith("source-header-")] == [f"source-header-{k}: {v}" for k, v in source[2:]]
+    assert "title: t" in lines

@@ -2,7 +2,7 @@
 
 For every HTTP response record two records are made, both with ``WARC-Refers-To`` the response's id and its target URI
 and date: a ``conversion`` record with the plain text of the page, and a ``metadata`` record of WARC fields that keeps
-the response's own id, digests, HTTP status line and header fields in order, and names the conversion record. Ids are
+the response's own id, digests and other WARC headers, HTTP status line and header fields in order, and names the conversion record. Ids are
 derived from the source's id, so a retried task makes the same records.
 
 Text conversion drops comments, scripts, styles and the head, breaks lines at block elements, removes other tags,
@@ -22,6 +22,7 @@ import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -38,6 +39,9 @@ ENDS = {"!--": re.compile("-->")} | {n: re.compile(rf"</{n}\s*>", re.I) for n in
 #: What a head may hold beside skipped elements and a title; anything else, even text, is of the body.
 IN_HEAD = re.compile(r"\s+|</?(?:meta|link|base|basefont|bgsound|html)\b[^>]*>|</(?:script|style|noscript|template|title)\s*>", re.I)
 OPEN_TITLE, END_HEAD = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</head\s*>", re.I)
+CHUNK = re.compile(rb"([0-9A-Fa-f]{1,8})[ \t]*(?:;[^\r\n]*)?\r\n")
+#: Source headers that the derived records' own fields hold, or that only describe the source's block.
+CARRIED = frozenset("warc-type warc-record-id warc-date warc-target-uri warc-block-digest warc-payload-digest content-type content-length".split())
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 TAG = re.compile(r"""<(/?[a-zA-Z][a-zA-Z0-9]*)(?:[^>"']|"[^"]*"|'[^']*')*+>|<[/!?a-zA-Z][^>]*>""")
@@ -155,6 +159,51 @@ def response_record(page_id: object, url: str | None, page: str | None) -> bytes
     return format_record(headers, http)
 
 
+def _unchunked(body: bytes) -> bytes:
+    """A chunked body put together; as it is if it is not chunked (any more)."""
+    out, at = [], 0
+    while m := CHUNK.match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size
+        if body[at : at + 2] not in (b"\r\n", b""):
+            return body
+        at += 2
+    return b"".join(out) if out and at >= len(body) else body
+
+
+def _inflated(body: bytes) -> bytes:
+    """A gzip, zlib or raw deflate body unpacked, as far as it reaches; as it is if it is none."""
+    for window in (47, -15):
+        out, rest = [], body
+        try:
+            while rest:
+                z = zlib.decompressobj(window)
+                out += [z.decompress(rest), z.flush()]
+                rest = z.unused_data if window > 0 and z.eof else b""
+        except zlib.error:
+            pass
+        if any(out):
+            return b"".join(out)
+    return body
+
+
+def decoded(http: Headers, payload: bytes) -> bytes:
+    """A payload without its transfer and content encodings, the last applied first; those not known here stay."""
+    for name in ("Transfer-Encoding", "Content-Encoding"):
+        codings = ",".join(v for k, v in http if k.lower() == name.lower())
+        for coding in reversed([c.strip().lower() for c in codings.split(",") if c.strip()]):
+            if coding == "chunked":
+                payload = _unchunked(payload)
+            elif coding in ("gzip", "x-gzip", "deflate"):
+                payload = _inflated(payload)
+            elif coding != "identity":
+                return payload
+    return payload
+
+
 def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     """The conversion and metadata records of a response; none for records of other types."""
     source = header(headers, "WARC-Record-ID")
@@ -163,17 +212,19 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     head, _, payload = block.partition(b"\r\n\r\n")
     status, _, fields = head.partition(b"\r\n")
     http = parse_fields(fields)
+    body = decoded(http, payload)
     charset = re.search(r"charset=[\"']?([\w.:-]+)", header(http, "Content-Type") or "", re.I)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
     text = plain_text(page).encode("utf-8", "surrogatepass")
     payload_digest = header(headers, "WARC-Payload-Digest") or digest(payload)
     shared = [(k, v) for k in ("WARC-Target-URI", "WARC-Date") if (v := header(headers, k)) is not None]
     conversion = f"<urn:uuid:{uuid.uuid5(SPACE, source + ' conversion')}>"
     title = TITLE.search(page)
     lines = [("source-record-id", source), ("source-block-digest", header(headers, "WARC-Block-Digest") or digest(block)), ("source-payload-digest", payload_digest), ("conversion-record-id", conversion)]
+    lines += [(f"source-header-{k}", v) for k, v in headers if k.lower() not in CARRIED]
     lines += [("http-status", status.decode("utf-8", "replace"))] + [(f"http-header-{k}", v) for k, v in http]
     lines += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
     lines += [("outlink", html.unescape(next(filter(None, m), "")).strip()) for m in LINK.findall(page)]
