@@ -30,7 +30,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 GITHUB = re.compile(r"gh[opsur]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----[^-]{16,}-----END \1PRIVATE KEY-----")
+#: Up to the END line of the same label, header lines included, and never across another BEGIN line.
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY( BLOCK)?-----(?:(?!-----BEGIN ).){16,}?-----END \1PRIVATE KEY(?(2) BLOCK)-----", re.S)
 #: Digits of base 62 as these tokens use them.
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 KEYWORDS = {
