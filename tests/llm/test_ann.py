@@ -32,6 +32,20 @@ def test_one_part_is_exact_with_ties_and_unusable_vectors(spark):
     assert {r.query_id for r in out} == set(range(0, 90, 10))
 
 
+def test_repeated_rows_and_ids(spark):
+    rng = np.random.default_rng(4)
+    good = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(40)]
+    rows = good + [good[10]] * 13 + good[:20] + [(30, [9.0, 9.0, 9.0, 9.0]), (20, good[20][1]), (3, [50.0, 0.0, 0.0, 0.0])]
+    smallest = {}
+    for i, v in rows:
+        smallest[i] = min(smallest.get(i, v), v)
+    vectors = table(spark, rows)
+    out = ann.search(vectors, vectors.where("vec_id % 10 = 0"), Scratch(spark)).orderBy("query_id", "rank").collect()
+    for q in (0, 10, 20, 30):
+        assert [(r.rank, r.vec_id) for r in out if r.query_id == q] == [(k + 1, i) for k, (i, _) in enumerate(brute(list(smallest.items()), q))]
+    assert len(out) == 40
+
+
 def test_length_is_that_of_most_vectors(spark):
     vectors = table(spark, [(i, [float(i), 1.0]) for i in range(1, 6)] + [(10, [1.0]), (20, [2.0]), (30, [3.0, 3.0])])
     out = ann.search(vectors, vectors.where("vec_id % 10 = 0"), Scratch(spark)).collect()
@@ -46,8 +60,9 @@ def test_few_and_no_vectors(spark):
     assert ann.search(none, none, Scratch(spark)).count() == 0
 
 
-@pytest.mark.parametrize("clustered", [True, False])
-def test_recall_of_many_parts(spark, monkeypatch, clustered):
+@pytest.mark.parametrize("clustered,most", [(True, 256), (False, 256), (True, 3)])
+def test_recall_of_many_parts(spark, monkeypatch, clustered, most):
+    monkeypatch.setattr(ann, "MAX_PARTS", most)  # 3: networks of two levels
     monkeypatch.setattr(ann, "PART_ROWS", 200)
     monkeypatch.setattr(ann, "BLOCK", 90)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 20)

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -97,3 +98,17 @@ def test_documents(spark, monkeypatch, shard):
 def test_ids_come_along(spark):
     rows = p.tokenized_pieces(documents(spark, [(1, "Hello world")]), with_ids=True).collect()
     assert rows[0].ids == ids_of("Hello world")
+
+
+@pytest.mark.parametrize("t", [" " * 5_000_000, "a" + "\n" * 1_000_000 + "b", "a" * 2_000_000, "\u3000" * 300_000, "1" * 1_000_000, " a" * 1_000_000], ids=lambda t: f"{t[:2]!r}x{len(t)}")
+def test_long_runs(t):
+    start = time.time()
+    assert p.Encoder.of(p.VOCABULARY).ids(t) == ids_of(t)[:-1]
+    assert time.time() - start < 60
+
+
+def test_names_of_parts_stay(spark):
+    parts = spark.createDataFrame([(1, 5, "x", 7), (2, 1024, "y", 8)], "doc_id long, length long, offset string, Sequence_ID int")
+    out = p.pack(parts, Scratch(spark))
+    assert out.columns == ["doc_id", "length", "offset", "Sequence_ID", "sequence_id_", "offset_"]
+    assert sorted((r.doc_id, r.offset, r.Sequence_ID, r.offset_) for r in out.collect()) == [(1, "x", 7, 0), (2, "y", 8, 0)]

@@ -79,3 +79,9 @@ def test_private_keys_with_header_lines():
     assert "open text" in s.redact(two)
     assert s.redact(f"-----BEGIN PRIVATE KEY-----\n then prose {keys[2]}").startswith("-----BEGIN PRIVATE KEY-----\n then prose ")
     assert "pem" not in str(s.find_secrets(f"-----BEGIN RSA PRIVATE KEY-----\n{body}-----END EC PRIVATE KEY-----"))
+
+
+def test_columns_of_the_same_name_stay(spark):
+    docs = documents(spark, [(1, "AKIA" + "A" * 16)], extra=True)
+    row = s.scan_secrets(docs).first()
+    assert row.secrets == 1 and row.secrets_[0].kind == "access"

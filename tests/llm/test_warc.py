@@ -122,10 +122,46 @@ def test_end_tags_left_out(page, want):
     assert warc.plain_text(page) == want
 
 
-def test_unclosed_elements_take_linear_time():
+@pytest.mark.parametrize("piece", ["<head><noscript><template><title>x", "<script ", "<script>", "<a ", '<a href="', "<a href='x'>", "<title>", "<title ", "<!--", "<p title='", '"><a "', "<style", "</", "<", "<head><meta ", "<template ", "&amp", "&"])
+def test_long_pages_take_linear_time(piece):
+    page = ("HTTP/1.1 200 OK\r\n\r\n" + piece * (5_000_000 // len(piece))).encode()
     start = time.time()
-    warc.plain_text("<head><noscript><template><title>x" * 50_000)
-    assert time.time() - start < 10
+    assert len(warc.derive([("WARC-Type", "response"), ("WARC-Record-ID", "<x>")], page)) == 2
+    assert time.time() - start < 20
+
+
+@pytest.mark.parametrize(
+    "page,text,links",
+    [
+        ("<p title='a>b' x>c<a href='1'>d</a>", "c d".replace(" ", ""), ["1"]),
+        ("a<b<c>d", "ad", []),
+        ("1 < 2 and <", "1 < 2 and <", []),
+        ("<p title='open>text <a href=x>y</a><p>w", "text y\nw", ["x"]),
+        ("<!-- <a href=no> --><a data-x='>' HREF = \"a b\">t</a><script><a href=no></script><a>u", "t u", ["a b"]),
+        ("x<a href=1", "x<a href=1", []),
+    ],
+)
+def test_tags(page, text, links):
+    assert warc.read_page(page) == (text, links)
+
+
+def test_broken_records():
+    good = warc.response_record(1, "http://h/", PAGE)
+    packed = warc.write_warc([good, good])
+    assert [len(list(warc.parse_records(packed[: len(packed) // 2 + k]))) for k in (30, 400, 10**6)] == [1, 2, 2]  # in a header, in a block
+    assert list(warc.parse_records(packed[:5])) == [] == list(warc.parse_records(b"WARC/1.1\r\nWARC-Type: response"))
+    bare = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nblock"
+    assert [b for _, b in warc.parse_records(bare + b"\r\n\r\n" + good)] == [b"block", list(warc.parse_records(good))[0][1]]
+    assert [b for _, b in warc.parse_records(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort")] == [b"short"]
+    assert len(list(warc.parse_records(b"WARC/1.1\r\n\r\n\r\n\r\n" + good))) == 2
+
+
+def test_clashing_names(spark):
+    prepare(spark)
+    data = [(1, bytearray(warc.response_record(1, "http://h/", PAGE)), "x", 5, "own")]
+    out = warc.derivatives(spark.createDataFrame(data, "id long, record binary, Block string, _d int, record_id string")).collect()
+    assert [(r.Block, r._d, r.record_id) for r in out] == [("x", 5, "own")] * 2
+    assert {r.block_.splitlines()[0] for r in out} == {"One", "source-record-id: " + out[0].refers_to} and all(r.record_id_ for r in out)
 
 
 def chunked(body, size=7):

@@ -7,17 +7,23 @@ every vector of the table to its likeliest part, and routes a query to its sever
 are reranked by exact distance in double precision. How many parts a query probes is measured, not guessed: the fewest
 that reach ``RECALL`` on sample vectors that the network was not trained on.
 
+Parts grow in number with the table: beyond ``MAX_PARTS`` of them, each of these is cut again in the same way, by a task
+of its own from a sample of its own, so that a part stays near ``PART_ROWS`` up to ``MAX_PARTS`` squared of them.
+
 Of vectors that are equal, those beyond the ``k + 1`` smallest ids cannot be among any query's ``k`` nearest, and are
 left out before anything is dealt out; equal queries are searched once. Parts are dealt to tasks in blocks of candidates
-and of queries, so no task holds a whole part, however large.
+and of queries, by the counts of both, so no task holds a whole part, however large or popular; where no more than
+``QUERY_BLOCK`` queries probe a part, its candidates are sent once.
 
 Vectors that are null, zero, hold null or non-finite components, or have another length than most, take no part, nor do
-rows with a null id. Ties go to the smaller id; a repeated id may be found repeatedly. An empty table gives an empty one.
+rows with a null id. An id counts once, as candidate and as query: repeated rows change nothing, and of different vectors
+of one id the smallest one counts. Ties go to the smaller id. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +34,10 @@ from .arrow import hashed_sample, prepare, table
 from .scratch import Scratch
 
 K = 10
-#: Vectors that the partitions are learned from at most; rows that one part is planned for; parts at most.
+#: Vectors that one network is learned from at most; rows that one part is planned for; parts of one network at most.
 SAMPLE, PART_ROWS, MAX_PARTS = 8192, 2048, 256
 #: Recall that probes are set for; candidates and queries of one block.
-RECALL, BLOCK, QUERY_BLOCK = 0.95, 8192, 4096
+RECALL, BLOCK, QUERY_BLOCK = 0.95, 16_384, 16_384
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -147,13 +153,80 @@ def learn(x: np.ndarray, parts: int, k: int = K, recall: float = RECALL) -> Rout
     return router
 
 
+@dataclass
+class Partition:
+    """A router into parts and, where there are many, one for each part into parts of its own."""
+
+    coarse: Router
+    fine: list[Router] | None = None
+
+    @property
+    def parts(self) -> int:
+        return self.coarse.parts * (max(r.parts for r in self.fine) if self.fine else 1)
+
+    def _probe(self, x: np.ndarray, best: bool) -> tuple[np.ndarray, np.ndarray]:
+        def top(router: Router, rows: np.ndarray) -> np.ndarray:
+            odds = router.odds(rows)
+            return odds.argmax(1)[:, None] if best else (-odds).argsort(1, kind="stable")[:, : router.probes]
+
+        first = top(self.coarse, x)
+        row, part = np.repeat(np.arange(len(x)), first.shape[1]), first.ravel()
+        if self.fine:
+            step, rows, parts = self.parts // self.coarse.parts, [], []
+            for p in np.unique(part).tolist():
+                at = row[part == p]
+                second = top(self.fine[p], x[at])
+                rows.append(np.repeat(at, second.shape[1]))
+                parts.append(p * step + second.ravel())
+            row, part = np.concatenate(rows), np.concatenate(parts)
+        return row, part.astype(np.int32)
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        """The part of each row."""
+        row, part = self._probe(x, True)
+        return part[np.argsort(row, kind="stable")]
+
+    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, part)`` of every part that a query probes."""
+        return self._probe(x, False)
+
+
+def _stacked(vectors) -> np.ndarray:
+    return np.stack(vectors.to_numpy())
+
+
+def learn_partition(rows: DataFrame, n: int, scratch: Scratch, k: int = K) -> Partition:
+    """The partition of ``n`` rows ``(vec_id, vec)``. What reaches the driver is ``SAMPLE`` vectors, and one network a part."""
+    sample = hashed_sample(rows, "vec_id", SAMPLE, n).select("vec").toPandas()["vec"]
+    x = _stacked(sample) if len(sample) else np.zeros((0, 0))
+    wanted = n // PART_ROWS
+    if wanted <= MAX_PARTS:
+        return Partition(learn(x, wanted, k))
+    coarse = learn(x, MAX_PARTS, k, math.sqrt(RECALL))
+    dim, space, each = x.shape[1], 1 << 40, math.ceil(wanted / MAX_PARTS)
+    share = min(space, int(SAMPLE * MAX_PARTS / n * space))  # of each part, a sample of about its share of SAMPLE a part
+
+    def place(batches):
+        for pdf in batches:
+            yield pdf.assign(part=coarse.odds(_stacked(pdf["vec"])).argmax(1).astype(np.int32))
+
+    def train_part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = _stacked(pdf.sort_values("vec_id")["vec"])[: 4 * SAMPLE]
+        return pd.DataFrame({"part": [key[0]], "model": [pickle.dumps(learn(own, min(each, MAX_PARTS), k, math.sqrt(RECALL)))]})
+
+    some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(space)) < share)
+    placed = some.mapInPandas(place, f"vec_id long, vec {rows.schema['vec'].dataType.simpleString()}, part int")
+    models = {r.part: pickle.loads(r.model) for r in placed.groupBy("part").applyInPandas(train_part, "part int, model binary").toLocalIterator()}
+    return Partition(coarse, [models.get(p) or learn(np.zeros((0, dim)), 1) for p in range(coarse.parts)])
+
+
 def _nearest(k: int):
     """Per query of a block, the ``k`` nearest candidates by exact distance; ties to the smaller id."""
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"rep": [], "vec_id": [], "score": []})
-        q, x = (np.stack(side["vec"].to_numpy()).astype(np.float64) for side in (left, right))
+        q, x = (_stacked(side["vec"]).astype(np.float64) for side in (left, right))
         ids, reps, out = right["vec_id"].to_numpy(), left["rep"].to_numpy(), []
         sq = (x * x).sum(1)
         for a in range(0, len(q), 256):
@@ -172,8 +245,9 @@ def _nearest(k: int):
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(vec_id, vec)`` of the vectors that take part, as doubles without negative zeros."""
-    v = F.transform(vec_col, lambda x: x.cast("double") + 0.0)
+    """``(vec_id, vec)`` of the vectors that take part, as floats if they are and doubles otherwise, without negative zeros."""
+    kind = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    v = F.transform(vec_col, lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vec"))
     return rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(finite & F.exists("vec", lambda x: x != 0))
@@ -185,40 +259,68 @@ def common_length(rows: DataFrame) -> int:
     return most.n if most else 0
 
 
+def _block_of(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Which of as many blocks an id is dealt to."""
+    spread = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+    return (spread % blocks.astype(np.uint64)).astype(np.int32)
+
+
 def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of ``vectors`` for each of ``queries``, but their own id.
 
     ``queries`` are rows of ``vectors``.
     """
-    prepare(vectors.sparkSession)
-    nth = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
+    spark = vectors.sparkSession
+    prepare(spark)
     good = usable(vectors, id_col, vec_col)
     fits = F.size("vec") == common_length(good)
-    rows = scratch.cut(good.where(fits).withColumn("_n", nth).where(F.col("_n") <= k + 1).drop("_n"))
-    asked = scratch.cut(usable(queries, id_col, vec_col).where(fits))
+    once = good.where(fits).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    nth = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
+    rows = scratch.cut(once.withColumn("_n", nth).where(F.col("_n") <= k + 1).drop("_n"))
+    asked = scratch.cut(usable(queries, id_col, vec_col).where(fits).groupBy("vec_id").agg(F.min("vec").alias("vec")))
     reps = scratch.cut(asked.groupBy("vec").agg(F.min("vec_id").alias("rep")))
-    n, n_queries = rows.count(), reps.count()
-    sample = hashed_sample(rows, "vec_id", SAMPLE, n).select("vec").toPandas()["vec"]
-    router = learn(np.stack(sample) if len(sample) else np.zeros((0, 0)), min(MAX_PARTS, n // PART_ROWS), k)
+    kind = rows.schema["vec"].dataType.simpleString()
+    partition = spark.sparkContext.broadcast(learn_partition(rows, rows.count(), scratch, k))  # MAX_PARTS + 1 networks at most
+    parts = partition.value.parts
 
     def assign(batches):
         for pdf in batches:
-            yield pdf.assign(part=router.odds(np.stack(pdf["vec"])).argmax(1).astype(np.int32))
+            yield pdf.assign(part=partition.value.assign(_stacked(pdf["vec"])))
 
-    def route(batches):
+    def routes(batches):
         for pdf in batches:
-            top = (-router.odds(np.stack(pdf["vec"]))).argsort(1, kind="stable")[:, : router.probes].astype(np.int32)
-            yield pdf.loc[np.repeat(pdf.index, top.shape[1])].assign(part=top.ravel())
-
-    placed = scratch.cut(rows.mapInPandas(assign, "vec_id long, vec array<double>, part int"))
-    sizes = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}  # a row a part
-    blocks = F.array(*[F.lit(max(1, math.ceil(sizes.get(p, 0) / BLOCK))) for p in range(router.parts)])
-    q_blocks = max(1, math.ceil(n_queries * router.probes / router.parts / QUERY_BLOCK))
-    every = F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block")
-    right = placed.select("part", F.pmod(F.xxhash64("vec_id"), F.get(blocks, F.col("part"))).cast("int").alias("block"), every, "vec_id", "vec")
-    routed = reps.mapInPandas(route, "vec array<double>, rep long, part int")
-    left = routed.select("part", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("part")) - 1)).alias("block"), F.pmod(F.xxhash64("rep"), F.lit(q_blocks)).cast("int").alias("q_block"), "rep", "vec")
+            row, part = partition.value.route(_stacked(pdf["vec"]))
+            yield pdf.iloc[row].assign(part=part)
+
+    def counted(placed: DataFrame, size: int) -> np.ndarray:
+        """Of every part, the blocks that its rows fill; a number a part reaches the driver."""
+        blocks = np.zeros(parts, np.int64)
+        for r in placed.groupBy("part").count().toLocalIterator():
+            blocks[r.part] = -(-r["count"] // size)
+        return blocks
+
+    placed = scratch.cut(rows.mapInPandas(assign, f"vec_id long, vec {kind}, part int"))
+    routed = reps.mapInPandas(routes, f"vec {kind}, rep long, part int")
+    blocks = spark.sparkContext.broadcast((counted(placed, BLOCK), counted(routed.select("part"), QUERY_BLOCK)))
+
+    def deal(own: int, id_name: str):
+        """Rows with their own block, once for every block of the other side; none where the other side has no rows."""
+        names = ["block", "q_block"] if own == 0 else ["q_block", "block"]
+
+        def dealt(batches):
+            for pdf in batches:
+                part = pdf["part"].to_numpy()
+                others = blocks.value[1 - own][part]
+                row = np.repeat(np.arange(len(pdf)), others)
+                other = np.arange(len(row)) - np.repeat(others.cumsum() - others, others)
+                mine = _block_of(pdf[id_name].to_numpy(), np.maximum(blocks.value[own][part], 1))
+                yield pdf.iloc[row].assign(**{names[0]: mine[row], names[1]: other.astype(np.int32)})
+
+        return dealt
+
     keys = ["part", "block", "q_block"]
+    right = placed.mapInPandas(deal(0, "vec_id"), f"vec_id long, vec {kind}, part int, block int, q_block int")
+    left = routed.mapInPandas(deal(1, "rep"), f"vec {kind}, rep long, part int, block int, q_block int")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_nearest(k + 1), "rep long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("rep").orderBy("score", "vec_id"))
     few = found.withColumn("_n", best).where(F.col("_n") <= k + 1).drop("_n")

@@ -9,16 +9,18 @@ gap becomes smallest; it opens a new one only where it fits into none. Each shar
 Texts stay where they are: only lengths and checksums move, token ids just where a caller asks for them.
 
 Ids are those of the ``tokenizers`` vocabulary. The same merges in ``tiktoken`` give the same ids several times faster
-(the tests compare both for every character), so that encoder is used wherever no special token's text occurs.
+(the tests compare both for every character), so that encoder is used wherever no special token's text occurs and no run
+of white space is so long that its regular expressions would run out of stack.
 
 Null text is empty: one piece with the end id alone. Repeated rows and ids are pieces of their own. An empty table gives
-an empty one.
+an empty one. Columns that ``parts`` has keep their names; a new one of the same name gets an underscore more.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 
 import numpy as np
@@ -36,6 +38,9 @@ CAPACITY, END = 1024, 2
 SHARD = 4096
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
+#: White space of which the fast encoder, which backtracks over it, is given less.
+LONG_BLANK = 10_000
+_BLANKS = re.compile(rf"\s{{{LONG_BLANK}}}")
 
 
 class Encoder:
@@ -57,7 +62,8 @@ class Encoder:
 
     def ids(self, text: str | None) -> list[int]:
         text = text or ""
-        return self.exact.encode(text, add_special_tokens=False).ids if SPECIAL in text else self.fast.encode_ordinary(text)
+        slow = SPECIAL in text or (len(text) >= LONG_BLANK and _BLANKS.search(text))
+        return self.exact.encode(text, add_special_tokens=False).ids if slow else self.fast.encode_ordinary(text)
 
 
 def pieces(ids: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -116,19 +122,19 @@ def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def pack(parts: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
     """``parts``, which have a ``length`` of 1 to ``capacity``, with ``sequence_id`` and ``offset`` more."""
     # the row's place in a written table: it deals pieces out evenly even if all keys are equal
-    row, shard = fresh(parts, "_row"), fresh(parts, "_shard")
+    row, shard, sequence_id, offset = (fresh(parts, c) for c in ("_row", "_shard", "sequence_id", "offset"))
     numbered = scratch.cut(parts.withColumn(row, F.monotonically_increasing_id()))
     full, short = numbered.where(F.col("length") == capacity), numbered.where(F.col("length") < capacity)
     shards = max(1, math.ceil(short.count() / SHARD))
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row, ignore_index=True)
-        sequence, offset = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=(key[0] << 32) + sequence, offset=offset).drop(columns=[row, shard])
+        sequence, at = sum_of_squares(pdf["length"].to_numpy(), capacity)
+        return pdf.assign(**{sequence_id: (key[0] << 32) + sequence, offset: at}).drop(columns=[row, shard])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + f", `{sequence_id}` long, `{offset}` long"
     dealt = short.withColumn(shard, F.pmod(F.xxhash64(row), F.lit(shards)))
-    whole = full.select(*parts.columns, (-1 - F.col(row)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = full.select(*parts.columns, (-1 - F.col(row)).alias(sequence_id), F.lit(0).cast("long").alias(offset))
     return whole.unionByName(dealt.groupBy(shard).applyInPandas(place, schema))
 
 

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .arrow import hashed_sample, prepare, table
+from .arrow import fresh, hashed_sample, prepare, table
 
 #: Labelled documents that are fitted at most.
 MAX_LABELLED = 20_000
@@ -152,9 +152,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_documents(docs: DataFrame, model: Trees, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with a score more; every column and row stays."""
+    """``docs`` with a score more, under a name like ``out_col`` that is free; every column and row stays."""
     prepare(docs.sparkSession)
-    return docs.withColumn(out_col, scorer(model)(F.col(text_col)))
+    return docs.withColumn(fresh(docs, out_col), scorer(model)(F.col(text_col)))
 
 
 def production_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Trees:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .arrow import table
+from .arrow import fresh, table
 from .scratch import Scratch
 from .words import SPACES, WORD_RE
 
@@ -64,13 +64,18 @@ def repeat_words(words: Column, width: int = 3) -> Column:
 
 
 def text_stats(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
-    """``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) of each whole text."""
+    """``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) of each whole text.
+
+    A kept column of one of these names stays as it is; the statistic then gets an underscore more.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_RE))
     from_words = let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), F.char_length(F.array_join(w, "")).alias("c"), repeat_words(w).alias("r")))
-    whole = docs.select(*keep, from_words.alias("_w"), F.regexp_count(text, F.lit(SYMBOLS)).alias("_s"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("_d"))
-    named = {"n_words": "_w.n", "word_chars": "_w.c", "n_symbols": "_s", "n_dup_lines": "_d", "n_repeat_words": "_w.r"}
-    return whole.select(*[c for c in whole.columns if c not in ("_w", "_s", "_d")], *[F.col(v).cast("long").alias(k) for k, v in named.items()])
+    kept = docs.select(*keep)
+    at = fresh(kept, "_stats")
+    stats = F.struct(from_words.alias("w"), F.regexp_count(text, F.lit(SYMBOLS)).alias("s"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("d"))
+    named = {"n_words": "w.n", "word_chars": "w.c", "n_symbols": "s", "n_dup_lines": "d", "n_repeat_words": "w.r"}
+    return docs.select(*keep, stats.alias(at)).select(*[f"`{c}`" for c in kept.columns], *[F.col(f"{at}.{v}").cast("long").alias(fresh(kept, k)) for k, v in named.items()])
 
 
 def base_failed() -> Column:

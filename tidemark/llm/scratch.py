@@ -7,6 +7,7 @@ A step that is read more than once (or that ends a round of an iteration) is wri
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,17 @@ _own: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where the setting is absent (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder if all tasks run in the driver's process (tests); a cluster's executors would
+    not see each other's files there, so that is an error.
+    """
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="tidemark-")
     return _own
@@ -37,7 +44,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._paths: list[tuple[DataFrame, str]] = []  # frames are held, so that none is taken for another
         atexit.register(self._delete, self.root)
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -45,13 +52,13 @@ class Scratch:
         path = f"{self.root}/{self._n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._paths.append((out, path))
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
-        for df in frames:
-            if df is not None and (path := self._paths.pop(id(df), None)):
-                self._delete(path)
+        for path in [path for df, path in self._paths if any(df is x for x in frames)]:
+            self._delete(path)
+        self._paths = [(df, path) for df, path in self._paths if not any(df is x for x in frames)]
 
     def _delete(self, path: str) -> None:
         try:

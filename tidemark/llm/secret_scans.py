@@ -20,7 +20,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .arrow import prepare, table
+from .arrow import fresh, prepare, table
 
 #: The base kinds, in the order in which spans of one start are listed.
 BASE = ("assign", "access", "hex")
@@ -129,9 +129,9 @@ def _scan(texts: pd.Series) -> pd.Series:
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
-    """``docs`` with an array of ``(start, end, kind)`` more; every column and row stays."""
+    """``docs`` with an array of ``(start, end, kind)`` more, under a name like ``out_col`` that is free; every column and row stays."""
     prepare(docs.sparkSession)
-    return docs.withColumn(out_col, _scan(F.col(text_col)))
+    return docs.withColumn(fresh(docs, out_col), _scan(F.col(text_col)))
 
 
 def _joined(spans: Column) -> Column:

@@ -6,7 +6,8 @@ the response's own id, digests and other WARC headers, HTTP status line and head
 derived from the source's id, so a retried task makes the same records.
 
 Text conversion drops comments, scripts, styles and the head, breaks lines at block elements, removes other tags,
-resolves character references and collapses white space.
+resolves character references and collapses white space, in time linear in the page's length. Records that are cut short
+or lack a length are read as far as they reach.
 
 A null record gives no derivatives; a null page is an empty payload; a null URL leaves the target URI out. Payloads are
 never cut. Rows that are equal in page_id, URL and page are the same record with the same id. An empty table gives an
@@ -28,23 +29,26 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .arrow import prepare, table
+from .arrow import fresh, prepare, table
 
 Headers = list[tuple[str, str]]
 #: Fixed value: the date of the records that stand for the pages table, which has none.
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-SKIPPED = re.compile(r"<(?:(!--)|(script|style|noscript|template|head)\b[^>]*>)", re.I)
-ENDS = {"!--": re.compile("-->")} | {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "title")}
+#: Elements whose content is no readable text; of the first two, one without an end tag reaches to the end of the page.
+SKIPPED = ("script", "style", "noscript", "template", "head")
 #: What a head may hold beside skipped elements and a title; anything else, even text, is of the body.
-IN_HEAD = re.compile(r"\s+|</?(?:meta|link|base|basefont|bgsound|html)\b[^>]*>|</(?:script|style|noscript|template|title)\s*>", re.I)
-OPEN_TITLE, END_HEAD = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</head\s*>", re.I)
+IN_HEAD = frozenset("meta link base basefont bgsound html /html /meta /link /base /script /style /noscript /template /title".split())
+ENDS = {"!--": re.compile("-->")} | {n: re.compile(rf"</{n}\s*>", re.I) for n in (*SKIPPED, "title")}
+OPENING = re.compile(r"<(!--|/?[a-zA-Z][a-zA-Z0-9]*|[/!?])")
+#: The rest of a tag, up to a ``>`` outside quotes; possessive, so one attempt reads no character twice.
+TO_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+OPEN_TITLE = re.compile(r"<title\b", re.I)
+SPACE_RUN = re.compile(r"\s*")
 CHUNK = re.compile(rb"([0-9A-Fa-f]{1,8})[ \t]*(?:;[^\r\n]*)?\r\n")
 #: Source headers that the derived records' own fields hold, or that only describe the source's block.
 CARRIED = frozenset("warc-type warc-record-id warc-date warc-target-uri warc-block-digest warc-payload-digest content-type content-length".split())
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-TAG = re.compile(r"""<(/?[a-zA-Z][a-zA-Z0-9]*)(?:[^>"']|"[^"]*"|'[^']*')*+>|<[/!?a-zA-Z][^>]*>""")
 #: Elements that begin and end lines.
 BLOCKS = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
 
@@ -59,17 +63,42 @@ def format_record(headers: Headers, block: bytes) -> bytes:
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
+def _gunzipped(data: bytes) -> bytes:
+    """All members one after the other, as far as they can be read."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        try:
+            out += [z.decompress(data), z.flush()]
+        except zlib.error:
+            break
+        data = z.unused_data
+    return b"".join(out)
+
+
 def parse_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
-    """The records of a WARC file, plain or with a gzip member for each record."""
+    """The records of a WARC file, plain or with a gzip member for each record.
+
+    What is broken costs no more than itself: a truncated file gives what is there, a record whose header does not end
+    is left out, and one without a readable length reaches up to the next record.
+    """
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = _gunzipped(data)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        headers = parse_fields(data[data.index(b"\r\n", at) + 2 : end])
-        size = int(next(v for k, v in headers if k.lower() == "content-length"))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        first = data.find(b"\r\n", at, end)
+        headers = parse_fields(data[first + 2 : end]) if first >= 0 else []
+        said = (header(headers, "Content-Length") or "").strip()
+        if said.isascii() and said.isdigit():
+            to = min(end + 4 + int(said), len(data))
+        else:
+            to = data.find(b"\r\n\r\nWARC/", end + 2)
+            to = max(to, end + 4) if to >= 0 else len(data)
+        yield headers, data[end + 4 : to]
+        at = to
 
 
 def parse_fields(raw: bytes) -> Headers:
@@ -96,56 +125,94 @@ def header(headers: Headers, name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
-def without_skipped(page: str) -> str:
-    """A page with a space for each comment, script, style, noscript, template and head.
+class _Reader:
+    """One pass over a page. What cannot be found any more is remembered, so the time is linear in any page's length.
 
-    Comments, scripts and styles without an end reach to the end of the page, as in browsers; others are no more than
-    tags then. A head's end tag may be left out: it ends before the first thing that cannot be in a head.
+    Comments, scripts and styles without an end reach to the end of the page, as in browsers; other skipped elements are
+    no more than tags then. A head's end tag may be left out: it ends before the first thing that cannot be in a head. A
+    ``<`` that no ``>`` follows is text. Once a tag's quotes do not close, quotes mean nothing in later tags.
     """
-    never: set[str] = set()  # names that are not closed any more
-    out, last, at = [], 0, 0
 
-    def end(name: str, start: int) -> int | None:
-        if name in never:
+    def __init__(self, page: str):
+        self.page, self.never, self.quotes, self.tags = page, set(), True, True
+
+    def tag_end(self, at: int) -> int | None:
+        """Where the tag ends whose name ends at ``at``."""
+        if self.quotes:
+            if m := TO_END.match(self.page, at):
+                return m.end()
+            self.quotes = False
+        end = self.page.find(">", at) + 1 if self.tags else 0
+        self.tags = end > 0
+        return end or None
+
+    def element_end(self, name: str, at: int) -> int | None:
+        """Where the element ends whose opening tag ends at ``at``; None if its tags are only tags."""
+        if name in self.never:
             return None
-        if m := ENDS[name].search(page, start):
+        if m := ENDS[name].search(self.page, at):
             return m.end()
         if name in ("!--", "script", "style"):
-            return len(page)
-        never.add(name)
+            return len(self.page)
+        self.never.add(name)
         return None
 
-    def end_of_head(i: int) -> int:
+    def head_end(self, at: int) -> int:
         while True:
-            if m := IN_HEAD.match(page, i):
-                i = m.end()
-            elif m := END_HEAD.match(page, i):
-                return m.end()
-            elif m := OPEN_TITLE.match(page, i):
-                if (to := end("title", m.end())) is None:
-                    return i
-                i = to
-            elif (m := SKIPPED.match(page, i)) and (name := (m[1] or m[2]).lower()) != "head":
-                if (to := end(name, m.end())) is None:
-                    return i
-                i = to
+            at = SPACE_RUN.match(self.page, at).end()
+            m = OPENING.match(self.page, at)
+            name = m[1].lower() if m else ""
+            if name == "/head":
+                return self.tag_end(m.end()) or at
+            if name == "!--":
+                at = self.element_end(name, m.end())
+                continue
+            if not (name in IN_HEAD or name == "title" or (name in SKIPPED and name != "head")):
+                return at
+            end = self.tag_end(m.end())
+            if end is not None and name not in IN_HEAD:
+                end = self.element_end(name, end)
+            if end is None:
+                return at
+            at = end
+
+    def read(self) -> tuple[str, list[str]]:
+        """The text with a line for each block, and the targets of links outside skipped elements."""
+        page, out, links, at, last = self.page, [], [], 0, 0
+        while self.tags and (m := OPENING.search(page, at)):
+            name = m[1].lower()
+            if name == "!--":
+                end, mark = self.element_end(name, m.end()), " "
+            elif (end := self.tag_end(m.end())) is None:
+                break
+            elif name in SKIPPED:
+                inner = self.head_end(end) if name == "head" else self.element_end(name, end)
+                end, mark = (end, "") if inner is None else (inner, " ")
             else:
-                return i
+                mark = "\n" if name.lstrip("/") in BLOCKS else ""
+                if name == "a" and (href := HREF.search(page, m.end(), end)):
+                    links.append(next(filter(None, href.groups()), ""))
+            out += [page[last : m.start()], mark]
+            at = last = end
+        return "".join([*out, page[last:]]), links
+
+
+def title_of(page: str) -> str | None:
+    """The content of the first title that is closed."""
+    if (m := OPEN_TITLE.search(page)) and (end := page.find(">", m.end()) + 1) and (close := ENDS["title"].search(page, end)):
+        return page[end : close.start()]
+    return None
 
-    while m := SKIPPED.search(page, at):
-        name = (m[1] or m[2]).lower()
-        to = end_of_head(m.end()) if name == "head" else end(name, m.end())
-        at = m.end() if to is None else to
-        if to is not None:
-            out += [page[last : m.start()], " "]
-            last = to
-    return "".join([*out, page[last:]])
+
+def read_page(page: str) -> tuple[str, list[str]]:
+    """The readable text of an HTML page, a line for each block, and its links as they are written."""
+    raw, links = _Reader(page.replace("\n", " ")).read()
+    text = html.unescape(raw)
+    return "\n".join(x for line in text.split("\n") if (x := " ".join(line.split()))), links
 
 
 def plain_text(page: str) -> str:
-    """The readable text of an HTML page, a line for each block."""
-    text = html.unescape(TAG.sub(lambda m: "\n" if (m[1] or "").lstrip("/").lower() in BLOCKS else "", without_skipped(page.replace("\n", " "))))
-    return "\n".join(x for line in text.split("\n") if (x := " ".join(line.split())))
+    return read_page(page)[0]
 
 
 def response_record(page_id: object, url: str | None, page: str | None) -> bytes:
@@ -218,16 +285,17 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
         page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         page = body.decode("utf-8", "replace")
-    text = plain_text(page).encode("utf-8", "surrogatepass")
+    text, links = read_page(page)
+    text = text.encode("utf-8", "surrogatepass")
     payload_digest = header(headers, "WARC-Payload-Digest") or digest(payload)
     shared = [(k, v) for k in ("WARC-Target-URI", "WARC-Date") if (v := header(headers, k)) is not None]
     conversion = f"<urn:uuid:{uuid.uuid5(SPACE, source + ' conversion')}>"
-    title = TITLE.search(page)
+    title = title_of(page)
     lines = [("source-record-id", source), ("source-block-digest", header(headers, "WARC-Block-Digest") or digest(block)), ("source-payload-digest", payload_digest), ("conversion-record-id", conversion)]
     lines += [(f"source-header-{k}", v) for k, v in headers if k.lower() not in CARRIED]
     lines += [("http-status", status.decode("utf-8", "replace"))] + [(f"http-header-{k}", v) for k, v in http]
-    lines += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
-    lines += [("outlink", html.unescape(next(filter(None, m), "")).strip()) for m in LINK.findall(page)]
+    lines += [("title", " ".join(html.unescape(title).split()))] if title is not None else []
+    lines += [("outlink", html.unescape(x).strip()) for x in links]
     meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in lines).encode("utf-8", "surrogatepass")
 
     def record(kind: str, name: str, content: str, body: bytes) -> tuple[Headers, bytes]:
@@ -261,10 +329,15 @@ def page_responses(id_: Column, url: Column, page: Column) -> Column:
 
 
 def derivatives(responses: DataFrame, record_col: str = "record") -> DataFrame:
-    """A row for each derived record, beside the other columns: its header fields and its block as text."""
+    """A row for each derived record, beside the other columns: its header fields and its block as text.
+
+    The other columns keep their names; a field of the same name gets an underscore more.
+    """
     prepare(responses.sparkSession)
-    rest = [c for c in responses.columns if c != record_col]
-    return responses.select(*rest, F.explode(_derived(F.col(record_col))).alias("_d")).select(*rest, *[f"_d.{f}" for f in _FIELDS])
+    rest, made = responses.drop(record_col), fresh(responses, "_d")
+    kept = [f"`{c}`" for c in rest.columns]
+    exploded = responses.select(*kept, F.explode(_derived(F.col(record_col))).alias(made))
+    return exploded.select(*kept, *[F.col(f"{made}.{f}").alias(fresh(rest, f)) for f in _FIELDS])
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
