@@ -2,6 +2,8 @@ import corpus_pipeline as c
 import numpy as np
 from tidemark.llm import mixing, packing, quality_classifier as q, secret_scans, simhash
 
+from tidemark.llm.scratch import Scratch
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -38,8 +40,8 @@ def test_stages_equal_their_operators_by_brute_force(spark):
 
     mixed = stages["mixing"](spark, clean, SF)
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= want
-    _, _, p = mixing.mix(clean, mixing.TARGETS)
-    assert mixed.count() == clean.where(mixing.draw(clean.doc_id) < p).count() > 0
+    drawn = {r.doc_id for r in mixing.judged(clean, mixing.TARGETS, Scratch(spark)).collect() if r.kept}
+    assert {r.doc_id for r in mixed.collect()} == drawn and drawn
 
     packed = c.run(spark, SF).collect()
     encode = packing.Encoder.of(packing.VOCABULARY).ids

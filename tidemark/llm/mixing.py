@@ -3,35 +3,38 @@
 Token weights of (source, language, topic) cells are raked: in turn for each of the three dimensions, cells are scaled so
 that their sums meet that dimension's target shares. What a target does not name is one value, ``OTHER``, so there are
 at most as many cells as the product of the targets' sizes, whatever the corpus holds: cells are counted where the
-documents are, and only their sums are raked on the driver. A document is then kept with a probability of its cell's
-factor times a share of tokens to keep. Nothing is repeated, so no probability is above 1: cells that would be are kept
-whole and the others are raked again, and where no more than some share below ``KEEP`` lets all targets hold, that share is
-kept (``bounded_rake``). The registered query ends as its SQL does instead: factors times ``KEEP``, cut at 1, and no second
-raking. The draw hashes the id, so it is repeatable and independent of how rows are spread.
+documents are, and only their sums are raked on the driver. A document is kept with its cell's probability. Nothing is
+repeated, so no probability may be above 1: after each scaling cells are cut at 1, and the next scalings give what that
+takes to the others. Whether this ends at the targets depends on how many tokens are to be kept, so it is done for a
+series of kept shares (``SHARES``, each ``STEP`` of the one before), and the largest is taken whose shares come within
+``NEAR`` of all targets after ``ROUNDS`` rounds. Where none does, since cells that the targets need are empty, cells are
+kept in proportion to their raked factors without a cut. The draw hashes the id, so it is repeatable and independent of
+how rows are spread.
 
 A null id is drawn as the empty string; a null source, language or text counts as ``OTHER``, as ``OTHER`` and as no tokens.
-A value that has a target but no tokens keeps none, and the others share what it leaves. Rows of one id share a draw. An
+A value that has a target but no tokens keeps none, and the others share what it leaves; if no value with tokens has a
+target, nothing is kept. Without any tokens, all rows are kept with probability ``keep``. Rows of one id share a draw. An
 empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .arrow import table
+from .scratch import Scratch
 from .words import WORD_RE
 
 OTHER = "*"
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS = 20
+ROUNDS = 100
 #: The share of all tokens to keep, if the targets allow as much.
 KEEP = 0.8
-#: Of bounded raking: rounds at most, how near each share comes to its target, and halvings of the search for the kept share.
-BOUNDED_ROUNDS, NEAR, HALVINGS = 500, 1e-4, 12
+#: Kept shares that are tried, each as a part of the one before, and how near every share has to come to its target.
+SHARES, STEP, NEAR = 90, 0.95, 1e-3
 #: The production targets, as shares of tokens.
 TARGETS = {
     "source": {"src0": 0.25, "src1": 0.05, "src2": 0.05, OTHER: 0.65},
@@ -49,78 +52,50 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
-def rake(weights: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """Factors by which ``weights`` (one axis a dimension) meet the marginal ``targets``, after ``rounds`` rounds.
+def rake(weights: np.ndarray, targets: list[np.ndarray], kept: np.ndarray, most: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Factors by which ``weights`` (one axis a dimension) meet the marginal ``targets`` of ``kept`` tokens.
 
-    The total stays that of ``weights``. Cells without weight keep the factor of their marginals.
+    ``kept`` and ``most``, the bound that factors are cut at, hold a number for each problem; so does the first axis of
+    the result. Values without weight are left out of their targets.
     """
-    factor, total = np.ones(weights.shape), weights.sum()
+    sums = [weights.sum(tuple(k for k in range(weights.ndim) if k != axis)) for axis in range(weights.ndim)]
+    shares = [np.where(h > 0, t, 0.0) for h, t in zip(sums, targets)]
+    shares = [s / s.sum() if s.sum() else s for s in shares]
+    total, one = weights.sum(), [1] * weights.ndim
+    factor = np.ones((len(kept), *weights.shape)) * (kept / total).reshape(-1, *one)
     for _ in range(rounds):
-        for axis, target in enumerate(targets):
-            others = tuple(k for k in range(weights.ndim) if k != axis)
-            have = (weights * factor).sum(others)
-            goal = np.where(have > 0, target, 0)
-            goal = goal / goal.sum() * total if goal.sum() else goal
-            scale = np.divide(goal, have, out=np.ones_like(have), where=have > 0)
-            factor = factor * scale.reshape([-1 if k == axis else 1 for k in range(weights.ndim)])
+        for axis, share in enumerate(shares):
+            have = (weights * factor).sum(tuple(k + 1 for k in range(weights.ndim) if k != axis))
+            scale = np.divide(share * kept[:, None], have, out=np.ones_like(have), where=have > 0)
+            scale = scale.reshape(-1, *[n if k == axis else 1 for k, n in enumerate(weights.shape)])
+            factor = np.minimum(factor * scale, most.reshape(-1, *one))
     return factor
 
 
-def _level(weights: np.ndarray, rest: np.ndarray, goal: float) -> float:
-    """The ``a`` for which the sum of ``weights * min(a * rest, 1)`` is ``goal``, or all that can be kept."""
-    free, a = weights * rest > 0, 0.0
-    while free.any():
-        a = max((goal - weights[(weights > 0) & (rest > 0) & ~free].sum()) / (weights * rest)[free].sum(), 0.0)
-        over = free & (a * rest > 1)
-        if not over.any():
-            return a
-        free &= ~over
-    live = rest[(weights > 0) & (rest > 0)]
-    return float(1 / live.min()) if len(live) else 0.0
+def distance(weights: np.ndarray, targets: list[np.ndarray], kept: float, p: np.ndarray) -> float:
+    """How far the kept shares are from their targets, at most."""
+    far = 0.0
+    for axis, target in enumerate(targets):
+        others = tuple(k for k in range(weights.ndim) if k != axis)
+        share = np.where(weights.sum(others) > 0, target, 0.0)
+        if share.sum():
+            far = max(far, float(np.abs((weights * p).sum(others) / kept - share / share.sum()).max()))
+    return far
 
 
-def _bounded(weights: np.ndarray, shares: list[np.ndarray], kept: float) -> np.ndarray | None:
-    """Probabilities of at most 1 that keep ``kept`` tokens in these ``shares``; None if raking does not get there."""
-    sides = [np.ones(n) for n in weights.shape]
-    for _ in range(BOUNDED_ROUNDS):
-        for axis, share in enumerate(shares):
-            rest = functools.reduce(np.multiply.outer, [s for k, s in enumerate(sides) if k != axis], np.ones(())).ravel()
-            cells = np.moveaxis(weights, axis, 0).reshape(len(share), -1)
-            sides[axis] = np.array([_level(w, rest, g * kept) if w.any() else 1.0 for w, g in zip(cells, share)])
-            if sides[axis].max() > 1e60:  # drifts: the targets cannot be met
-                return None
-        p = np.minimum(functools.reduce(np.multiply.outer, sides), 1)
-        got = [(weights * p).sum(tuple(k for k in range(weights.ndim) if k != axis)) / kept for axis in range(weights.ndim)]
-        if max(np.abs(g - s).max() for g, s in zip(got, shares)) <= NEAR:
-            return p
-    return None
-
-
-def bounded_rake(weights: np.ndarray, targets: list[np.ndarray], keep: float, rounds: int = ROUNDS) -> np.ndarray:
-    """Probabilities of at most 1 under which the kept weights meet the marginal ``targets``.
-
-    ``keep`` of all weight is kept or, if the targets do not allow that, about the largest share that they do. Where they
-    hold for no share, since cells they need are empty, cells are kept in proportion to the factors of ``rake``.
-    """
+def probabilities(weights: np.ndarray, targets: list[np.ndarray], keep: float = KEEP, rounds: int = ROUNDS) -> np.ndarray:
+    """Probabilities of at most 1 under which the kept weights meet the marginal ``targets``; see the module's text."""
     total = weights.sum()
     if not total:
         return np.full(weights.shape, min(keep, 1.0))
-    have = [weights.sum(tuple(k for k in range(weights.ndim) if k != axis)) for axis in range(weights.ndim)]
-    shares = [np.where(h > 0, t, 0.0) for h, t in zip(have, targets)]
-    if all(s.sum() for s in shares):
-        shares = [s / s.sum() for s in shares]
-        low, high, best = 0.0, min([keep * total, total, *(float((h[s > 0] / s[s > 0]).min()) for h, s in zip(have, shares))]), None
-        at = high
-        for _ in range(HALVINGS):
-            p = _bounded(weights, shares, at)
-            low, high, best = (at, high, p) if p is not None else (low, at, best)
-            if low == high:
-                break
-            at = (low + high) / 2
-        if best is not None:
-            return best
-    factor = rake(weights, targets, rounds)
-    return np.minimum(factor * min(keep, 1 / max(factor[weights > 0].max(), 1e-300)), 1)
+    kept = np.append(keep * total * STEP ** np.arange(SHARES), total)
+    most = np.append(np.ones(SHARES), np.inf)
+    p = rake(weights, targets, kept, most, rounds)
+    for k in range(SHARES):
+        if distance(weights, targets, kept[k], p[k]) <= NEAR:
+            return p[k]
+    largest = p[-1][weights > 0].max()
+    return np.where(weights > 0, p[-1], 0) * (min(keep, 1 / largest) if largest else 0)
 
 
 @dataclass
@@ -149,14 +124,13 @@ def with_other(targets: dict[str, dict[str, float]]) -> dict[str, dict[str, floa
     return {d: s if OTHER in s else {**s, OTHER: 0.0} for d, s in targets.items()}
 
 
-def calibrate(docs: DataFrame, values: dict[str, Column], tokens: Column, targets: dict[str, dict[str, float]], keep: float = KEEP, rounds: int = ROUNDS, cut: bool = False) -> Mixture:
-    """Counts tokens by cell and rakes them; ``cut``: by factors alone. The cells that reach the driver are bounded by ``targets``."""
+def calibrate(docs: DataFrame, values: dict[str, Column], tokens: Column, targets: dict[str, dict[str, float]], keep: float = KEEP, rounds: int = ROUNDS) -> Mixture:
+    """Counts tokens by cell and rakes them. The cells that reach the driver are bounded by ``targets``."""
     targets = with_other(targets)
     weights = np.zeros([len(s) for s in targets.values()])
     for row in docs.groupBy(*[fold(values[d], s).alias(d) for d, s in targets.items()]).agg(F.sum(tokens).alias("n")).collect():
         weights[tuple(list(s).index(row[d]) for d, s in targets.items())] = row.n or 0
-    shares = [np.array(list(s.values())) for s in targets.values()]
-    return Mixture(targets, np.minimum(keep * rake(weights, shares, rounds), 1) if cut else bounded_rake(weights, shares, keep, rounds))
+    return Mixture(targets, probabilities(weights, [np.array(list(s.values())) for s in targets.values()], keep, rounds))
 
 
 def draw(doc_id: Column) -> Column:
@@ -164,23 +138,24 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substr(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("double") / float(2**32)
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]], keep: float = KEEP, rounds: int = ROUNDS, cut: bool = False) -> tuple[Column, Column, Column]:
-    """Of ``docs`` (doc_id, text, source, lang and any more): columns of tokens, topic and probability to be kept."""
-    topic, tokens = topic_of(F.coalesce("text", F.lit(""))), tokens_of(F.col("text"))
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]], topic: Column | None = None, keep: float = KEEP) -> DataFrame:
+    """The sampled rows of ``docs`` (doc_id, text, source, lang and any more). ``topic``: a column of theirs that gives it."""
+    topic = topic_of(F.coalesce("text", F.lit(""))) if topic is None else topic
     values = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
-    probability = calibrate(docs, values, tokens, targets, keep, rounds, cut).column(values)
-    return tokens, topic, probability
+    return docs.where(draw(F.col("doc_id")) < calibrate(docs, values, tokens_of(F.col("text")), targets, keep).column(values))
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
-    """The sampled rows of ``docs``, with its columns."""
-    return docs.where(draw(F.col("doc_id")) < mix(docs, targets)[2])
+def judged(docs: DataFrame, targets: dict[str, dict[str, float]], scratch: Scratch, topic: Column | None = None, keep: float = KEEP) -> DataFrame:
+    """``(doc_id, tokens, topic, keep_probability, kept)`` of every row of ``docs``; texts are read once."""
+    topic = topic_of(F.coalesce("text", F.lit(""))) if topic is None else topic
+    counted = scratch.cut(docs.select("doc_id", "source", "lang", topic.alias("topic"), tokens_of(F.col("text")).alias("tokens")))
+    values = {d: F.col(d) for d in DIMENSIONS}
+    p = calibrate(counted, values, F.col("tokens"), targets, keep).column(values)
+    return counted.select("doc_id", "tokens", "topic", F.round(p, 6).alias("keep_probability"), (draw(F.col("doc_id")) < p).alias("kept"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    tokens, topic, p = mix(docs, TARGETS, cut=True)
-    return docs.select("doc_id", tokens.alias("tokens"), topic.alias("topic"), F.round(p, 6).alias("keep_probability"), (draw(F.col("doc_id")) < p).alias("kept"))
+    return judged(table(spark, sf_dir, "documents"), TARGETS, Scratch(spark))
 
 
 def _oracle() -> str:
@@ -188,28 +163,40 @@ def _oracle() -> str:
         return f"CASE WHEN {column} IN ({', '.join(repr(k) for k in TARGETS[d] if k != OTHER)}) THEN {column} ELSE '{OTHER}' END"
 
     targets = with_other(TARGETS)
-    steps = [
-        f"""d AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '{WORD_RE}')), 0)::BIGINT AS tokens, {folded('source', 'source')} AS source,
-  {folded('lang', 'lang')} AS lang,
-  CASE WHEN coalesce(text, '') ILIKE '%license%' OR coalesce(text, '') ILIKE '%rights reserved%' THEN 'legal' WHEN regexp_matches(coalesce(text, ''), '[0-9]') THEN 'data' ELSE 'prose' END AS topic
-  FROM documents)""",
-        "f0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS n, 1.0::DOUBLE AS f FROM d GROUP BY ALL)",
-    ]
-    k = 0
-    for _ in range(ROUNDS):
-        for dim, shares in targets.items():
-            cases = " ".join(f"WHEN '{v}' THEN {s}" for v, s in shares.items())
-            steps.append(f"""m{k} AS MATERIALIZED (SELECT {dim}, sum(n * f) AS have, CASE {dim} {cases} END AS share FROM f{k} GROUP BY {dim}),
-g{k} AS MATERIALIZED (SELECT {dim} AS v, share / (SELECT sum(share) FROM m{k} WHERE have > 0) * (SELECT sum(n) FROM f0) / have AS s FROM m{k} WHERE have > 0),
-f{k + 1} AS MATERIALIZED (SELECT source, lang, topic, n, f * coalesce(s, 1) AS f FROM f{k} LEFT JOIN g{k} ON v = {dim})""")
-            k += 1
-    return (
-        "WITH " + ",\n".join(steps) + f""",
-p AS MATERIALIZED (SELECT source, lang, topic, least({KEEP} * f, 1) AS p FROM f{k})
-SELECT doc_id, tokens, topic, round(p, 6) AS keep_probability,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < p AS kept
-FROM d JOIN p USING (source, lang, topic)"""
-    )
+    axis = "CASE i % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE topic END"
+    goal = "CASE d " + " ".join(f"WHEN '{d}' THEN CASE v " + " ".join(f"WHEN '{v}' THEN {x}" for v, x in s.items()) + " END" for d, s in targets.items()) + " END"
+    return f"""WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, coalesce(len(regexp_extract_all(text, '{WORD_RE}')), 0)::BIGINT AS tokens, {folded('source', 'source')} AS source, {folded('lang', 'lang')} AS lang,
+    CASE WHEN coalesce(text, '') ILIKE '%license%' OR coalesce(text, '') ILIKE '%rights reserved%' THEN 'legal' WHEN regexp_matches(coalesce(text, ''), '[0-9]') THEN 'data' ELSE 'prose' END AS topic
+  FROM documents),
+c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS n FROM d GROUP BY ALL),
+total AS MATERIALIZED (SELECT sum(n) AS total FROM c),
+h AS (SELECT 'source' AS d, source AS v, sum(n) AS h FROM c GROUP BY ALL UNION ALL SELECT 'lang', lang, sum(n) FROM c GROUP BY ALL UNION ALL SELECT 'topic', topic, sum(n) FROM c GROUP BY ALL),
+g AS MATERIALIZED (SELECT d, v, coalesce(s / nullif(sum(s) OVER (PARTITION BY d), 0), 0) AS share FROM (SELECT d, v, CASE WHEN h > 0 THEN {goal} ELSE 0 END AS s FROM h)),
+cells AS MATERIALIZED (
+  SELECT source, lang, topic, n, gs.share AS s0, gl.share AS s1, gt.share AS s2 FROM c
+  JOIN g gs ON gs.d = 'source' AND gs.v = source JOIN g gl ON gl.d = 'lang' AND gl.v = lang JOIN g gt ON gt.d = 'topic' AND gt.v = topic),
+problems AS MATERIALIZED (
+  SELECT j, CASE WHEN j < {SHARES} THEN {KEEP} * total * pow({STEP}, j) ELSE total END AS kept, CASE WHEN j < {SHARES} THEN 1 ELSE 1e300 END AS most
+  FROM range({SHARES + 1}) t(j), total WHERE total > 0),
+r(i, j, kept, most, source, lang, topic, n, s0, s1, s2, p) AS (
+  SELECT 0, j, kept, most, source, lang, topic, n, s0, s1, s2, kept / total FROM problems, cells, total
+  UNION ALL
+  SELECT i + 1, j, kept, most, source, lang, topic, n, s0, s1, s2,
+    least(p * coalesce(CASE i % 3 WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END * kept / nullif(sum(n * p) OVER (PARTITION BY j, {axis}), 0), 1), most)
+  FROM r WHERE i < {3 * ROUNDS}),
+f AS MATERIALIZED (SELECT * FROM r WHERE i = {3 * ROUNDS}),
+e AS (
+  SELECT j, abs(sum(n * p) / any_value(kept) - any_value(s0)) AS e FROM f GROUP BY j, source UNION ALL
+  SELECT j, abs(sum(n * p) / any_value(kept) - any_value(s1)) FROM f GROUP BY j, lang UNION ALL
+  SELECT j, abs(sum(n * p) / any_value(kept) - any_value(s2)) FROM f GROUP BY j, topic),
+best AS (SELECT coalesce(min(j), {SHARES}) AS best FROM (SELECT j FROM e WHERE j < {SHARES} GROUP BY j HAVING max(e) <= {NEAR})),
+o AS MATERIALIZED (
+  SELECT source, lang, topic, CASE WHEN best < {SHARES} THEN p WHEN n > 0 THEN p * least({KEEP}, 1 / (SELECT max(p) FROM f WHERE j = {SHARES} AND n > 0)) ELSE 0 END AS p
+  FROM f, best WHERE j = best)
+SELECT doc_id, tokens, topic, round(coalesce(p, {KEEP}), 6) AS keep_probability,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < coalesce(p, {KEEP}) AS kept
+FROM d LEFT JOIN o USING (source, lang, topic)"""
 
 
 QUERIES = {"op7_mixing": op7_mixing}
