@@ -5,6 +5,7 @@ import re
 import pytest
 
 from tidemark.llm import substring_dedup as s
+from tidemark.llm.scratch import Scratch
 
 from .helpers import documents, text
 
@@ -38,24 +39,24 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"gather": 64, "shard_windows": 200}, {"max_cells": 1024}])
+@pytest.mark.parametrize("options", [{}, {"batches": (2000, 2000), "shard_windows": 200}, {"cells_a_window": 0, "batches": (5000, 5000)}])
 def test_equals_brute_force(spark, options):
     rows = corpus()
     docs = documents(spark, rows, extra=True).repartition(5)
-    out = s.dedup_substrings(docs, **options).collect()
+    out = s.dedup_substrings(docs, Scratch(spark), **options).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in out) == brute(rows)
 
 
 def test_negative_ids_and_other_names(spark):
     rows = [(-5, "a b c d e f g h i j k l m n"), (-9, "a b c d e f g h i j k l m z"), (0, "q a b c d e f g h i j k l m")]
     docs = spark.createDataFrame(rows, "id int, body string")
-    out = {r.id: (r.n_removed, r.kept) for r in s.dedup_substrings(docs, "id", "body").collect()}
+    out = {r.id: (r.n_removed, r.kept) for r in s.dedup_substrings(docs, Scratch(spark), "id", "body").collect()}
     assert out == {-9: (0, rows[1][1]), -5: (13, "n"), 0: (13, "q")}
 
 
 def test_empty_and_one(spark):
-    assert s.dedup_substrings(documents(spark, [])).count() == 0
-    assert s.dedup_substrings(documents(spark, [(1, "a")])).first().n_words == 1
+    assert s.dedup_substrings(documents(spark, []), Scratch(spark)).count() == 0
+    assert s.dedup_substrings(documents(spark, [(1, "a")]), Scratch(spark)).first().n_words == 1
 
 
 def test_planes_round_trip():
@@ -67,6 +68,19 @@ def test_planes_round_trip():
     assert len(s.from_planes(s.planes(np.array([], "<u4")), "<u4")) == 0
 
 
+def test_many_segments(spark, monkeypatch):
+    monkeypatch.setattr(s, "SEGMENTS", (64, 64))
+    rows = corpus()
+    out = s.dedup_substrings(documents(spark, rows).repartition(3), Scratch(spark), batches=(3000, 3000)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in out) == brute(rows)
+
+
+def test_packed_rows():
+    ids, texts = [5, None, -(2**63), 2**63 - 1, 0], ["é".encode(), b"x" * 100, None, b"", b"last"]
+    assert s.unpack_rows(s.pack_rows(ids, texts)) == (ids, texts)
+    assert s.unpack_rows(s.pack_rows([], [])) == ([], [])
+
+
 def test_query(spark, tmp_path):
     rows = [(1, text(random.Random(2), 50)), (2, text(random.Random(2), 50))]
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
