@@ -24,10 +24,11 @@ def test_stages_equal_their_operators_by_brute_force(spark):
     assert all(i in kept for i, v in labels.items() if v == 1) and sum(i in kept for i in poor) < len(poor) / 4
 
     distinct = stages["simhash_near_dedup"](spark, good, SF)
+    # texts of five-word shingles whose long fingerprints are near, by all pairs
     ids = sorted(kept)
-    fps = np.array([simhash.fingerprint(rows[i].text) for i in ids], np.uint64)
+    fps = np.array([simhash.wide_fingerprint(rows[i].text) for i in ids])
     forest = simhash.Forest(len(fps))
-    forest.link(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 4))
+    forest.link(*np.nonzero(sum(np.bitwise_count(fps[:, None, w] ^ fps[None, :, w]).astype(np.int64) for w in range(fps.shape[1])) <= simhash.wide_threshold()))
     root = forest.find(np.arange(len(fps)))
     want = {ids[k] for k in np.unique(root)}
     assert distinct.columns == docs.columns and sorted(r.doc_id for r in distinct.collect()) == sorted(want)

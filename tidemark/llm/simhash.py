@@ -1,19 +1,29 @@
-"""Operator 2, SimHash near-dedup: vantage-point trees over 64-bit fingerprints.
-
-Fingerprints that differ in at most ``threshold`` bits are linked, exactly. The metric is the Hamming distance; over all
-64 bits the distances of unrelated texts crowd around 32, where a radius of 4 prunes little, so the bits are split into
-``BANDS`` bands and a forest holds one tree a band: if two fingerprints differ in 4 bits, they differ in at most 1 within
-some band of three (in general ``threshold // BANDS``), and that smaller radius prunes well. Where a band cannot tell
-fingerprints apart, a tree goes on with all 64 bits and the full radius.
-
-* The top of each tree is built on the driver from a bounded sample of distinct fingerprints (``SAMPLE``). It only decides
-  how evenly they are dealt out, not what is found.
-* Every distinct fingerprint is a member of the one leaf (shard) it falls into, and a query at each shard that its
-  radius overlaps.
-* Within a shard the tree goes on, splitting members and queries together, down to small blocks that are compared
+"""Operator 2, SimHash near-dedup: vantage-point trees over fingerprints, and the Hamming metric.
+
+``near_duplicates`` links 64-bit fingerprints that differ in at most ``threshold`` bits, exactly. Over all 64 bits the
+distances of unrelated texts crowd around 32, where a radius of 4 prunes little, so the bits are split into ``BANDS``
+bands and a forest holds one tree a band: if two fingerprints differ in 4 bits, they differ in at most 1 within some band
+of three (in general ``threshold // BANDS``), and that smaller radius prunes well.
+
+* Each level of a tree has a vantage point and measures Hamming distance on some bits of the band that no other level
+  has. Distances on disjoint bits add up, so the triangle bounds of all levels do too: a query visits the far side only
+  as long as the sum of what each boundary on the way costs is within the radius. With a radius of 1 it thus reaches at
+  most one shard more for each level, and not a multiple.
+* Vantage points, bits and boundaries are chosen on the driver from a bounded sample of distinct fingerprints
+  (``SAMPLE``). It only decides how evenly they are dealt out, not what is found.
+* Every distinct fingerprint is a member of the one shard it falls into, and a query at each shard that its radius
+  reaches. Shards that hold many more rows than planned are cut into blocks of members and of queries.
+* Within a shard a tree goes on, splitting members and queries together, down to small blocks that are compared
   exactly at 64 bits. A shard returns a spanning forest of its links, never all pairs.
 * Connected components of the links, over smallest document ids, give each document its class.
 
+``keep_one`` thins a corpus by similarity: distinct shingles of five words, and an estimated Jaccard similarity of 0.8 or
+more. Such texts differ in about 15 % of their fingerprint's bits, a radius that no metric tree can search exactly without
+reaching nearly all shards. So fingerprints are longer (``WIDE`` words of 64 bits, which estimate 0.8 within 0.026), and a
+forest of as many trees as give a pair at 0.8 a chance of ``CHANCE`` to share a shard searches without a margin; each of
+their levels is one bit. Where the sample shows groups of near copies of 1 % of all fingerprints or more, every text near
+the middle of such a group is linked to it directly, and then only meets texts that are in no such group.
+
 Copies have one fingerprint and meet only in a ``min`` that combines before the shuffle. Null and empty texts have
 fingerprint zero, which links like any other. Classes are named by ids: if one id is the smallest of several
 fingerprints, these are one class; a fingerprint that only rows with a null id have links nothing and its class is null.
@@ -36,9 +46,13 @@ from .words import spans
 
 SEED, SHINGLE, THRESHOLD = 42, 4, 4
 BANDS = 3
-#: Distinct fingerprints that the tops of the trees are built from at most; members a shard is planned for; of a block.
+#: Distinct fingerprints that trees are planned from at most; members a shard is planned for; of a block.
 SAMPLE, SHARD, LEAF = 8192, 16_384, 64
 FULL = np.uint64(2**64 - 1)
+#: Of ``keep_one``: words of a shingle, similarity, words of a fingerprint, members of a shard, chance to share a shard.
+SIMILAR_SHINGLE, SIMILARITY, WIDE, WIDE_SHARD, CHANCE = 5, 0.8, 16, 1024, 0.98
+#: Of the sample, the share and number of fingerprints near one that make it the middle of a large group.
+CROWD, CROWD_LEAST = 0.01, 16
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -55,11 +69,44 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(text: str | None, width: int = SIMILAR_SHINGLE, words: int = WIDE) -> np.ndarray:
+    """A fingerprint of ``words`` times 64 bits of a text's distinct shingles; zero if it has no word."""
+    joined, starts, ends = spans(text or "", lower=True)
+    if not len(starts):
+        return np.zeros(words, "<u8")
+    width, digest = min(width, len(starts)), xxhash.xxh64_intdigest
+    h = np.unique(np.array([digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends[width - 1 :].tolist())], "<u8"))
+    ones, step = np.zeros(64 * words, np.int64), np.arange(1, words + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 1 << 12):
+        z = h[at : at + (1 << 12), None] + step  # each shingle's own stream of bits
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+
+
+def differing_share(similarity: float) -> float:
+    """The share of bits in which fingerprints of sets with this Jaccard similarity differ on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_threshold(similarity: float = SIMILARITY, words: int = WIDE) -> int:
+    """Bits that may differ: those expected at this similarity, and half a standard error more."""
+    p, n = differing_share(similarity), 64 * words
+    return int(p * n + 0.5 * math.sqrt(p * (1 - p) * n))
+
+
 @F.pandas_udf(T.LongType())
 def _fingerprint(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _wide_fingerprint(texts: pd.Series) -> pd.Series:
+    return pd.Series([wide_fingerprint(t).view(np.int64) for t in texts], dtype=object)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
@@ -91,43 +138,54 @@ def choose_split(fps: np.ndarray, metrics: list[tuple[np.uint64, int]], seed: in
     return None
 
 
-class Top:
-    """The top of one band's tree, as flat arrays; negative children are shards."""
-
-    def __init__(self, sample: np.ndarray, mask: np.uint64, radius: int, threshold: int, leaves: int, first_shard: int):
-        self.nodes: list[tuple[np.uint64, np.uint64, int, int]] = []
-        self.children: list[list[int]] = []
-        self.shards = 0
-        self.first = first_shard
-        self.metrics = [(mask, radius), (FULL, threshold)]
-        self.root = self._grow(sample, math.ceil(math.log2(max(leaves, 1))))
-
-    def _grow(self, fps: np.ndarray, depth: int) -> int:
-        split = choose_split(fps, self.metrics, len(self.nodes)) if depth and len(fps) > 1 else None
-        if split is None:
-            self.shards += 1
-            return -self.shards
-        i = len(self.nodes)
-        self.nodes.append(split)
-        self.children.append([0, 0])
-        near = np.bitwise_count((fps ^ split[0]) & split[1]) <= split[3]
-        self.children[i] = [self._grow(fps[near], depth - 1), self._grow(fps[~near], depth - 1)]
-        return i
+class Tree:
+    """The top of one tree: levels of a vantage point, a mask of bits and a boundary, whose sides number the shards."""
+
+    def __init__(self, sample: np.ndarray, bits: np.ndarray, radius: int, depth: int, first_shard: int, seed: int):
+        """``sample``: rows of words; ``bits``: the places of those that distances are measured on."""
+        rng = np.random.default_rng(seed)
+        depth = min(depth, len(bits))
+        many = len(bits) // depth if depth and radius else 1
+        many -= 1 - many % 2  # an odd number of bits has two sides of one size
+        self.radius, self.first, self.shards, self.words = radius, first_shard, 1 << depth, sample.shape[1]
+        self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
+        cell, left = np.zeros(len(sample), np.int64), rng.permutation(bits)
+        for _ in range(depth):
+            best = None
+            for k in range(min(8, len(left) // many)):
+                places = left[k * many : (k + 1) * many]
+                mask = np.zeros(self.words, np.uint64)
+                np.bitwise_or.at(mask, places // 64, np.uint64(1) << (places % 64).astype(np.uint64))
+                point = (sample[rng.integers(0, len(sample))] if len(sample) else np.zeros(self.words, np.uint64)) & mask
+                d = np.bitwise_count((sample ^ point) & mask).sum(1, dtype=np.int64)
+                for mu in range(many):
+                    size = np.bincount(2 * np.unique(cell, return_inverse=True)[1] + (d > mu)) if len(sample) else np.zeros(1)
+                    cost = (int((size.astype(np.int64) ** 2).sum()), abs(2 * mu + 1 - many))
+                    if best is None or cost < best[0]:
+                        best = (cost, (mask, point, mu), k, d > mu)
+            self.levels.append(best[1])
+            cell = 2 * cell + best[3]
+            left = np.concatenate([left[: best[2] * many], left[(best[2] + 1) * many :]])
 
     def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(row, shard, member)`` of every shard that a fingerprint's radius reaches; it is a member of one."""
-        todo, out = [(self.root, np.arange(len(fps)), np.ones(len(fps), bool))], []
-        while todo:
-            i, rows, member = todo.pop()
-            if i < 0:
-                out.append((rows, np.full(len(rows), self.first - i - 1, np.int32), member))
-                continue
-            vp, mask, radius, mu = self.nodes[i]
-            d = np.bitwise_count((fps[rows] ^ vp) & mask).astype(np.int16)
-            for child, reached, home in ((0, d - radius <= mu, d <= mu), (1, d + radius > mu, d > mu)):
-                if reached.any():
-                    todo.append((self.children[i][child], rows[reached], (member & home)[reached]))
-        return tuple(map(np.concatenate, zip(*out)))
+        home, costs = np.zeros(len(fps), np.int64), np.zeros((len(fps), len(self.levels)), np.int64)
+        for k, (mask, point, mu) in enumerate(self.levels):
+            d = np.bitwise_count((fps ^ point) & mask).sum(1, dtype=np.int64)
+            home |= (d > mu).astype(np.int64) << k
+            costs[:, k] = np.where(d > mu, d - mu, mu + 1 - d)
+        every = np.arange(len(fps))
+        rows, shards, member = [every], [home], [np.ones(len(fps), bool)]
+        reached = [(every, home, np.zeros(len(fps), np.int64))]  # by which levels have been crossed so far
+        for k in range(len(self.levels) if self.radius else 0):
+            for row, shard, spent in list(reached):
+                go = spent + costs[row, k] <= self.radius
+                if go.any():
+                    reached.append((row[go], shard[go] ^ (1 << k), spent[go] + costs[row[go], k]))
+                    rows.append(row[go])
+                    shards.append(shard[go] ^ (1 << k))
+                    member.append(np.zeros(int(go.sum()), bool))
+        return np.concatenate(rows), np.concatenate(shards) + self.first, np.concatenate(member)
 
 
 class Forest:
@@ -176,36 +234,178 @@ def link_shard(fps: np.ndarray, member: np.ndarray, mask: np.uint64, radius: int
     return forest.find(np.arange(len(fps)))
 
 
+def link_wide(fps: np.ndarray, member: np.ndarray, threshold: int) -> np.ndarray:
+    """The root of every row after linking members to rows within ``threshold`` bits of a long fingerprint.
+
+    Rows are linked to pivots first, each the first that is near none before it; what is in one component by then is not
+    compared again, so a dense group costs little more than its size.
+    """
+    n, words = fps.shape
+    few = min(4, words)  # unrelated rows are told by the first words: 4 standard errors beyond what these share of it
+    share = threshold / (64 * words)
+    early = threshold if few == words else min(threshold, int(64 * few * share + 4 * math.sqrt(64 * few * share * (1 - share))))
+    forest = Forest(n)
+
+    def link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Links all near pairs of two lists of rows; which of the second are near one of the first."""
+        near = np.zeros(len(b), bool)
+        for x in range(0, len(a), LEAF):
+            for y in range(0, len(b), 1 << 14):
+                p, q = a[x : x + LEAF], b[y : y + (1 << 14)]
+                d = np.zeros((len(p), len(q)), np.uint16)
+                for w in range(few):
+                    d += np.bitwise_count(fps[p, w][:, None] ^ fps[q, w][None])
+                i, j = np.nonzero(d <= early)
+                ok = np.bitwise_count(fps[p[i]] ^ fps[q[j]]).sum(1, dtype=np.int64) <= threshold
+                i, j = i[ok], j[ok]
+                forest.link(p[i], q[j])
+                near[y + j] = True
+        return near
+
+    members, rows = np.flatnonzero(member), np.arange(n)
+    todo, others = members, []
+    while len(todo):
+        pivots, rest = todo[:LEAF], todo[LEAF:]
+        link(pivots, rows)
+        near = link(pivots, rest)
+        others.append(rest[near])
+        todo = rest[~near]
+    others = np.concatenate(others) if others else members[:0]  # members that are no pivots
+    root = forest.find(rows)
+    pivot = np.ones(n, bool)
+    pivot[others] = False
+    most = np.bincount(root[others], minlength=1).argmax() if len(others) else -1
+    small, large = others[root[others] != most], others[root[others] == most]
+    rest = np.flatnonzero(~(pivot & member))  # pivots have met every row
+    link(small, rest)
+    if len(large):
+        link(large, rest[root[rest] != most])
+    return forest.find(rows)
+
+
+def _crowded(sample: np.ndarray, threshold: int) -> np.ndarray:
+    """Middles of large groups: those of the sample with the most others near, each apart from the ones before."""
+    found, left = [], sample
+    while len(left) and len(found) < 2 / CROWD:
+        near = np.array([(np.bitwise_count(x ^ left).sum(1, dtype=np.int64) <= threshold).sum() for x in left[:512]])
+        if near.max() < max(CROWD_LEAST, CROWD * len(sample)):
+            if len(left) <= 512:
+                break
+            left = left[512:]  # none of these is in a large group's middle
+            continue
+        middle = left[near.argmax()]
+        found.append(middle)
+        left = left[np.bitwise_count(middle ^ left).sum(1, dtype=np.int64) > threshold]
+    return np.array(found, np.uint64).reshape(-1, sample.shape[1])
+
+
+def _matrix(pdf: pd.DataFrame, words: int) -> np.ndarray:
+    return np.stack([pdf[f"f{k}"].to_numpy() for k in range(words)], 1).view(np.uint64) if len(pdf) else np.zeros((0, words), np.uint64)
+
+
+def _links(reps: DataFrame, words: int, sample: np.ndarray, trees: list[Tree], link, shard_rows: int, middles: np.ndarray, threshold: int) -> DataFrame:
+    """Links ``(a, b)`` that ``link`` finds in each shard of ``trees``.
+
+    ``reps``: a fingerprint's words ``f0``, ``f1`` and so on, and ``rep``, its node. Rows near one of ``middles`` are no members.
+    """
+    most, spark = 4 * shard_rows, reps.sparkSession
+    names = [f"f{k}" for k in range(words)]
+
+    def reach(pdf: pd.DataFrame):
+        fps = _matrix(pdf, words)
+        outside = np.ones(len(fps), bool)
+        for middle in middles:
+            outside &= np.bitwise_count(fps ^ middle).sum(1, dtype=np.int64) > threshold
+        for tree in trees:
+            row, shard, member = tree.route(fps)
+            yield row, shard, member & outside[row]
+
+    def count(batches):
+        for pdf in batches:
+            for _, shard, member in reach(pdf):
+                at, inverse = np.unique(shard, return_inverse=True)
+                yield pd.DataFrame({"shard": at, "members": np.bincount(inverse, member, len(at)).astype(np.int64), "rows": np.bincount(inverse, minlength=len(at))})
+
+    counted = reps.mapInPandas(count, "shard long, members long, rows long").groupBy("shard").agg(F.sum("members").alias("members"), F.sum("rows").alias("rows"))
+    large = counted.where(F.greatest("members", "rows") > most).toLocalIterator()  # a row for each shard far above its size
+    blocks = spark.sparkContext.broadcast({r.shard: (-(-r.members // most) or 1, -(-r["rows"] // most)) for r in large})
+
+    def route(batches):
+        for pdf in batches:
+            spread = (pdf["rep"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)
+
+            def rows(row, shard, part, member):
+                return pd.DataFrame({"shard": shard, "part": part, "rep": pdf["rep"].to_numpy()[row], "member": member} | {c: pdf[c].to_numpy()[row] for c in names})
+
+            for row, shard, member in reach(pdf):
+                cut = np.isin(shard, np.fromiter(blocks.value, np.int64, len(blocks.value)))
+                yield rows(row[~cut], shard[~cut], 0, member[~cut])
+                for s in np.unique(shard[cut]).tolist():
+                    at, (m, q) = shard == s, blocks.value[s]
+                    own, mine = row[at], row[at & member]
+                    for k in range(m):  # as queries, to all blocks of members
+                        yield rows(own, s, k * q + spread[own] % q, False)
+                    for k in range(q):  # as members, to all blocks of queries
+                        yield rows(mine, s, spread[mine] // q % m * q + k, True)
+
+    def linked(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep", ignore_index=True)
+        roots, reps = link(key[0], _matrix(pdf, words), pdf["member"].to_numpy(bool)), pdf["rep"].to_numpy()
+        apart = reps != reps[roots]
+        return pd.DataFrame({"a": reps[apart], "b": reps[roots[apart]]})
+
+    schema = "shard long, part long, rep long, member boolean, " + ", ".join(f"{c} long" for c in names)
+    return reps.mapInPandas(route, schema).groupBy("shard", "part").applyInPandas(linked, "a long, b long")
+
+
 def fingerprint_links(reps: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """Links ``(a, b)`` that join the same representatives as all pairs within ``threshold`` bits do.
 
-    ``reps``: ``fp`` (long, distinct) and ``rep`` (the fingerprint's node).
+    ``reps``: ``fp`` (long, distinct) and ``rep`` (long, the fingerprint's node).
     """
     n, radius, masks = reps.count(), threshold // bands, band_masks(bands)
-    sample = np.array([r.fp for r in hashed_sample(reps.select("fp"), "fp", SAMPLE, n).collect()], np.int64).view(np.uint64)
-    tops, shards = [], 0
-    for mask in masks:
-        tops.append(Top(sample, mask, radius, threshold, math.ceil(n / SHARD), shards))
-        shards += tops[-1].shards
-    last = np.cumsum([t.shards for t in tops])
+    sample = np.array([r.fp for r in hashed_sample(reps.select("fp"), "fp", SAMPLE, n).collect()], np.int64).view(np.uint64).reshape(-1, 1)
+    depth = math.ceil(math.log2(max(n / SHARD, 1)))
+    trees, first = [], 0
+    for k, mask in enumerate(masks):
+        trees.append(Tree(sample, np.flatnonzero(np.unpackbits(np.array([mask]).view(np.uint8), bitorder="little")), radius, depth, first, k))
+        first += trees[-1].shards
+    last = np.cumsum([t.shards for t in trees])
 
-    def route(batches):
-        for pdf in batches:
-            fps = pdf["fp"].to_numpy().view(np.uint64)
-            for top in tops:
-                rows, shard, member = top.route(fps)
-                yield pd.DataFrame({"shard": shard, "fp": pdf["fp"].to_numpy()[rows], "rep": pdf["rep"].to_numpy()[rows], "member": member})
+    def link(shard: int, fps: np.ndarray, member: np.ndarray) -> np.ndarray:
+        return link_shard(fps[:, 0], member, masks[int(np.searchsorted(last, shard, side="right"))], radius, threshold)
+
+    return _links(reps.select(F.col("fp").alias("f0"), "rep"), 1, sample, trees, link, SHARD, np.zeros((0, 1), np.uint64), threshold)
 
-    def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = masks[int(np.searchsorted(last, key[0], side="right"))]
-        pdf = pdf.sort_values("rep", ignore_index=True)
-        roots = link_shard(pdf["fp"].to_numpy().view(np.uint64), pdf["member"].to_numpy(bool), mask, radius, threshold)
-        linked = roots != np.arange(len(pdf))
-        reps = pdf["rep"].to_numpy()
-        return pd.DataFrame({"a": reps[linked], "b": reps[roots[linked]]})
 
-    routed = reps.mapInPandas(route, "shard int, fp long, rep long, member boolean")
-    return routed.groupBy("shard").applyInPandas(link, "a long, b long")
+def similar_links(reps: DataFrame, similarity: float = SIMILARITY, words: int = WIDE, chance: float = CHANCE) -> DataFrame:
+    """Links ``(a, b)`` between representatives whose fingerprints estimate ``similarity`` or more.
+
+    ``reps``: ``f0``, ``f1`` and so on (longs, distinct together) and ``rep`` (long, the fingerprint's node).
+    """
+    n, threshold = reps.count(), wide_threshold(similarity, words)
+    names = [f"f{k}" for k in range(words)]
+    sample = hashed_sample(reps.select(*names, F.xxhash64(*names).alias("_h")), "_h", SAMPLE, n).drop("_h").toPandas()
+    sample = _matrix(sample, words)
+    depth = math.ceil(math.log2(max(n / WIDE_SHARD, 1)))
+    many = math.ceil(math.log(1 - chance) / math.log(1 - (1 - differing_share(similarity)) ** depth)) if depth else 1
+    bits, size = np.random.default_rng(0).permutation(64 * words), max(depth, 64 * words // many)
+    trees = [Tree(sample, np.take(bits, np.arange(k * size, (k + 1) * size), mode="wrap"), 0, depth, k << depth, k) for k in range(many)]
+    middles = _crowded(sample, threshold)
+    links = _links(reps, words, sample, trees, lambda shard, fps, member: link_wide(fps, member, threshold), WIDE_SHARD, middles, threshold)
+    if not len(middles):
+        return links
+
+    def to_middle(batches):
+        for pdf in batches:
+            fps = _matrix(pdf, words)
+            for k, middle in enumerate(middles):
+                near = np.bitwise_count(fps ^ middle).sum(1, dtype=np.int64) <= threshold
+                yield pd.DataFrame({"k": k, "a": pdf["rep"].to_numpy()[near], "own": (fps == middle).all(1)[near]})
+
+    found = reps.mapInPandas(to_middle, "k int, a long, own boolean")
+    heads = F.broadcast(found.where("own").select("k", F.col("a").alias("b")))  # a row a middle: 2 / CROWD at most
+    return links.unionByName(found.where("NOT own").join(heads, "k").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -219,22 +419,25 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     return prints.join(classes, "fp").select(id_col, "fp", "component")
 
 
-def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest id, then of the smallest text hash.
 
-    Groups are components of fingerprints, whatever ids their rows have: rows of one id whose texts are in different
-    groups are judged each in its own. Rows with a null id stay, and their fingerprints link nothing.
+    Groups are components of texts whose estimated similarity is ``similarity`` or more, whatever ids their rows have:
+    rows of one id whose texts are in different groups are judged each in its own. A null id comes after all others.
     """
     prepare(docs.sparkSession)
-    i, key = F.col(id_col), fresh(docs, "_text_hash")
+    key, i = fresh(docs, "_text_hash"), F.col(id_col)
     keyed = docs.withColumn(key, F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")))
-    prints = keyed.where(i.isNotNull()).select(i.alias("id"), F.col(key).alias("hash"), _fingerprint(F.col(text_col)).alias("fp"))
-    heads = scratch.cut(prints.groupBy("fp").agg(F.min(F.struct("id", "hash")).alias("first")))
-    component = connected_components(fingerprint_links(heads.select("fp", F.col("fp").alias("rep"))), "a", "b", scratch)
-    classes = heads.join(component, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
-    first = classes.select(F.col("first.id").alias(id_col), F.col("first.hash").alias(key))
-    once = keyed.where(i.isNotNull()).dropDuplicates([id_col, key]).join(first, [id_col, key], "left_semi")
-    return once.unionByName(keyed.where(i.isNull())).select(*docs.columns)
+    prints = keyed.select(F.struct(i.isNull().alias("none"), i.alias("id"), F.col(key).alias("hash")).alias("row"), _wide_fingerprint(F.col(text_col)).alias("fp"))
+    heads = prints.groupBy("fp").agg(F.min("row").alias("first"))
+    names = [F.get("fp", F.lit(k)).alias(f"f{k}") for k in range(WIDE)]
+    heads = scratch.cut(heads.select(*names, "first", F.monotonically_increasing_id().alias("rep")))
+    links = similar_links(heads.drop("first"), similarity)
+    component = connected_components(links, "a", "b", scratch)
+    classes = heads.select("rep", "first").join(component, F.col("rep") == F.col("node"), "left")
+    first = classes.groupBy(F.coalesce("component", "rep").alias("component")).agg(F.min("first").alias("first")).select("first.id", "first.hash")
+    once = keyed.dropDuplicates([id_col, key])
+    return once.join(first, once[id_col].eqNullSafe(first["id"]) & (once[key] == first["hash"]), "left_semi").select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
