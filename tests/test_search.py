@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from datetime import datetime, timezone
 
 import duckdb
@@ -12,7 +13,7 @@ from tidemark.operators.postings import postings
 from tidemark.operators.search import check_query, page, search
 from tidemark.plans.match import matches
 from tidemark.plans.prune import candidates, full_scan
-from tidemark.plans.regex import BadPattern, checked, to_java
+from tidemark.plans.regex import BadPattern, cheap, checked, to_java
 from tidemark.qlang.ast import Expr, Literal, Regex
 from tidemark.qlang.parser import parse
 
@@ -72,6 +73,44 @@ def test_patterns_find_what_a_linear_time_engine_finds(spark, cs):
         assert [r[f"p{i}"] for i in range(len(PATTERNS))] == want, repr(r.t)
 
 
+@pytest.mark.parametrize("pattern,text,want", [(r"^(a|b)*$", "ab" * 500_000, True), (r"^(a|b)*$", "ab" * 500_000 + "c", False), (r"(a|aa)+$", "a" * 1_000_000 + "b", False), (r"(a|aa)+$", "a" * 1_000_000, True), (r"[a-z]+x", "a" * 1_000_000, False), (r".*.*=.*", "a" * 1_000_000, False), ("a?" * 30 + "a{30}", "a" * 30, True), (r"(a?){40}b", "a" * 100_000, False), (r"\s+$", " " * 1_000_000 + "x", False)])
+def test_long_bodies_take_linear_time(spark, pattern, text, want):
+    start = time.time()
+    df = spark.createDataFrame([(text,)], "body string")
+    assert df.select(matches(Regex(pattern, True), F.col("body"))).first()[0] is want
+    assert df.select(matches(Regex(pattern, False), F.col("body"))).first()[0] is want
+    assert time.time() - start < 20
+
+
+CHEAP = ["abc", "[a-z]", r"\d{4}-\d{2}", "LICEN[cs]E", "(all rights|license)", r"\bthe\b", "colou?r", r"a\+", "[*+]", r"\Qa+b\E", "(?i:x)", r"\p{L}x", "[[:upper:]]{3}", "[]a]b"]
+NOT_CHEAP = ["a*", "a+", "(ab){2}", "a{2,}", r"\s+", "a?" * 7, "(?s).*", "[a]+", "a{0,99}", r"\p{L}+", "(a|b|c|d|e|f|g|h)"]
+
+
+@pytest.mark.parametrize("pattern", CHEAP + NOT_CHEAP)
+def test_cheap_patterns(pattern):
+    assert cheap(pattern) is (pattern in CHEAP)
+
+
+@pytest.mark.parametrize("cs", [True, False])
+def test_both_engines_find_the_same(spark, cs):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    some = [p for p in PATTERNS if p != r"[a&&b]"]
+    got = df.select("t", *[F.col("t").rlike(checked(p, cs)).alias(f"j{i}") for i, p in enumerate(some)], *[matches(Regex(p, cs), F.col("t")).alias(f"m{i}") for i, p in enumerate(some)]).collect()
+    for r in got:
+        assert [r[f"j{i}"] for i in range(len(some))] == [r[f"m{i}"] for i in range(len(some))], repr(r.t)
+
+
+def test_long_and_deep_queries(spark):
+    words = [f"word{i}" for i in range(3000)]
+    node = parse(" OR ".join(words))
+    assert len(node.operands) == 3000 and spark.range(1).select(matches(node, F.lit("x WORD2999 y"))).first()[0]
+    assert len(parse(" ".join(words)).operands) == 3000
+    assert str(parse("(" * 90 + "a" + ")" * 90)) == "AND(a)"
+    for deep in ("(" * 5000 + "a" + ")" * 5000, "!" * 5000 + "a"):
+        with pytest.raises(ValueError):
+            parse(deep)
+
+
 @pytest.mark.parametrize("pattern", ["(?=a)", "(?<!a)", r"(a)\1", "a++", "a{2}+", "[a", "a\\", "[[:nope:]]"])
 def test_patterns_outside_the_dialect(pattern):
     with pytest.raises(BadPattern):

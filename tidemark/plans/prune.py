@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..qlang.ast import Expr, Literal, Node, keywords
+from .match import balanced
 
 Tokenize = Callable[[str], list[str]]
 
@@ -32,13 +32,13 @@ def prefixes(node: Node, tokenize: Tokenize) -> list[str]:
 def may_match(node: Node, tokenize: Tokenize, flag: Callable[[str], Column]) -> Column:
     """Over flags of which terms a segment has: false only if no message there can match."""
     if isinstance(node, Literal):
-        return reduce(lambda a, b: a & b, map(flag, tokenize(node.text)), F.lit(True))
+        return balanced(lambda a, b: a & b, [flag(t) for t in tokenize(node.text)], True)
     if not isinstance(node, Expr) or node.op == "NOT":
         return F.lit(True)
     parts = [may_match(x, tokenize, flag) for x in node.operands]
     if node.op == "AND":
-        return reduce(lambda a, b: a & b, parts, F.lit(True))
-    return reduce(lambda a, b: a | b, parts, F.lit(False))
+        return balanced(lambda a, b: a & b, parts, True)
+    return balanced(lambda a, b: a | b, parts, False)
 
 
 def candidates(postings: DataFrame, node: Node, tokenize: Tokenize) -> DataFrame | None:
@@ -52,7 +52,7 @@ def candidates(postings: DataFrame, node: Node, tokenize: Tokenize) -> DataFrame
     found = prefixes(node, tokenize)
     if not found:
         return postings.select("segment_id").limit(0)
-    wanted = reduce(lambda a, b: a | b, [F.col("term").startswith(p) for p in found])
+    wanted = balanced(lambda a, b: a | b, [F.col("term").startswith(p) for p in found], False)
     flags = [F.bool_or(F.col("term").startswith(p)).alias(f"k{i}") for i, p in enumerate(found)]
     place = {p: f"k{i}" for i, p in enumerate(found)}
     return postings.where(wanted).groupBy("segment_id").agg(*flags).where(may_match(node, tokenize, lambda t: F.col(place[t]))).select("segment_id")

@@ -1,10 +1,19 @@
-"""Regular expressions of the query dialect (linear time, no look-around) as Java patterns that match alike."""
+"""Regular expressions of the query dialect: linear time, no look-around, no back-references.
+
+Java's engine backtracks: on a long text ``(a|b)*`` overflows its stack and ``[a-z]+x`` takes quadratic time. So only
+patterns that try a bounded number of ways at each place (``cheap``) become Java patterns, within generated code; all
+others run in Arrow's RE2, which needs time linear in the text for any pattern. Both find the same.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession, functions as F
+
+from ..workers import prepare
 
 WORD_EDGE = r"(?-i:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 NO_WORD_EDGE = r"(?-i:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))"
@@ -130,12 +139,67 @@ def to_java(pattern: str, case_sensitive: bool) -> str:
     return ("(?d)" if case_sensitive else "(?iud)") + "".join(out)
 
 
+#: Ways that a cheap pattern may have to match at one place.
+WAYS = 64
+
+
+def cheap(pattern: str) -> bool:
+    """Whether the pattern repeats nothing without bound, no group at all, and leaves no more than ``WAYS`` choices."""
+    ways, i, p, after = 1, 0, pattern, ""
+    while i < len(p):
+        c = p[i]
+        if c == "\\":
+            if p[i + 1 : i + 2] == "Q":
+                end = p.find("\\E", i)
+                i = len(p) if end < 0 else end + 2
+            else:
+                i += 2
+                if p[i - 1 : i] in ("p", "P", "x") and p[i : i + 1] == "{":
+                    i = p.find("}", i) + 1 or len(p)
+            after = "atom"
+            continue
+        if c == "[":
+            _, i = _class(p, i)
+            after = "atom"
+            continue
+        if c == "(" and p[i + 1 : i + 2] == "?":
+            i = min([k + 1 for k in (p.find(e, i) for e in ":>)") if k >= 0], default=len(p))
+            after = ""
+            continue
+        counted = re.compile(r"\{(\d+)(,?)(\d*)\}").match(p, i) if c == "{" else None
+        if c in "*+" or (counted and (after == "group" or (counted[2] and not counted[3]) or int(counted[3] or counted[1]) > 100)):
+            return False
+        if c in "?|":
+            ways *= 2
+        elif counted:
+            ways *= max(1, int(counted[3] or counted[1]) - int(counted[1]) + 1)
+        i = counted.end() if counted else i + 1
+        after = "group" if c == ")" else "atom"
+    return ways <= WAYS
+
+
 def checked(pattern: str, case_sensitive: bool) -> str:
-    """The Java pattern; ``BadPattern`` if it is none, found here and not in a failing job."""
+    """The Java pattern; ``BadPattern`` if it is none of the dialect, found here and not in a failing job."""
     java, spark = to_java(pattern, case_sensitive), SparkSession.getActiveSession()
-    if spark is not None:
-        try:
+    try:
+        pc.match_substring_regex(pa.array([""]), pattern)
+        if spark is not None:
             spark.sparkContext._jvm.java.util.regex.Pattern.compile(java)
-        except Exception as e:
-            raise BadPattern(f"invalid regular expression: {pattern}") from e
+    except Exception as e:
+        raise BadPattern(f"invalid regular expression: {pattern}") from e
     return java
+
+
+def finds(text: Column, pattern: str, case_sensitive: bool) -> Column:
+    """Whether the pattern occurs in a text, in time linear in its length."""
+    java = checked(pattern, case_sensitive)
+    if cheap(pattern):
+        return text.rlike(java)
+    if spark := SparkSession.getActiveSession():
+        prepare(spark)
+
+    @F.arrow_udf("boolean")
+    def found(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, pattern, ignore_case=not case_sensitive)
+
+    return found(text)
