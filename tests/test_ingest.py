@@ -1,4 +1,8 @@
 import os
+import pathlib
+import re
+import subprocess
+import sys
 import threading
 from datetime import datetime, timezone
 
@@ -7,9 +11,13 @@ from pyspark.sql import functions as F
 
 from tidemark import cli
 from tidemark.config import Config
-from tidemark.engine import Engine
+from tidemark.engine import PRUNING, Engine
 from tidemark.operators.segments import assign_segments, incomplete_trailing, misaligned_files
 from tidemark.sources.discover import discover
+from tidemark.operators import ingest as ingest_module
+from tidemark.operators.search import of_segments
+from tidemark.operators.store import Conflict
+from tidemark.sources import ranges
 from tidemark.sources.scan import raw_body, rejected_files, scan_messages
 from tidemark.streaming.tail import hits_by_time, standing_query, tail
 
@@ -130,13 +138,15 @@ def test_ingest_search_and_results(spark, logs):
     assert engine.test_config().endswith("1.log")
     assert engine.ingest() == {"indexed": 2, "rejected": 0, "removed": 0, "unchanged": 0}
     assert snapshot(engine) == ALL1 + ALL2
-    for indexed in (False, True):
+    for pruning in PRUNING:
         for q, want in GOLDEN.items():
-            assert [(name(r.file), r.pos_from) for r in engine.search(q, indexed=indexed).collect()] == want, q
+            assert [(name(r.file), r.pos_from) for r in engine.search(q, pruning=pruning).collect()] == want, q
     assert [r.text for r in engine.bodies(engine.search("Permission")).collect()] == ["[2024-07-30T04:25:27.789664+00:00] Permission denied\n"]
     one_day = engine.search("~.", "2024-07-30T00:00:00Z", "2024-07-30T23:59:59Z")
     assert one_day.count() == 7
-    assert spark.read.parquet(engine.compact()).count() == engine.store.read("postings").count()
+    terms = sorted(map(tuple, engine.store.read("postings").collect()))
+    engine.compact()
+    assert sorted(map(tuple, engine.store.read("postings").collect())) == terms
     assert engine.ingest() == {"indexed": 0, "rejected": 0, "removed": 0, "unchanged": 2}  # nothing is read again
 
     first = engine.submit("backup")
@@ -151,7 +161,10 @@ def test_ingest_search_and_results(spark, logs):
     assert engine.results.page(first).count() == 0 and [r.query_id for r in engine.results.list().collect()] == [second]
 
 
-def test_reconcile(spark, logs):
+@pytest.mark.parametrize("direct", [True, False])
+def test_reconcile(spark, logs, monkeypatch, direct):
+    if not direct:  # as if only Spark's readers reached the files
+        monkeypatch.setattr(ingest_module, "opens", lambda file: False)
     engine = Engine(spark, config(logs, segment_length=200))
     engine.ingest()
     before = {r.segment_id for r in engine.store.read("segments").collect()}
@@ -173,6 +186,164 @@ def test_reconcile(spark, logs):
     assert engine.ingest() == {"indexed": 0, "rejected": 0, "removed": 0, "unchanged": 2}
     two.write_text(LOG2)
     assert engine.ingest()["indexed"] == 1 and snapshot(engine)[-7:] == ALL2
+    one.write_text("no start here\n")
+    (logs / "logs" / "3.log").write_text("")
+    assert engine.ingest() == {"indexed": 0, "rejected": 2, "removed": 0, "unchanged": 1} and snapshot(engine) == ALL2
+    assert {name(r.file): r.reason for r in engine.store.read("rejects").collect()} == {"1.log": ingest_module.NO_START, "3.log": ingest_module.NO_START}
+    one.write_text("no start here\n" + LOG1)
+    assert engine.ingest()["indexed"] == 1 and snapshot(engine) == [("1.log", a + 14, b + 14) for _, a, b in ALL1] + ALL2
+    assert [name(r.file) for r in engine.store.read("rejects").collect()] == ["3.log"]
+    assert terms_of(engine) == terms_of(engine, fresh=f"{logs}/fresh")
+
+
+def terms_of(engine, fresh=None):
+    """The index as (term, file, messages' positions), of the engine or of one that reads everything anew."""
+    if fresh:
+        os.mkdir(fresh)
+        other = Engine(engine.spark, Config(**{**engine.config.__dict__, "storage_path": fresh}))
+        other.ingest()
+        engine = other
+    inside = engine.store.read("postings").join(engine.store.read("messages"), "segment_id")
+    inside = inside.where(F.lower("body").contains(F.col("term")))
+    return sorted({(r.term, name(r.file), r.pos_from) for r in inside.collect()})
+
+
+def test_appends_read_and_write_only_what_is_new(spark, logs, monkeypatch):
+    planned = []
+    monkeypatch.setattr(ingest_module, "read_ranges", lambda spark, splits, *a: planned.append(splits) or ranges.read_ranges(spark, splits, *a))
+    engine = Engine(spark, config(logs, segment_length=100))
+    log = logs / "logs" / "1.log"
+    log.write_text(LOG1 * 50)
+    engine.ingest()
+    ids = {r.segment_id for r in engine.store.read("segments").collect()}
+    last = engine.store.read("segments").where("file LIKE '%1.log'").orderBy(F.desc("pos_to")).first()
+    log.write_text(LOG1 * 50 + "more of the last message\n" + LOG1)
+    assert engine.ingest()["indexed"] == 1
+    (split,) = planned[-1]
+    assert split.start == last.pos_from and split.end == split.size == 51 * 623 + 25
+    new = engine.store.read_folders("messages", engine.store.manifest()["tables"]["messages"][-1:])
+    assert new.count() <= 13 and new.agg(F.min("pos_from")).first()[0] == last.pos_from
+    now = {r.segment_id for r in engine.store.read("segments").collect()}
+    assert ids - now == {last.segment_id}
+    assert terms_of(engine) == terms_of(engine, fresh=f"{logs}/fresh")
+    got = [x for x in snapshot(engine) if x[0] == "1.log"]
+    assert len(got) == 510 and all(a[2] == b[1] for a, b in zip(got, got[1:])) and got[-1][2] == split.size
+    # of the same size, but written anew
+    log.write_text((LOG1 * 51 + "more of the last message\n").replace("login", "LOGIN"))
+    assert engine.ingest() == {"indexed": 1, "rejected": 0, "removed": 0, "unchanged": 1} and engine.search("@LOGIN").count() == 51
+    engine.merge()
+    engine.compact()
+    before = snapshot(engine)
+    ingest_module.rewritten(engine.store)
+    assert snapshot(engine) == before and engine.store.manifest()["tables"]["dropped"] == [] and engine.search("@LOGIN").count() == 51
+
+
+def test_a_crash_changes_nothing(spark, logs, monkeypatch):
+    engine = Engine(spark, config(logs, segment_length=100))
+    engine.ingest()
+    before = snapshot(engine), terms_of(engine)
+    (logs / "logs" / "1.log").write_text(LOG1 * 2)
+    (logs / "logs" / "2.log").unlink()
+    write = engine.store.write
+    for step in ("messages", "segments", "postings", "dropped", "files", "rejects", "commit"):
+        with monkeypatch.context() as m:
+            if step == "commit":
+                m.setattr(engine.store, "write_text", lambda path, text: (_ for _ in ()).throw(KeyboardInterrupt()))
+            else:
+                m.setattr(engine.store, "write", lambda name, rows, step=step: (_ for _ in ()).throw(KeyboardInterrupt()) if name == step else write(name, rows))
+            with pytest.raises(KeyboardInterrupt):
+                engine.ingest()
+        assert (snapshot(engine), terms_of(engine)) == before, step
+    (logs / "store" / "manifests" / "99.json").write_text('{"version": 99, "tab')  # cut short
+    assert snapshot(engine) == before[0]
+    assert engine.ingest() == {"indexed": 1, "rejected": 0, "removed": 1, "unchanged": 0} and len(snapshot(engine)) == 20
+    stale = engine.store.manifest()
+    engine.compact()
+    with pytest.raises(Conflict):
+        engine.store.commit(stale)
+
+
+def test_many_logs_are_few_files(spark, tmp_path):
+    (tmp_path / "store").mkdir()
+    (tmp_path / "logs").mkdir()
+    for k in range(300):
+        (tmp_path / "logs" / f"{k}.log").write_text(LOG1)
+    engine = Engine(spark, config(tmp_path))
+    assert engine.ingest()["indexed"] == 300 and engine.store.read("messages").count() == 3000
+    assert sum(len([f for f in fs if f.endswith(".parquet")]) for _, _, fs in os.walk(tmp_path / "store")) < 40
+
+
+def test_ranges_equal_a_plain_reading(tmp_path, monkeypatch):
+    raw = b"\n\nno message\n" + "".join(f"[2024-07-29T00:00:{i:02}] ключ é {i}\r\nmore\n\n" for i in range(30)).encode() + b"[2024-07-29T01:00:00] \xff\xfe tail"
+    (tmp_path / "x.log").write_bytes(raw)
+    pattern = re.compile(rb"^\[(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)\]", re.M)
+    starts = [i for i in range(len(raw)) if raw[i : i + 5] == b"[2024"]
+    every = list(zip(starts, [*starts[1:], len(raw)]))
+    for longest in (1, 3, 40, 1000):
+        for read in (1, 5, 64, 4096):
+            monkeypatch.setattr(ranges, "READ", read)
+            for begin in (0, 13, 14, 40):
+                got = [m for s in ranges.splits_of([(f"file:{tmp_path}/x.log", begin, len(raw))], 7, longest) for m in ranges.split_messages(s, pattern, 50)]
+                want = [m for m in every if m[0] >= begin]
+                assert [m[1:3] for m in got] == want and [m[7] for m in got] == [False] * (len(want) - 1) + [True]
+                assert all(raw[m[3] : m[4]].decode() == m[5] for m in got)
+                assert [m[9] for m in got] == sorted(m[9] for m in got) and got[0][9] >= 7
+    with open(tmp_path / "x.log", "rb") as file:
+        assert [i for i in range(len(raw)) if ranges.is_start(file, i, len(raw), pattern)] == starts and ranges.is_start(file, len(raw), len(raw), pattern)
+
+
+def test_exact_pruning_loses_nothing(spark, logs):
+    engine = Engine(spark, config(logs, segment_length=60))
+    engine.ingest()
+    for q in ("onnection", "'gin successful'", "'user login'", "'.test'", "'failed login attempts' OR backup", "!'user login' ~a", "'127.0.0.1:5000'", "'ser registration complete'", "nosuch", "' nosuchword '"):
+        none = engine.search(q, pruning="none").collect()
+        assert engine.search(q, pruning="exact").collect() == none, q
+        assert set(engine.search(q).collect()) <= set(none)
+    assert engine.search("onnection").count() == 0 < engine.search("onnection", pruning="exact").count()
+    assert engine.kept_share("' nosuchword '", "exact") == 0 < engine.kept_share("backup") < 0.3 and engine.kept_share("~x") == 1
+
+
+def test_segments_are_looked_up_in_the_scan(spark, logs):
+    engine = Engine(spark, config(logs, segment_length=60))
+    engine.ingest()
+    plan = engine.search("permission")._jdf.queryExecution().toString()
+    assert "PushedFilters: [EqualTo(segment_id" in plan or "GreaterThanOrEqual(segment_id" in plan
+    few = engine.store.read("segments").select("segment_id")
+    assert of_segments(engine.store.read("messages"), few).count() == 17
+    assert of_segments(engine.store.read("messages"), few.limit(0)).count() == 0
+
+
+def test_results_appear_by_parts(spark, logs, monkeypatch):
+    monkeypatch.setattr("tidemark.engine.REPORT_BYTES", 200)
+    engine = Engine(spark, config(logs, segment_length=60))
+    engine.ingest()
+    seen = []
+    describe = engine.results._describe
+    monkeypatch.setattr(engine.results, "_describe", lambda *row: (describe(*row), seen.append((row[4], row[5], engine.results.page(row[0]).count()))))
+    query = engine.submit("user OR error OR backup")
+    assert len(seen) > 3 and [m for m, _, _ in seen] == sorted(m for m, _, _ in seen) and all(m == shown for m, _, shown in seen)
+    assert [f for _, f, _ in seen] == [False] * (len(seen) - 1) + [True]
+    assert engine.results.list([query]).first().messages == engine.search("user OR error OR backup").count() == engine.results.page(query).count()
+
+
+def test_workers_get_the_package(tmp_path):
+    """Started from another folder, with the package on the driver's path alone."""
+    (tmp_path / "a.log").write_text(LOG1)
+    code = f"""
+import sys; sys.path.insert(0, {str(pathlib.Path(__file__).parent.parent)!r})
+from pyspark.sql import SparkSession
+from tidemark.operators.segments import assign_segments
+from tidemark.plans.match import matches
+from tidemark.qlang.parser import parse
+from tidemark.sources.ranges import read_ranges, splits_of
+from tidemark.sources.scan import scan_messages
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+a = scan_messages(spark, [{str(tmp_path / "a.log")!r}], {START!r})
+b = read_ranges(spark, splits_of([({str(tmp_path / "a.log")!r}, 0, 623)]), {START!r})
+print(a.count(), b.count(), assign_segments(b.select("file", "pos_from", "pos_to"), 100).count(), b.where(matches(parse("~u.*r"), b.body)).count())
+"""
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert said.stdout.split() == ["10", "10", "10", "3"], said.stderr[-2000:]
 
 
 def test_parallel_submissions_get_their_own_ids(spark, logs):

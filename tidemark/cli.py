@@ -10,7 +10,7 @@ from dataclasses import fields
 from pyspark.sql import SparkSession
 
 from .config import Config
-from .engine import Engine
+from .engine import PRUNING, Engine
 from .http_api import server
 
 
@@ -29,6 +29,7 @@ def main(args: list[str] | None = None) -> int:
     find.add_argument("query")
     find.add_argument("--date-from")
     find.add_argument("--date-to")
+    find.add_argument("--pruning", choices=PRUNING, default="prefix", help="how the index rules out segments; exact and none find literals amid terms too")
     said = parser.parse_args(args)
     try:
         with open(said.config) as file:
@@ -49,7 +50,7 @@ def main(args: list[str] | None = None) -> int:
                 threading.Thread(target=server(engine, said.port, said.host).serve_forever, daemon=True).start()
             engine.run()
         else:
-            for row in engine.bodies(engine.search(said.query, said.date_from, said.date_to)).toLocalIterator():
+            for row in engine.bodies(engine.search(said.query, said.date_from, said.date_to, said.pruning)).toLocalIterator():
                 print(row.text, end="")
     except ValueError as e:
         print(e, file=sys.stderr)

@@ -32,3 +32,10 @@ def query_terms(text: str, shortest: int = MIN_TERM, longest: int = MAX_TERM) ->
     """The same for one text, on the driver."""
     _check(shortest, longest)
     return [x[:longest] for x in re.split(SPLIT, text.lower()) if len(x) >= shortest]
+
+
+def sure_terms(text: str, shortest: int = MIN_TERM, longest: int = MAX_TERM) -> list[str]:
+    """Of the terms of a literal, those that begin a term of every text that holds it: all but one that it begins amid."""
+    _check(shortest, longest)
+    first, *rest = re.split(SPLIT, text.lower())
+    return [x[:longest] for x in rest if len(x) >= shortest]

@@ -32,7 +32,7 @@ def start_query(engine: Engine, body: dict) -> dict:
     """Starts a search; hits are stored while the answer is already there. ``ValueError`` for bad input."""
     if not isinstance(body, dict) or not isinstance(body.get("query"), str):
         raise ValueError("query is missing")
-    query_id = engine.submit(body["query"], body.get("fromDate"), body.get("toDate"), wait=False)
+    query_id = engine.submit(body["query"], body.get("fromDate"), body.get("toDate"), wait=False, pruning=body.get("pruning") or "prefix")
     return {"query": {"query_id": query_id, "text": body["query"], "finished": False}}
 
 

@@ -1,74 +1,185 @@
-"""Index building: brings the tables to what the files on disk hold now, reading only files that changed."""
+"""Index building: brings the tables to what the files on disk hold now, reading only what is new.
+
+A file is read from its first byte that no kept segment covers. Which segments of a file that grew may be kept is told by
+reading the lines at their ends: a message must still begin there. Files that executors cannot open by their path are
+read by Spark's reader instead, whole, and their segments are compared with all their messages.
+"""
 
 from __future__ import annotations
 
 import logging
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.tokenize import MAX_TERM, MIN_TERM
 from ..sources.discover import discover
-from ..sources.scan import rejected_files, scan_messages
+from ..sources.ranges import opens, read_ranges, split_bytes, splits_of, still_starts
+from ..sources.scan import scan_messages
 from .postings import compact, postings
-from .segments import SEGMENT_LENGTH, assign_segments, incomplete_trailing, misaligned_files, segment_bounds, segment_ids
-from .store import Store, file_id
+from .segments import SEGMENT_LENGTH, assign_segments, incomplete_trailing, misaligned_files, segment_bounds
+from .store import TABLES, Store
 
 log = logging.getLogger("tidemark.ingest")
 
+NO_START, NO_DATE = "no message start found", "a date cannot be read"
+
 
-def _plain(path):
+def plain(path: Column) -> Column:
     """One spelling for the paths that listings and scans give."""
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
+def changes(disk: DataFrame, known: DataFrame) -> DataFrame:
+    """``(file, size, modified, before, state)`` of every file on disk or known, before its size when last read.
+
+    ``state``: gone, new, same (size and time), grown, or rewritten: shorter, or as long but written since.
+    """
+    old = known.select("file", F.col("size").alias("before"), F.col("modified").alias("read_at"))
+    same = (F.col("size") == F.col("before")) & F.col("modified").eqNullSafe(F.col("read_at"))
+    state = F.when(F.col("size").isNull(), "gone").when(F.col("before").isNull(), "new").when(same, "same").when(F.col("size") > F.col("before"), "grown").otherwise("rewritten")
+    return disk.join(old, "file", "full").select("file", "size", "modified", "before", state.alias("state"))
+
+
+def kept_ends(segments: DataFrame, grown: DataFrame, start_re: str, segment_length: int) -> DataFrame:
+    """``(file, end, drop)`` of files that grew: up to where their segments are kept, and the last one's id if it is not.
+
+    All are kept whose ends are still beginnings of messages, but for a last one that is short or that now goes on; none
+    (``end`` 0) where any other is not, as the file has been written anew.
+    """
+    own = segments.join(grown.select("file", "size"), "file").select("file", "segment_id", "pos_from", "pos_to", "size")
+    probed = still_starts(own.sortWithinPartitions("file", "pos_from"), start_re)
+    last = F.max_by(F.struct("segment_id", "pos_from", "pos_to", "to_ok"), "pos_to")
+    by_file = probed.groupBy("file").agg(F.min(F.col("from_ok").cast("int")).alias("ok"), last.alias("l"))
+    again = (F.col("l.pos_to") - F.col("l.pos_from") < segment_length) | ~F.col("l.to_ok")
+    end = F.when(F.col("ok") == 0, 0).when(again, F.col("l.pos_from")).otherwise(F.col("l.pos_to"))
+    return by_file.select("file", end.cast("long").alias("end"), F.when((F.col("ok") == 1) & again, F.col("l.segment_id")).alias("drop"))
+
+
 def ingest(
     spark: SparkSession, store: Store, globs: list[str], start_re: str, date_layout: str, segment_length: int = SEGMENT_LENGTH, shortest: int = MIN_TERM, longest: int = MAX_TERM
 ) -> dict[str, int]:
     """Reconciles the tables with the files; returns how many files were indexed, rejected, removed and left as they were.
 
-    * Files that are gone lose their rows; files of the size that is indexed are not read.
-    * A changed file whose segments still begin and end at messages keeps them, but for a short last one; all that
-      follows is indexed anew. One whose segments do not is indexed from its beginning.
-    * A file with a date that cannot be read is set aside, with all its messages, until its size changes.
+    * Files that are gone lose their rows; files of the size and time that are indexed are not read.
+    * A file that grew keeps the segments that still begin and end at messages, but for a short last one; what follows is
+      indexed. One whose segments do not, or that was written anew, is indexed from its beginning.
+    * A file with a date that cannot be read, or without any message, is set aside, with all its messages and the reason,
+      until it changes.
+
+    The driver holds the listing of files and a few numbers of each that changed, as Spark's own readers do.
     """
-    disk = discover(spark, globs).withColumn("file", _plain(F.col("file")))
-    now = {r.file: r["size"] for r in disk.select("file", "size").collect()}  # the listing of files, not their contents
-    known = {r.file: (r["size"], r.file_id) for name in ("files", "rejects") for r in store.read(name).collect()}
-    gone = [i for f, (_, i) in known.items() if f not in now]
-    store.drop_files(gone)
-    todo = [f for f, size in now.items() if f not in known or known[f][0] != size]
-    counts = {"indexed": 0, "rejected": 0, "removed": len(gone), "unchanged": len(now) - len(todo)}
-    if not todo:
+    manifest = store.manifest()
+    disk = discover(spark, globs).withColumn("file", plain(F.col("file")))
+    rejects = store.read("rejects", manifest)
+    known = store.read("files", manifest).unionByName(rejects.drop("reason"))
+    seen = changes(disk, known).join(rejects.select("file", "reason"), "file", "left").collect()
+    gone, same = ([r for r in seen if r.state == x] for x in ("gone", "same"))
+    todo = sorted((r for r in seen if r.state not in ("gone", "same")), key=lambda r: r.file)
+    counts = {"indexed": 0, "rejected": 0, "removed": len(gone), "unchanged": len(same)}
+    if not todo and not gone:
         return counts
-    changed = spark.createDataFrame([(f, now[f]) for f in todo], "file string, size long")
-    scanned = store.stage(scan_messages(spark, todo, start_re, date_layout).withColumn("file", _plain(F.col("file"))))
-    rejected = rejected_files(scanned).join(changed, "file")
-    rejected = store.stage(rejected.withColumn("file_id", file_id("file")))
-    good = scanned.join(rejected.select("file"), "file", "left_anti")
-    own = F.col("file_id").isin([known[f][1] for f in todo if f in known])  # prunes the partitions of other files
-    old = store.stage(store.read("segments").where(own).join(changed.select("file"), "file", "left_semi"))
-    kept = old.join(misaligned_files(old, good), "file", "left_anti").join(incomplete_trailing(old, changed, segment_length).select("segment_id"), "segment_id", "left_anti")
-    kept = kept.join(rejected.select("file"), "file", "left_anti")
-    ends = kept.groupBy("file").agg(F.max("pos_to").alias("_end"))
-    new = good.join(ends, "file", "left").where(F.col("pos_from") >= F.coalesce("_end", F.lit(0))).drop("_end")
-    made = segment_ids(assign_segments(new, segment_length)).withColumn("file_id", file_id("file"))
-    before = store.read("messages").where(own).join(kept.select("segment_id"), "segment_id", "left_semi")
-    messages = store.stage(before.unionByName(made))
-    ids = [r.file_id for r in rejected.select("file_id").collect()]
-    store.drop_files(ids)
-    store.replace("messages", messages)
-    store.replace("segments", segment_bounds(messages).withColumn("file_id", file_id("file")))
-    terms = postings(messages, F.col("body"), shortest, longest, keep=("file_id",))
-    store.replace("postings", terms.repartition("file_id").sortWithinPartitions("file_id", "term"))
-    indexed = changed.join(rejected.select("file"), "file", "left_anti").withColumn("file_id", file_id("file"))
-    store.replace("files", indexed)
-    store.replace("rejects", rejected)
-    store.clear_staging()
-    counts |= {"rejected": len(ids), "indexed": len(todo) - len(ids)}
+    segments = store.read("segments", manifest)
+    grown = [r for r in todo if r.state == "grown" and r.reason is None]
+    direct = {r.file for r in todo if opens(r.file)}
+    start, drop = dict.fromkeys((r.file for r in todo), 0), []
+    scanned = None
+    if any(r.file in direct for r in grown):
+        ends = kept_ends(segments, spark.createDataFrame([(r.file, r["size"]) for r in grown if r.file in direct], "file string, size long"), start_re, segment_length).collect()
+        start |= {r.file: r.end for r in ends}
+        drop += [r["drop"] for r in ends if r["drop"] is not None]
+    others = [r for r in todo if r.file not in direct]
+    if others:
+        scanned = _staged(store, scan_messages(spark, [r.file for r in others], start_re, date_layout).withColumn("file", plain(F.col("file"))))
+        ends = _kept_by_scan(spark, segments, scanned, [r for r in others if r in grown], segment_length)
+        start |= {r.file: r.end for r in ends}
+        drop += [r["drop"] for r in ends if r["drop"] is not None]
+    whole = [r.file for r in (*gone, *todo) if start.get(r.file, 0) == 0]  # whatever is known of these goes
+    ranges = [(r.file, start[r.file], r["size"]) for r in todo if r.file in direct]
+    splits = splits_of(ranges, manifest["next_segment"], split_bytes(spark, ranges))
+    next_segment = max([manifest["next_segment"], *(s.first_segment + s.end - s.start for s in splits)])
+    new = read_ranges(spark, splits, start_re, date_layout, segment_length)
+    if scanned is not None:
+        first = {}
+        for r in others:
+            first[r.file], next_segment = next_segment, next_segment + r["size"]
+        new = new.unionByName(_numbered(spark, scanned, start, first, segment_length))
+    written = store.write("messages", new)
+    messages = store.read_folders("messages", [written])
+    per_segment = segment_bounds(messages.withColumn("bad", F.col("date").isNull()), F.max("bad").alias("bad"))
+    made = _staged(store, per_segment)
+    per_file = {r.file: r.bad for r in made.groupBy("file").agg(F.max("bad").alias("bad")).collect()}  # a row for each file that was read
+    reasons = {r.file: NO_DATE if per_file.get(r.file) else NO_START for r in todo if per_file.get(r.file, start[r.file] == 0)}
+    bad = spark.createDataFrame([(f,) for f in sorted({*whole, *reasons})], "file string")
+    dropped = segments.join(bad, "file", "left_semi").select("segment_id")
+    dropped = dropped.unionByName(made.join(spark.createDataFrame([(f,) for f in sorted(reasons)], "file string"), "file", "left_semi").select("segment_id"))
+    dropped = dropped.unionByName(spark.createDataFrame([(d,) for d in drop], "segment_id long")).distinct()
+    good = made.join(spark.createDataFrame([(f,) for f in sorted(reasons)], "file string"), "file", "left_anti")
+    now = {r.file: r for r in seen if r.state != "gone"}
+    rejected = {r.file: r.reason for r in same if r.reason is not None} | reasons
+    files = [(f, r["size"], r.modified) for f, r in sorted(now.items()) if f not in rejected]
+    set_aside = [(f, now[f]["size"], now[f].modified, reason) for f, reason in sorted(rejected.items())]
+    terms = postings(messages, F.col("body"), shortest, longest).sortWithinPartitions("term", "segment_id")
+    add = {"messages": [written], "segments": [store.write("segments", good)], "postings": [store.write("postings", terms)]}
+    add["dropped"] = [store.write("dropped", dropped)] if whole or drop or reasons else []
+    replace = {"files": [store.write("files", spark.createDataFrame(files, TABLES["files"]).coalesce(1))], "rejects": [store.write("rejects", spark.createDataFrame(set_aside, TABLES["rejects"]).coalesce(1))]}
+    store.commit(manifest, add, replace, next_segment)
+    store.clean()
+    counts |= {"rejected": len(reasons), "indexed": len(todo) - len(reasons)}
+    for f, reason in sorted(reasons.items()):
+        log.warning("%s: %s", f, reason)
     log.info("ingest: %s", counts)
     return counts
 
 
-def compacted(store: Store, partitions: int) -> DataFrame:
-    """All postings, in few files sorted by term."""
-    return compact(store.read("postings"), partitions)
+def _staged(store: Store, df: DataFrame) -> DataFrame:
+    """A written copy of what is read more than once; the next cleaning deletes it."""
+    path = f"{store.root}/data/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return store.spark.read.schema(df.schema).parquet(path)
+
+
+def _kept_by_scan(spark: SparkSession, segments: DataFrame, scanned: DataFrame, grown: list, segment_length: int) -> list:
+    """The same as ``kept_ends``, by comparison with all messages of the files."""
+    files = spark.createDataFrame([(r.file, r["size"]) for r in grown], "file string, size long")
+    own = segments.join(files.select("file"), "file", "left_semi")
+    short = incomplete_trailing(own, files, segment_length).select("file", F.col("segment_id").alias("short"))
+    last = own.groupBy("file").agg(F.max_by(F.struct("segment_id", "pos_from", "pos_to"), "pos_to").alias("l")).join(short, "file", "left")
+    goes_on = last.select("file", F.col("l.pos_to").alias("pos_to")).join(scanned.select("file", "pos_to"), ["file", "pos_to"], "left_anti").select("file", F.lit(True).alias("on"))
+    body = own.join(last.select("file", F.col("l.segment_id").alias("segment_id")), ["file", "segment_id"], "left_anti")
+    wrong = misaligned_files(body, scanned).select("file", F.lit(True).alias("wrong"))
+    moved = last.select("file", F.col("l.pos_from").alias("pos_from")).join(scanned.select("file", "pos_from"), ["file", "pos_from"], "left_anti").select("file", F.lit(True).alias("moved"))
+    again = F.col("short").isNotNull() | F.col("on").isNotNull()
+    ok = F.col("wrong").isNull() & F.col("moved").isNull()
+    end = F.when(~ok, 0).when(again, F.col("l.pos_from")).otherwise(F.col("l.pos_to"))
+    every = last.join(wrong, "file", "left").join(moved, "file", "left").join(goes_on, "file", "left")
+    return every.select("file", end.cast("long").alias("end"), F.when(ok & again, F.col("l.segment_id")).alias("drop")).collect()
+
+
+def _numbered(spark: SparkSession, scanned: DataFrame, start: dict[str, int], first: dict[str, int], segment_length: int) -> DataFrame:
+    """The scanned messages from where each file is to be read, with segment ids."""
+    where = spark.createDataFrame([(f, start[f], n) for f, n in first.items()], "file string, _start long, _first long")
+    new = scanned.join(F.broadcast(where), "file").where("pos_from >= _start")  # a row a file
+    ends = assign_segments(new.select("file", "pos_from", "pos_to"), segment_length).select("file", "pos_from", "segment_no")
+    out = new.join(ends, ["file", "pos_from"]).withColumn("segment_id", F.col("_first") + F.col("segment_no"))
+    return out.drop("_start", "_first", "segment_no").orderBy("segment_id", "pos_from")
+
+
+def compacted(store: Store, bytes_a_file: int = 128 << 20) -> dict:
+    """Merges the postings and segments of all generations, sorted by term, and leaves out what was dropped."""
+    manifest = store.manifest()
+    terms, segments = store.read("postings", manifest), store.read("segments", manifest)
+    partitions = max(1, -(-terms.count() * 16 // bytes_a_file))
+    replace = {"postings": [store.write("postings", compact(terms, partitions))], "segments": [store.write("segments", segments.repartitionByRange(partitions, "segment_id").sortWithinPartitions("segment_id"))]}
+    after = store.commit(manifest, replace=replace)
+    store.clean()
+    return after
+
+
+def rewritten(store: Store) -> dict:
+    """``compacted`` of all tables: messages of dropped segments leave the disk too."""
+    manifest = compacted(store)
+    messages = store.read("messages", manifest)
+    after = store.commit(manifest, replace={"messages": [store.write("messages", messages.repartitionByRange("segment_id").sortWithinPartitions("segment_id", "pos_from"))], "dropped": []})
+    store.clean()
+    return after

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from .store import Store
 
 QUERY = "query_id int, text string, date_min timestamp, date_max timestamp, messages long, finished boolean, failed boolean, built_at timestamp"
-HIT = "query_id int, file string, pos long, len int, date timestamp, body string"
+HIT = "file string, pos long, len long, date timestamp, body string"
 
 
 _ids = threading.Lock()
@@ -43,17 +43,25 @@ class Results:
     def _describe(self, *row) -> None:
         self.spark.createDataFrame([row], QUERY).coalesce(1).drop("query_id").write.mode("overwrite").parquet(self._path("queries", row[0]))
 
-    def submit(self, text: str, found: DataFrame, date_min: datetime | None = None, date_max: datetime | None = None, wait: bool = True) -> int:
-        """Stores the hits of ``found`` under a new id; with ``wait`` false the id returns while they are being written."""
+    def submit(self, text: str, found: DataFrame, date_min: datetime | None = None, date_max: datetime | None = None, wait: bool = True, cuts: list[int] | None = None) -> int:
+        """Stores the hits of ``found`` under a new id; with ``wait`` false the id returns while they are being written.
+
+        ``cuts``: ids of segments at which the search is cut into parts. Hits can be listed, and are counted in the query's
+        metadata, as soon as the part that they are in has been searched.
+        """
         query_id, built = self._new_id(), datetime.now(timezone.utc)
         self._describe(query_id, text, date_min, date_max, 0, False, False, built)
 
         def run() -> None:
             try:
-                rows = found.select("file", F.col("pos_from").alias("pos"), (F.col("pos_to") - F.col("pos_from")).cast("int").alias("len"), F.col("date").cast("timestamp").alias("date"), "body")
-                rows.write.mode("overwrite").parquet(self._path("query_results", query_id))
-                n = self.spark.read.parquet(self._path("query_results", query_id)).count()
-                self._describe(query_id, text, date_min, date_max, n, True, False, built)
+                n = 0
+                for k, (lo, hi) in enumerate(zip([None, *(cuts or [])], [*(cuts or []), None])):
+                    part = found if lo is None else found.where(F.col("segment_id") >= lo)
+                    part = part if hi is None else part.where(F.col("segment_id") < hi)
+                    rows = part.select("file", F.col("pos_from").alias("pos"), (F.col("pos_to") - F.col("pos_from")).alias("len"), F.col("date").cast("timestamp").alias("date"), "body")
+                    rows.write.mode("overwrite").parquet(f"{self._path('query_results', query_id)}/part={k}")
+                    n += self.spark.read.parquet(f"{self._path('query_results', query_id)}/part={k}").count()
+                    self._describe(query_id, text, date_min, date_max, n, hi is None, False, built)
             except Exception:
                 self._describe(query_id, text, date_min, date_max, 0, False, True, built)
                 raise
@@ -73,19 +81,28 @@ class Results:
         """Metadata of all queries, or of ``ids``, newest first."""
         path = self._path("queries")
         rows = self.spark.read.schema(QUERY).parquet(path) if self.store.exists(path) else self.spark.createDataFrame([], QUERY)
-        rows = rows if ids is None else rows.where(F.col("query_id").isin(ids))
-        return rows.orderBy(F.desc("built_at"), F.desc("query_id"))
+        return history(rows if ids is None else rows.where(F.col("query_id").isin(ids)))
 
     def page(self, query_id: int, skip: int = 0, limit: int = 100) -> DataFrame:
         """Hits by date; none for an unknown id or one without hits yet."""
         path = self._path("query_results", query_id)
-        rows = self.spark.read.parquet(path) if self.store.exists(path) else self.spark.createDataFrame([], HIT).drop("query_id")
-        return rows.orderBy("date", "file", "pos").offset(skip).limit(limit)
+        done = [n for n in self.store.names(path) if self.store.exists(f"{path}/{n}/_SUCCESS")]
+        rows = self.spark.read.schema(HIT).parquet(*[f"{path}/{n}" for n in done]) if done else self.spark.createDataFrame([], HIT)
+        return hits_page(rows, skip, limit)
 
     def wipe(self, query_id: int) -> None:
         for name in ("queries", "query_results"):
             self.store.delete(self._path(name, query_id))
 
 
+def history(queries: DataFrame) -> DataFrame:
+    """All of them, newest first."""
+    return queries.orderBy(F.desc("built_at"), F.desc("query_id"))
+
+
+def hits_page(hits: DataFrame, skip: int = 0, limit: int = 100) -> DataFrame:
+    return hits.orderBy("date", "file", "pos").offset(skip).limit(limit)
+
+
 def page_count(queries: DataFrame, per_page: int) -> DataFrame:
     return queries.select("query_id", F.ceil(F.col("messages") / per_page).alias("pages"))

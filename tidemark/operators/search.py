@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import bound
 from ..functions.tokenize import MAX_TERM, MIN_TERM, query_terms
-from ..plans.match import matches
+from ..plans.match import balanced, matches
 from ..plans.prune import candidates
 from ..qlang.ast import Node
 from ..qlang.parser import QuerySyntaxError, parse
 
 ORDER = ("date", "file", "pos_from")
+#: Segments that are looked up by their ids in the scan at most; and ranges of ids that these become there.
+LISTED, RANGES = 4096, 8
 
 
 def check_query(query: str, date_from: str | datetime | None = None, date_to: str | datetime | None = None) -> tuple[Node, datetime | None, datetime | None]:
@@ -37,12 +39,32 @@ def date_range(messages: DataFrame, lo: datetime | None, hi: datetime | None) ->
     return messages
 
 
+def of_segments(messages: DataFrame, segments: DataFrame) -> DataFrame:
+    """The messages of some segments.
+
+    The ids of a few thousand are looked up now. Those of one ingest rise with the bytes of its files, so the ranges that
+    they lie in tell the scan which pages to skip, if that is most of them. More ids meet the messages in a join.
+    """
+    ids = sorted(r.segment_id for r in segments.limit(LISTED + 1).collect())
+    if len(ids) > LISTED:
+        return messages.join(segments, "segment_id", "left_semi").select(*messages.columns)
+    if not ids:
+        return messages.limit(0)
+    gaps = sorted(range(1, len(ids)), key=lambda k: ids[k - 1] - ids[k])[: RANGES - 1]
+    cuts = [0, *sorted(gaps), len(ids)]
+    runs = [(ids[a], ids[b - 1]) for a, b in zip(cuts, cuts[1:])]
+    if len(ids) <= RANGES or 2 * sum(hi - lo for lo, hi in runs) < ids[-1] - ids[0]:
+        messages = messages.where(balanced(lambda a, b: a | b, [F.col("segment_id").between(lo, hi) for lo, hi in runs], False))
+    return messages.where(F.col("segment_id").isin(ids))
+
+
 def search(
     messages: DataFrame,
     query: str | Node,
     date_from: str | datetime | None = None,
     date_to: str | datetime | None = None,
     index: DataFrame | None = None,
+    segments: DataFrame | None = None,
     shortest: int = MIN_TERM,
     longest: int = MAX_TERM,
     sort: bool = True,
@@ -51,6 +73,7 @@ def search(
 
     With an ``index`` (term, segment_id) only messages of segments that may match are read; literals are then found at
     the beginning of terms, wherever else the same segment holds the term. Without, literals are found anywhere.
+    ``segments``: the ids of those that may match, found before.
     """
     if isinstance(query, str):
         node, lo, hi = check_query(query, date_from, date_to)
@@ -59,8 +82,8 @@ def search(
     found = date_range(messages, lo, hi)
     if index is not None:
         segments = candidates(index, node, lambda t: query_terms(t, shortest, longest))
-        if segments is not None:
-            found = found.join(segments, "segment_id", "left_semi").select(*messages.columns)
+    if segments is not None:
+        found = of_segments(found, segments)
     found = found.where(matches(node, F.col("body")))
     return found.orderBy(*ORDER) if sort else found
 

@@ -6,7 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..workers import prepare
+from .intervals import location
+from .rank import ranked
 
 SEGMENT_LENGTH = 5_000_000
 
@@ -16,8 +20,9 @@ def assign_segments(layouts: DataFrame, segment_length: int = SEGMENT_LENGTH, fi
 
     A segment ends once its messages reach ``segment_length``, or where the next message does not begin at its end. The
     running length starts anew at each segment, so rows are walked in order of file and position; a task holds one batch
-    and a few numbers, however long a file is.
+    and a few numbers, however long a file is. Give it positions alone: rows meet by file.
     """
+    prepare(layouts.sparkSession)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file, filled, end, number = None, 0, None, 0
@@ -36,19 +41,27 @@ def assign_segments(layouts: DataFrame, segment_length: int = SEGMENT_LENGTH, fi
     return layouts.repartition(file_col).sortWithinPartitions(file_col, "pos_from").mapInPandas(walk, schema)
 
 
-def segment_ids(numbered: DataFrame) -> DataFrame:
-    """``segment_id`` from the file and the position where the segment begins: the same however often it is computed."""
-    starts = numbered.groupBy("file", "segment_no").agg(F.min("pos_from").alias("_start"))
-    return numbered.join(starts, ["file", "segment_no"]).withColumn("segment_id", F.xxhash64("file", "_start")).drop("_start", "segment_no")
-
-
-def segment_bounds(messages: DataFrame) -> DataFrame:
-    """A row a segment: where it begins and ends, its true first and last date, and its messages."""
+def segment_bounds(messages: DataFrame, *more: Column) -> DataFrame:
+    """A row a segment: where it begins and ends, its true first and last date, its messages, and ``more`` aggregates."""
     return messages.groupBy("file", "segment_id").agg(
-        F.min("pos_from").alias("pos_from"), F.max("pos_to").alias("pos_to"), F.min("date").alias("date_min"), F.max("date").alias("date_max"), F.count("*").alias("messages")
+        F.min("pos_from").alias("pos_from"), F.max("pos_to").alias("pos_to"), F.min("date").alias("date_min"), F.max("date").alias("date_max"), F.count("*").alias("messages"), *more
     )
 
 
+def ranges_by_file(segments: DataFrame) -> DataFrame:
+    """``(file, ranges)``: the ranges of each file's segments, in order."""
+    return segments.groupBy("file").agg(F.sort_array(F.collect_list(location(F.col("pos_from"), F.col("pos_to")))).alias("ranges"))
+
+
+def near_even(rows: DataFrame, order: list[str], chunks: int, number: str = "chunk") -> DataFrame:
+    """``rows`` with the number, from 1, of the one of ``chunks`` that they are in: runs in this order that differ by one row at most."""
+    n, places = rows.count(), ranked(rows, order, "_nth")
+    long, size = n % chunks, n // chunks
+    nth = F.col("_nth") - 1
+    at = F.when(nth < long * (size + 1), F.floor(nth / (size + 1))).otherwise(long + F.floor((nth - long * (size + 1)) / max(size, 1)))
+    return places.withColumn(number, at.cast("long") + 1).drop("_nth")
+
+
 def misaligned_files(segments: DataFrame, layouts: DataFrame) -> DataFrame:
     """Files of which a segment begins or ends where no message does any more."""
     starts = segments.join(layouts.select("file", "pos_from"), ["file", "pos_from"], "left_anti")

@@ -1,16 +1,22 @@
-"""Messages of raw log files: from one match of the start pattern to the next, with byte positions."""
+"""Messages of raw log files that only Spark's readers reach: from one match of the start pattern to the next, with byte positions.
+
+Files that executors can open by themselves are read by ``ranges``, which needs not read a file whole.
+"""
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.dates import parse_date
+from ..workers import prepare, shared_dir
 
-_FOUND = "file string, block long, size long, at long, bytes long, date_at_byte int, date_bytes int, date_text string, date_at int, last boolean, body string"
+#: ``part``: 0 messages, 1 those that meet others of another split, 2 the length of a split.
+_FOUND = "part int, file string, block long, size long, at long, bytes long, date_at_byte int, date_bytes int, date_text string, date_at int, last boolean, body string"
 _COLUMNS = [c.split()[0] for c in _FOUND.split(", ")]
 
 
@@ -27,10 +33,10 @@ class _Block:
     def _row(self, last: bool) -> tuple:
         raw = b"".join(self.held)
         if self.date is None:  # before the first start: the rest of a message of the split before
-            return self.file, self.block, self.size, self.at, len(raw), -1, 0, "", 0, last, raw.decode("utf-8", "replace")
+            return 1, self.file, self.block, self.size, self.at, len(raw), -1, 0, "", 0, last, raw.decode("utf-8", "replace")
         a, b = self.date
         head, date = raw[:a].decode("utf-8", "replace"), raw[a:b].decode("utf-8", "replace")
-        return self.file, self.block, self.size, self.at, len(raw), a, b - a, date, len(head), last, head + raw[b:].decode("utf-8", "replace")
+        return int(last), self.file, self.block, self.size, self.at, len(raw), a, b - a, date, len(head), last, head + raw[b:].decode("utf-8", "replace")
 
     def add(self, text: bytes) -> Iterator[tuple]:
         begin = 0
@@ -47,6 +53,7 @@ class _Block:
     def end(self) -> Iterator[tuple]:
         if any(self.held):
             yield self._row(True)
+        yield 2, self.file, self.block, self.size, 0, self.at + sum(map(len, self.held)), -1, 0, "", 0, True, ""
 
 
 def _finder(start_re: str):
@@ -76,20 +83,23 @@ def scan_messages(spark: SparkSession, files: list[str], start_re: str, date_lay
     between them. ``body`` lacks the date, which was at character ``date_at`` of it. What comes before a file's first
     match belongs to no message.
 
-    Files are read in splits like any text, so their size does not matter, and messages are found where they are read.
-    Of each split only its length, the message that it ends in and what it begins with meet others of the same file.
+    Files are read in splits like any text, so their size does not matter, and messages are found where they are read, in
+    one pass that is written once, below the shared folder. Of each split only its length, the message that it ends in
+    and what it begins with meet others of the same file.
     """
+    prepare(spark)
     raw = spark.read.option("lineSep", "\n").text(files)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), "value")
+    path = f"{shared_dir(spark)}/tidemark-scan-{uuid.uuid4().hex}"
+    raw.select("file", "block", "size", F.col("value").cast("binary").alias("value")).mapInPandas(_finder(start_re), _FOUND).write.partitionBy("part").parquet(path)
+    found = spark.read.schema(_FOUND.partition(", ")[2] + ", part int").parquet(path)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = raw.groupBy("file", "block").agg(F.sum(F.octet_length("value").cast("long") + 1).alias("n"))
-    base = sums.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    found = raw.select("file", "block", "size", F.col("value").cast("binary").alias("value")).mapInPandas(_finder(start_re), _FOUND)
-    placed = found.join(base, ["file", "block"]).withColumn("pos_from", F.col("base") + F.col("at"))
+    base = found.where("part = 2").select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    placed = found.where("part < 2").join(base, ["file", "block"]).withColumn("pos_from", F.col("base") + F.col("at"))
     part = ["file", "size", "pos_from", "bytes", "date_at_byte", "date_bytes", "date_text", "date_at", "body"]
-    whole = placed.where("NOT last AND date_at_byte >= 0").select(*part)
+    whole = placed.where("part = 0").select(*part)
     # the last message of a split, and what other splits begin with: a row or two of each split
-    rest = placed.where("last OR date_at_byte < 0")
+    rest = placed.where("part = 1")
     place = Window.partitionBy("file").orderBy("pos_from").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest = rest.withColumn("start", F.last(F.when(F.col("date_at_byte") >= 0, F.col("pos_from")), ignorenulls=True).over(place)).where("start IS NOT NULL")
     first = lambda c: F.min_by(c, "pos_from").alias(c)

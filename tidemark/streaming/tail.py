@@ -12,8 +12,13 @@ from ..qlang.parser import parse
 
 def tail(engine: Engine, period: str = "60 seconds", checkpoint: str | None = None) -> StreamingQuery:
     """Ingests once a micro-batch, so runs never overlap and a restart goes on. Text appended to a known file is found too."""
+
+    def once(batch: DataFrame, number: int) -> None:
+        engine.ingest()
+        engine.merge()
+
     ticks = engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    writer = ticks.writeStream.foreachBatch(lambda batch, _: engine.ingest() and None).trigger(processingTime=period)
+    writer = ticks.writeStream.foreachBatch(once).trigger(processingTime=period)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
