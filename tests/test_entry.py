@@ -22,8 +22,9 @@ def test_nothing_outside_imports_the_optional_part():
                 assert not any("llm" in n or "corpus_pipeline" in n for n in names), path
 
 
-def test_entry_without_the_optional_part(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+@pytest.mark.parametrize("gone", [["llm"], ["llm", "corpus_pipeline.py"]])
+def test_entry_without_the_optional_part(tmp_path, gone):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(*gone, ".git", "__pycache__"))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path / "repo", capture_output=True, text=True, env={"PATH": "/usr/bin"})
     assert said.stdout.split() == [str(len(queries.QUERIES)), str(len(queries.ORACLE))], said.stderr
 

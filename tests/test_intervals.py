@@ -84,3 +84,18 @@ def test_semi_joins_keep_each_row_once(spark):
         assert sorted(x.pos_from for x in iv.within(rows, r, ["file"]).collect()) == want
     r = spark.createDataFrame([("f", 0, 50), ("f", 60, 100), ("f", 125, 125)], "file string, pos_from long, pos_to long")
     assert [x.pos_from for x in iv.touched(rows, r, ["file"]).collect()] == [1]
+
+
+def test_range_joins_across_bins(spark):
+    import random
+
+    rng = random.Random(3)
+    ranges = [(f"k{rng.randrange(3)}", a, a + rng.randrange(0, 90)) for a in (rng.randrange(1000) for _ in range(60))]
+    rows = [(f"k{rng.randrange(4)}", a, a + rng.randrange(0, 70), i) for i, a in enumerate(rng.randrange(1000) for _ in range(300))]
+    r = spark.createDataFrame(ranges, "k string, pos_from long, pos_to long")
+    df = spark.createDataFrame([*rows, *rows[:5]], "k string, pos_from long, pos_to long, n int")
+    for width in (7, 64, 10**6):
+        want = sorted(x[3] for x in [*rows, *rows[:5]] if any(k == x[0] and a <= x[1] < b for k, a, b in ranges))
+        assert sorted(x.n for x in iv.within(df, r, ["k"], width).collect()) == want
+        want = sorted(x[3] for x in [*rows, *rows[:5]] if any(k == x[0] and max(a, x[1]) < min(b, x[2]) for k, a, b in ranges))
+        assert sorted(x.n for x in iv.touched(df, r, ["k"], width).collect()) == want

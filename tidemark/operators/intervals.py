@@ -53,7 +53,8 @@ def remove_all(a: Column, others: Column) -> Column:
 
 
 def merge(ranges: Column) -> Column:
-    """Overlapping and touching ranges as one, in order."""
+    """Overlapping and touching ranges as one, in order. For arrays of a few dozen: each step copies what it has; ``merge_rows``
+    takes any number."""
     none = F.array().cast("array<struct<pos_from:bigint,pos_to:bigint>>")
 
     def add(acc: Column, x: Column) -> Column:
@@ -98,15 +99,28 @@ def difference_rows(whole: DataFrame, others: DataFrame, keys: list[str]) -> Dat
     return gaps.select(*keys, F.explode("g").alias("g")).where("g IS NOT NULL AND g.pos_to > g.pos_from").select(*keys, "g.pos_from", "g.pos_to")
 
 
-def within(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose ``pos_from`` lies in a range of their key."""
-    r = ranges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("pos_from").alias("_from"), F.col("pos_to").alias("_to"))
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys], (F.col("pos_from") >= F.col("_from")) & (F.col("pos_from") < F.col("_to")))
-    return rows.join(r, on, "left_semi")
+#: Positions of one bin: ranges meet rows by key and bin, so a key with many of both is many small joins.
+BIN = 1 << 22
 
 
-def touched(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows that share a position with a range of their key, each once."""
-    r = ranges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("pos_from").alias("_from"), F.col("pos_to").alias("_to"))
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys], (F.col("pos_from") < F.col("_to")) & (F.col("pos_to") > F.col("_from")))
-    return rows.join(r, on, "left_semi")
+def _binned(ranges: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Merged ranges, each once for every bin that it has a part in."""
+    every = merge_rows(ranges.where("pos_to > pos_from"), keys)
+    bins = F.explode(F.sequence(F.floor(F.col("pos_from") / width), F.floor((F.col("pos_to") - 1) / width)))
+    return every.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("pos_from").alias("_from"), F.col("pos_to").alias("_to"), bins.alias("_bin"))
+
+
+def within(rows: DataFrame, ranges: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
+    """The rows whose ``pos_from`` lies in a range of their key. Ranges are merged before, so a row meets few of its bin."""
+    r = _binned(ranges, keys, width)
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.floor(F.col("pos_from") / width) == F.col("_bin"), F.col("pos_from") >= F.col("_from"), F.col("pos_from") < F.col("_to")]
+    return rows.join(r, reduce(lambda a, b: a & b, on), "left_semi")
+
+
+def touched(rows: DataFrame, ranges: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
+    """The rows that share a position with a range of their key, each once: it is looked for in each bin that it is in."""
+    r = _binned(ranges, keys, width)
+    bins = F.explode(F.sequence(F.floor(F.col("pos_from") / width), F.floor((F.col("pos_to") - 1) / width)))
+    spread = rows.where("pos_to > pos_from").withColumn("_row", F.monotonically_increasing_id()).withColumn("_own", bins)
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_own") == F.col("_bin"), F.col("pos_from") < F.col("_to"), F.col("pos_to") > F.col("_from")]
+    return spread.join(r, reduce(lambda a, b: a & b, on), "left_semi").dropDuplicates(["_row"]).drop("_row", "_own")

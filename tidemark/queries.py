@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .config import Config
+from .engine import Engine
 from .functions.dates import bound, from_micros, micros, parse_date
-from .functions.tokenize import distinct_terms, query_terms, terms
+from .functions.tokenize import distinct_terms, query_terms, sure_terms, terms
 from .operators import intervals as iv
-from .operators.postings import document_frequency, postings, prefix_lookup, without_segments
+from .operators.ingest import NO_START, changes
+from .operators.postings import compact, document_frequency, postings, prefix_lookup, without_segments
+from .operators.rank import ranked
+from .operators.results import history, hits_page, page_count as pages_of
 from .operators.search import date_range, histogram, page, search, summary
-from .operators.segments import assign_segments, incomplete_trailing, misaligned_files
-from .plans.prune import candidates
+from .operators.segments import assign_segments, incomplete_trailing, misaligned_files, near_even, ranges_by_file, segment_bounds as bounds_of
+from .plans.prune import candidates, full_scan
+from .qlang.ast import digest
 from .qlang.parser import parse
 from .sources.adapters import table_messages
+from .sources.discover import discover
+from .sources.ranges import read_ranges, splits_of
+from .sources.scan import scan_messages
+from .streaming.tail import hits_by_time, standing_query
+from .workers import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,7 +64,7 @@ DOCUMENT_SEARCHES = {
     "lit_quoted_phrase": ("'of the'", _lit("of the")),
     "lit_unicode": ("für", _lit("für")),
     "and_implicit": ("license the", f"{_lit('license')} AND {_lit('the')}"),
-    "and_explicit": ("license AND reserved", f"{_lit('license')} AND {_lit('reserved')}"),
+    "and_explicit": ("rights AND reserved", f"{_lit('rights')} AND {_lit('reserved')}"),
     "or_any": ("license OR reserved", f"{_lit('license')} OR {_lit('reserved')}"),
     "not_single": ("!the", f"NOT {_lit('the')}"),
     "not_not": ("!!license", _lit("license")),
@@ -173,10 +185,32 @@ def prefix_lookup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_lookup(postings(_documents(spark, sf_dir)), "lic")
 
 
+_kept: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
+    """What several queries share is made once an application and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of documents as they are stored: sorted by term."""
+
+    def make() -> str:
+        path = f"{shared_dir(spark)}/tidemark-index-{uuid.uuid4().hex}"
+        compact(postings(_documents(spark, sf_dir)), 4).write.parquet(path)
+        return path
+
+    return spark.read.parquet(_once(spark, sf_dir, "index", make))
+
+
 def _candidates(text: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         messages = _documents(spark, sf_dir)
-        found = candidates(postings(messages), parse(text), query_terms)
+        found = candidates(_index(spark, sf_dir), parse(text), query_terms)
         return messages.select("segment_id").distinct() if found is None else found
 
     return run
@@ -198,16 +232,21 @@ for _name, _text, _sql in (
     QUERIES[_name], ORACLE[_name] = _candidates(_text), _sql
 
 
-@query(f"SELECT source AS file, doc_id AS pos_from FROM documents WHERE {_lit('license')} AND {_lit('reserved')} AND doc_id // {PER_SEGMENT} IN (SELECT segment_id FROM ({_FLAGS}) WHERE a AND b)")
+@query(f"SELECT source AS file, doc_id AS pos_from FROM documents WHERE {_lit('rights')} AND {_lit('reserved')} AND doc_id // {PER_SEGMENT} IN (SELECT segment_id FROM ({_FLAGS}) WHERE c AND b)")
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = _documents(spark, sf_dir)
-    return search(messages, "license reserved", index=postings(messages)).select("file", "pos_from")
+    return search(_documents(spark, sf_dir), "rights reserved", index=_index(spark, sf_dir)).select("file", "pos_from")
+
+
+@query(f"SELECT source AS file, doc_id AS pos_from FROM documents WHERE {_lit('ights reserved')}")
+def indexed_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A literal that begins amid a term: of its terms only the others are looked up."""
+    segments = candidates(_index(spark, sf_dir), parse("'ights reserved'"), sure_terms)
+    return search(_documents(spark, sf_dir), "'ights reserved'", segments=segments).select("file", "pos_from")
 
 
 @query(f"SELECT term, segment_id FROM ({_POSTINGS}) WHERE segment_id NOT IN (SELECT doc_id // {PER_SEGMENT} FROM documents WHERE {_lit('license')})")
 def postings_without_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = _documents(spark, sf_dir)
-    return without_segments(postings(messages), search(messages, "license", sort=False))
+    return without_segments(_index(spark, sf_dir), search(_documents(spark, sf_dir), "license", sort=False))
 
 
 _SPANS = "SELECT source AS file, doc_id, strlen(text) AS n, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) AS pos_to FROM documents"
@@ -236,14 +275,8 @@ def segment_assign_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT file, doc_id // 100 AS segment_id, min(pos_to - n)::BIGINT AS pos_from, max(pos_to)::BIGINT AS pos_to, count(*) AS messages FROM ({_SPANS}) GROUP BY 1, 2")
 def segment_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _layouts(spark, sf_dir).withColumn("segment_id", F.floor(F.col("doc_id") / 100))
-    return parts.groupBy("file", "segment_id").agg(F.min("pos_from").alias("pos_from"), F.max("pos_to").alias("pos_to"), F.count("*").alias("messages"))
-
-
-@query("SELECT event_id, lead(event_id) OVER w AS next_id, lead(event_id) OVER w IS NULL AS is_tail FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")
-def message_end_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nxt = F.lead("event_id").over(Window.partitionBy("event_type").orderBy("event_id"))
-    return _table(spark, sf_dir, "events").select("event_id", nxt.alias("next_id"), nxt.isNull().alias("is_tail"))
+    parts = _layouts(spark, sf_dir).withColumn("segment_id", F.floor(F.col("doc_id") / 100)).withColumn("date", F.lit(None).cast("timestamp"))
+    return bounds_of(parts).drop("date_min", "date_max")
 
 
 _SEGMENTS = f"SELECT file, doc_id // 100 AS segment_id, min(pos_to - n)::BIGINT AS pos_from, max(pos_to)::BIGINT AS pos_to FROM ({_SPANS}) GROUP BY 1, 2"
@@ -339,51 +372,62 @@ def range_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.within(rows, _ranges(spark, sf_dir), ["k"]).select("event_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
-def anti_join_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+@query(f"SELECT k, pos_from, pos_to, pos_to - pos_from AS length FROM ({_RANGES})")
+def interval_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _ranges(spark, sf_dir).select("k", iv.checked_location(F.col("pos_from"), F.col("pos_to")).alias("x"))
+    return made.select("k", "x.pos_from", "x.pos_to", iv.length(F.col("x")).alias("length"))
 
 
-@query("SELECT o_orderkey, c_name, n_name, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-06-30' AND n_nationkey IN (1, 2, 3)")
-def star_join_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer, nation = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    chosen = nation.where(F.col("n_nationkey").isin(1, 2, 3)).select("n_nationkey", "n_name")
-    some = orders.where("o_orderdate BETWEEN TIMESTAMP_NTZ'1995-01-01' AND TIMESTAMP_NTZ'1995-06-30'")
-    found = some.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(chosen, F.col("c_nationkey") == F.col("n_nationkey"))
-    return found.select("o_orderkey", "c_name", "n_name", "o_orderdate")
+@query("""WITH d AS (SELECT source AS file, count(*) FILTER (doc_id % 3 > 0) AS size, count(*) FILTER (doc_id % 2 > 0 OR doc_id < 500) AS before FROM documents GROUP BY 1),
+disk AS (SELECT file, size FROM d WHERE file <> 'src1'), known AS (SELECT file, before FROM d WHERE file <> 'src2')
+SELECT file, CASE WHEN size IS NULL THEN 'gone' WHEN before IS NULL THEN 'new' WHEN size = before THEN 'same' WHEN size > before THEN 'grown' ELSE 'rewritten' END AS state
+FROM disk FULL JOIN known USING (file)""")
+def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("file"))
+    sized = docs.agg(F.count_if(F.expr("doc_id % 3 > 0")).alias("size"), F.count_if(F.expr("doc_id % 2 > 0 OR doc_id < 500")).alias("before"), F.lit(None).cast("timestamp").alias("modified"))
+    known = sized.where("file <> 'src2'").select("file", F.col("before").alias("size"), "modified")
+    return changes(sized.where("file <> 'src1'").select("file", "size", "modified"), known).select("file", "state")
 
 
 _A, _B = (f"SELECT DISTINCT segment_id FROM ({_POSTINGS}) WHERE starts_with(term, '{t}')" for t in ("license", "reserved"))
 for _name, _op in (("set_union", "UNION"), ("set_intersect", "INTERSECT"), ("set_difference", "EXCEPT")):
 
     def _sets(spark: SparkSession, sf_dir: str, op: str = _op) -> DataFrame:
-        index = postings(_documents(spark, sf_dir))
+        index = _index(spark, sf_dir)
         a, b = (prefix_lookup(index, t).select("segment_id").distinct() for t in ("license", "reserved"))
         return {"UNION": lambda: a.union(b).distinct(), "INTERSECT": lambda: a.intersect(b), "EXCEPT": lambda: a.subtract(b)}[op]()
 
     QUERIES[_name], ORACLE[_name] = _sets, f"{_A} {_op} {_B}"
 
 
-@query("SELECT source AS file, count(*) AS ranges, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1")
+@query(f"SELECT file, count(*) AS ranges, sum(n)::BIGINT AS covered, max(pos_to)::BIGINT AS last FROM ({_SPANS}) GROUP BY 1")
 def locations_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("file")).agg(F.sort_array(F.collect_list("doc_id")).alias("l"))
-    return grouped.select("file", F.size("l").cast("long").alias("ranges"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
+    grouped = ranges_by_file(_layouts(spark, sf_dir))
+    covered = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: a + iv.length(x))
+    return grouped.select("file", F.size("ranges").cast("long").alias("ranges"), covered.alias("covered"), F.element_at("ranges", -1)["pos_to"].alias("last"))
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS nth FROM events QUALIFY nth <= 50")
+@query("SELECT event_id AS query_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS nth FROM events")
 def history_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = _table(spark, sf_dir, "events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
-    return newest.select("event_id", F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("event_id"))).cast("long").alias("nth"))
+    """Events as submitted queries: all of them, with their place in the history."""
+    queries = _table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), F.col("ts").alias("built_at"))
+    return ranked(history(queries), [F.desc("built_at"), F.desc("query_id")]).select("query_id", "nth")
 
 
-@query("SELECT event_type, ceil(count(*) / 100.0)::BIGINT AS pages FROM events GROUP BY 1")
+@query("SELECT event_type AS query_id, ceil(count(*) / 100.0)::BIGINT AS pages FROM events GROUP BY 1")
 def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.ceil(F.count("*") / 100).alias("pages"))
+    return pages_of(_table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("query_id")).agg(F.count("*").alias("messages")), 100)
 
 
-@query("SELECT n_nationkey, ntile(4) OVER (ORDER BY n_nationkey) AS chunk FROM nation")
+@query("SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey) AS chunk FROM orders")
 def near_even_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "nation").select("n_nationkey", F.ntile(4).over(Window.orderBy("n_nationkey")).cast("long").alias("chunk"))
+    return near_even(_table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 7)
+
+
+@query(f"SELECT event_type AS file, event_id AS pos, ts AS date FROM events WHERE contains(lower({EVENT_BODY}), 'purchase') ORDER BY ts, event_type, event_id LIMIT 30 OFFSET 40")
+def results_page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(table_messages(spark, sf_dir, "events"), "purchase", sort=False)
+    return hits_page(found.select("file", F.col("pos_from").alias("pos"), "date"), 40, 30)
 
 
 @query("SELECT event_id, epoch_us(ts) AS us, make_timestamp(epoch_us(ts)) AS back FROM events")
@@ -399,7 +443,294 @@ def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", parsed.cast("timestamp_ntz").alias("parsed"))
 
 
+# Documents as logs: a file for each source, a message for each document, in order of their ids.
+
+START = r"^\[(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)\] "
+LAYOUT = "2006-01-02T15:04:05"
+_DATE = "TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 SECOND"
+_LINE = f"'[' || strftime({_DATE}, '%Y-%m-%dT%H:%M:%S') || '] ' || doc_id || ' ' || coalesce(text, '') || chr(10)"
+_BODY = "'[] ' || doc_id || ' ' || coalesce(text, '') || chr(10)"
+
+
+def _log_sql(where: str = "true") -> str:
+    """``(source, doc_id, line, body, date, pos_from, pos_to, is_tail)`` of the documents' messages."""
+    return f"""SELECT *, pos_to - strlen(line) AS pos_from FROM (
+  SELECT source, doc_id, {_LINE} AS line, {_BODY} AS body, {_DATE} AS date, (sum(strlen({_LINE})) OVER w)::BIGINT AS pos_to, lead(doc_id) OVER w IS NULL AS is_tail
+  FROM documents WHERE {where} WINDOW w AS (PARTITION BY source ORDER BY doc_id))"""
+
+
+def _write_logs(spark: SparkSession, docs: DataFrame, folder: str) -> None:
+    """Writes ``folder/SOURCE.log`` for every source; a file that is there is written anew."""
+    stamp = F.date_format(F.expr("timestampadd(SECOND, doc_id, TIMESTAMP_NTZ'2024-01-01')"), "yyyy-MM-dd'T'HH:mm:ss")
+    line = F.concat(F.lit("["), stamp, F.lit("] "), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("text", F.lit("")))
+    at = f"{folder}-{uuid.uuid4().hex}"
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", line.alias("value")).write.partitionBy("source").text(at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for made in fs.globStatus(path(f"{at}/source=*/part-*")):
+        to = path(f"{folder}/{made.getPath().getParent().getName().partition('=')[2]}.log")
+        fs.delete(to, False)
+        fs.rename(made.getPath(), to)
+    fs.delete(path(at), True)
+
+
+def _engine(spark: SparkSession, folder: str) -> Engine:
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/store")
+    fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(fs_path)
+    store = f"{folder}/store" if "://" in folder or ":" not in folder else f"file://{folder.partition(':')[2]}/store"
+    return Engine(spark, Config(f"{folder}/logs/*.log", store, START, LAYOUT, segment_length=20_000))
+
+
+def _new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark-logs-{uuid.uuid4().hex}"
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine that has indexed the documents' logs."""
+
+    def make() -> Engine:
+        folder = _new_folder(spark)
+        _write_logs(spark, _table(spark, sf_dir, "documents"), f"{folder}/logs")
+        engine = _engine(spark, folder)
+        engine.ingest()
+        return engine
+
+    return _once(spark, sf_dir, "logs", make)
+
+
+def _named(rows: DataFrame, body: str = "body") -> DataFrame:
+    """``rows`` with the source and id of the document that a message is of."""
+    source = F.regexp_extract("file", r"([^/]+)\.log$", 1)
+    return rows.withColumn("source", source).withColumn("doc_id", F.regexp_extract(body, r"^\[[^\]]*\] (-?\d+) ", 1).cast("long"))
+
+
+def _files(engine: Engine) -> list:
+    return sorted((r.file, r["size"]) for r in discover(engine.spark, engine.globs).collect())
+
+
+def _positions(messages: DataFrame) -> DataFrame:
+    return _named(messages).select("source", "doc_id", "pos_from", "pos_to", "is_tail", F.col("date").cast("timestamp_ntz").alias("date"), F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+_POSITIONS = f"SELECT source, doc_id, pos_from, pos_to, is_tail, date, md5(body) AS body FROM ({_log_sql()})"
+
+
+@query(_POSITIONS)
+def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _positions(scan_messages(spark, [f for f, _ in _files(_logs(spark, sf_dir))], START, LAYOUT))
+
+
+@query(_POSITIONS)
+def log_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by byte ranges, in splits that cut messages."""
+    return _positions(read_ranges(spark, splits_of([(f, 0, n) for f, n in _files(_logs(spark, sf_dir))], 0, 100_000), START, LAYOUT))
+
+
+@query(f"SELECT source, sum(strlen(line))::BIGINT AS size, count(*) AS messages FROM ({_log_sql()}) GROUP BY 1")
+def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _logs(spark, sf_dir)
+    counted = read_ranges(spark, splits_of([(f, 0, n) for f, n in _files(engine)]), START).groupBy("file").agg(F.count("*").alias("messages"))
+    listed = discover(spark, engine.globs).select(F.regexp_replace("file", "^file:/+", "file:/").alias("file"), "size")
+    counted = counted.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
+    return listed.join(counted, "file").select(F.regexp_extract("file", r"([^/]+)\.log$", 1).alias("source"), "size", "messages")
+
+
+@query(f"SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next_id, is_tail FROM ({_log_sql()})")
+def message_end_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message ends where the next one of its file begins; the last one at the file's end."""
+    own = _named(_logs(spark, sf_dir).store.read("messages"))
+    nxt = own.select("file", F.col("pos_from").alias("pos_to"), F.col("doc_id").alias("next_id"))
+    return own.join(nxt, ["file", "pos_to"], "left").select("doc_id", "next_id", "is_tail")
+
+
+@query(_POSITIONS)
+def ingest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _positions(_logs(spark, sf_dir).store.read("messages"))
+
+
+@query(f"SELECT source, min(pos_from) AS pos_from, max(pos_to) AS pos_to, sum(strlen(line))::BIGINT AS covered, count(*) AS messages, min(date) AS date_min, max(date) AS date_max FROM ({_log_sql()}) GROUP BY 1")
+def ingest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of a file cover it without gaps, whatever their number."""
+    s = _logs(spark, sf_dir).store.read("segments").withColumn("source", F.regexp_extract("file", r"([^/]+)\.log$", 1))
+    dates = [F.min("date_min").cast("timestamp_ntz").alias("date_min"), F.max("date_max").cast("timestamp_ntz").alias("date_max")]
+    return s.groupBy("source").agg(F.min("pos_from").alias("pos_from"), F.max("pos_to").alias("pos_to"), F.sum(F.col("pos_to") - F.col("pos_from")).alias("covered"), F.sum("messages").alias("messages"), *dates)
+
+
+_LOG_TERMS = f"SELECT DISTINCT unnest({_sql_terms('body')}) AS term, source FROM ({_log_sql()})"
+
+
+def _terms_by_source(engine: Engine) -> DataFrame:
+    named = engine.store.read("segments").select("segment_id", F.regexp_extract("file", r"([^/]+)\.log$", 1).alias("source"))
+    return engine.store.read("postings").join(named, "segment_id").select("term", "source").distinct()
+
+
+@query(_LOG_TERMS)
+def ingest_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _terms_by_source(_logs(spark, sf_dir))
+
+
+_HALF = "(doc_id < 300 OR doc_id % 5 = 0)"
+
+
+def _reconciled(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine that has seen its logs grow, one of them vanish, one appear and one be written anew; merged afterwards."""
+
+    def make() -> Engine:
+        folder, docs = _new_folder(spark), _table(spark, sf_dir, "documents")
+        _write_logs(spark, docs.where("source <> 'src3' AND doc_id < 300"), f"{folder}/logs")
+        engine = _engine(spark, folder)
+        engine.ingest()
+        store = engine.store
+        store.delete(f"{folder}/logs/src2.log")
+        _write_logs(spark, docs.where(f"source <> 'src2' AND (doc_id < 300 OR {_HALF} OR source <> 'src1') AND (source <> 'src4' OR doc_id % 2 = 0)"), f"{folder}/logs")
+        store.write_text(f"{folder}/logs/nothing.log", "a line without a start\n")
+        engine.ingest()
+        engine.compact()
+        return engine
+
+    return _once(spark, sf_dir, "reconciled", make)
+
+
+_NOW = f"source <> 'src2' AND (doc_id < 300 OR {_HALF} OR source <> 'src1') AND (source <> 'src4' OR doc_id % 2 = 0)"
+
+
+@query(f"SELECT source, doc_id, pos_from, pos_to, is_tail, date, md5(body) AS body FROM ({_log_sql(_NOW)})")
+def ingest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _positions(_reconciled(spark, sf_dir).store.read("messages"))
+
+
+@query(f"SELECT DISTINCT unnest({_sql_terms('body')}) AS term, source FROM ({_log_sql(_NOW)})")
+def compacted_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _terms_by_source(_reconciled(spark, sf_dir))
+
+
+@query(f"SELECT 'nothing' AS source, '{NO_START}' AS reason")
+def rejected_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconciled(spark, sf_dir).store.read("rejects").select(F.regexp_extract("file", r"([^/]+)\.log$", 1).alias("source"), "reason")
+
+
+@query(f"SELECT source, doc_id, pos_from, date FROM ({_log_sql()}) WHERE contains(lower(body), 'license') AND NOT contains(lower(body), 'reserved')")
+def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _logs(spark, sf_dir).search("license !reserved")
+    return _named(found).select("source", "doc_id", "pos_from", F.col("date").cast("timestamp_ntz").alias("date"))
+
+
+@query(f"SELECT source, doc_id, pos_from FROM ({_log_sql()}) WHERE contains(lower(body), 'icens') AND regexp_matches(body, '(?i)[a-z]+s\\b') AND date BETWEEN TIMESTAMP '2024-01-01 00:01:00' AND TIMESTAMP '2024-01-01 00:15:00'")
+def log_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _logs(spark, sf_dir).search(r"icens ~[a-z]+s\b", "2024-01-01T00:01:00Z", "2024-01-01T00:15:00Z", pruning="exact")
+    return _named(found).select("source", "doc_id", "pos_from")
+
+
+@query(f"SELECT doc_id, md5(line) AS text FROM ({_log_sql()}) WHERE contains(lower(body), 'reserved')")
+def log_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits as they are in the file, dates included."""
+    engine = _logs(spark, sf_dir)
+    return _named(engine.bodies(engine.search("reserved")), "text").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+def _submitted(spark: SparkSession, sf_dir: str) -> tuple[Engine, list[int]]:
+    engine = _logs(spark, sf_dir)
+    return engine, _once(spark, sf_dir, "submitted", lambda: [engine.submit(q) for q in ("license", "reserved", "nosuchterm")])
+
+
+@query(f"SELECT 'license' AS query, source, pos_from AS pos, pos_to - pos_from AS len, date FROM ({_log_sql()}) WHERE contains(lower(body), 'license')")
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query's metadata with all its hits."""
+    engine, ids = _submitted(spark, sf_dir)
+    hits = engine.results.page(ids[0], 0, 2**31 - 1).withColumn("query_id", F.lit(ids[0]))
+    rows = engine.results.list(ids[:1]).select("query_id", F.col("text").alias("query")).join(hits, "query_id")
+    return rows.select("query", F.regexp_extract("file", r"([^/]+)\.log$", 1).alias("source"), "pos", "len", F.col("date").cast("timestamp_ntz").alias("date"))
+
+
+@query(f"SELECT q AS query, true AS finished, (SELECT count(*) FROM documents WHERE contains(lower(coalesce(text, '')), q)) AS messages FROM (VALUES ('license'), ('reserved'), ('nosuchterm')) t(q)")
+def stored_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, ids = _submitted(spark, sf_dir)
+    return engine.results.list(ids).select(F.col("text").alias("query"), "finished", "messages")
+
+
+@query(f"SELECT 'rights' AS query, count(*) AS hits FROM documents WHERE {_lit('rights')}")
+def wiped_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _logs(spark, sf_dir)
+    gone, left = engine.submit("license"), engine.submit("rights")
+    engine.results.wipe(gone)
+    listed = engine.results.list([gone, left]).select(F.col("text").alias("query"))
+    return listed.withColumn("hits", F.lit(engine.results.page(left, 0, 2**31 - 1).count() + engine.results.page(gone).count()))
+
+
+@query(f"SELECT source, pos_from AS pos FROM ({_log_sql()}) WHERE contains(lower(body), 'reserved') ORDER BY date, source, pos_from LIMIT 5 OFFSET 1")
+def http_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON interface: a query is started, waited for, and a page of its hits asked for."""
+    import json
+    import threading
+    import urllib.request
+
+    from .http_api import server
+
+    engine = _logs(spark, sf_dir)
+    http = server(engine)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{http.server_port}/api/query"
+        with urllib.request.urlopen(urllib.request.Request(url, json.dumps({"query": "reserved"}).encode())) as said:
+            query_id = json.load(said)["query"]["query_id"]
+        engine.results.wait(query_id)
+        with urllib.request.urlopen(f"{url}/{query_id}?skip=1&limit=5") as said:
+            shown = json.load(said)["messages"]
+    finally:
+        http.shutdown()
+    rows = spark.createDataFrame([(m["file"], m["pos"]) for m in shown], "file string, pos long")
+    return rows.select(F.regexp_extract("file", r"([^/]+)\.log$", 1).alias("source"), "pos")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream of the events ends in."""
+    events = table_messages(spark, sf_dir, "events").withColumn("date", F.col("date").cast("timestamp"))
+    folder = f"{shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}"
+    events.write.parquet(f"{folder}/in")
+    out = make(spark.readStream.schema(events.schema).parquet(f"{folder}/in"))
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query(_EVENTS + f"contains(lower({EVENT_BODY}), 'signup') AND regexp_matches({EVENT_BODY}, 'user_[0-9]+7 ')")
+def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _streamed(spark, sf_dir, lambda messages: standing_query(messages, "signup ~'user_[0-9]+7 '"))
+    return hits.select("file", "pos_from", F.col("date").cast("timestamp_ntz").alias("date"))
+
+
+@query(f"""SELECT date_trunc('hour', ts) AS window_start, count(*) AS messages FROM events WHERE contains(lower({EVENT_BODY}), 'error') GROUP BY 1
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE contains(lower({EVENT_BODY}), 'error')) - INTERVAL 10 MINUTE""")
+def stream_hits_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed."""
+    found = _streamed(spark, sf_dir, lambda messages: hits_by_time(messages, "error"))
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "messages")
+
+
+#: Queries, their trees, and whether the index cannot rule out any segment for them.
+TREES = [
+    ("A", "AND(A)", True), ("192.168.0.2", "AND(192.168.0.2)", True), ("error failure", "AND(error,failure)", False), ("error And failure", "AND(error,failure)", False), ("!A", "NOT(A)", True),
+    ("!A !B", "AND(NOT(A),NOT(B))", True), ("(A) (B C)", "AND(A,B,C)", True), ("A Or B OR C", "OR(A,B,C)", True), ("A OR (B AND C)", "OR(A,AND(B,C))", True), ("error B OR C", "AND(error,OR(B,C))", False),
+    ("~(a) qwert", "AND(~(a),qwert)", False), ("@a", "AND(@a)", True), ("a OR !~a", "OR(a,NOT(~a))", True), ("error OR failure", "OR(error,failure)", False), ("error OR ~err", "OR(error,~err)", True),
+]
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_text(q)}, {_text(t)}, {f})" for q, t, f in TREES) + ") t(query, tree, full_scan)")
+def query_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(q, str(parse(q)), full_scan(parse(q), query_terms)) for q, _, _ in TREES]
+    return spark.createDataFrame(rows, "query string, tree string, full_scan boolean")
+
+
+@query("SELECT * FROM (VALUES ('a b', 'b AND a', true), ('a OR b', 'b or a', true), ('a b', 'a OR b', false), ('a', '~a', false), ('~a', '@a', false), ('a (b OR c)', '(c OR b) a', true), ('!a', 'a', false)) t(x, y, same)")
+def query_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = [("a b", "b AND a"), ("a OR b", "b or a"), ("a b", "a OR b"), ("a", "~a"), ("~a", "@a"), ("a (b OR c)", "(c OR b) a"), ("!a", "a")]
+    return spark.createDataFrame([(x, y, digest(parse(x)) == digest(parse(y))) for x, y in pairs], "x string, y string, same boolean")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A boolean search over documents, pruned by the index."""
-    messages = _documents(spark, sf_dir)
-    return search(messages, "license OR reserved", index=postings(messages)).select("file", "pos_from", "segment_id")
+    return search(_documents(spark, sf_dir), "license OR reserved", index=_index(spark, sf_dir)).select("file", "pos_from", "segment_id")
