@@ -1,31 +1,10 @@
-"""What Python operators need of a session: bounded Arrow batches and this package on the workers."""
+"""Helpers of the operators: tables, free column names, samples."""
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows and bytes of one Arrow batch: some very long texts must not fill a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
-_shipped: set[str] = set()
-
-
-def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches and sends the package's source to the executors, once an application.
-
-    Called before a Python column is made: it takes along the sources that are known at that time.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        zipped = shutil.make_archive(f"{tempfile.mkdtemp()}/{os.path.basename(package)}", "zip", os.path.dirname(package), os.path.basename(package))
-        spark.sparkContext.addPyFile(zipped)
-        _shipped.add(app)
+from ..workers import prepare as prepare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

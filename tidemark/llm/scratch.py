@@ -7,30 +7,11 @@ A step that is read more than once (or that ends a round of an iteration) is wri
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where that is unset, a temporary folder if all tasks run in the driver's process (tests); a cluster's executors would
-    not see each other's files there, so that is an error.
-    """
-    global _own
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="tidemark-")
-    return _own
+from ..workers import shared_dir
 
 
 class Scratch:
@@ -42,7 +23,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
         self._n = 0
         self._paths: list[tuple[DataFrame, str]] = []  # frames are held, so that none is taken for another
         atexit.register(self._delete, self.root)
