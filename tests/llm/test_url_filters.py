@@ -62,11 +62,16 @@ def test_links_of_pages(spark, link, want):
 def test_query_equals_its_sql(spark, tmp_path):
     data = [(i, url, "") for i, url in enumerate(URLS)]
     data += [(100, "http://c1.example/a", "<link rel=canonical href='http://a.net/z'>"), (101, "http://c2.example/a", "<link rel='canonical' href='http://c1.example/a'>"), (101, "http://c2.example/a", None), (None, "http://c3.example/", '<meta http-equiv="refresh" content="3;url=/k">'), (102, "http://c3.example/k", "<link href=http://example.net/en/5 rel=canonical>")]
+    data += [(103, "http://d1.example", "<link rel=canonical href='/1'><link rel='canonical' href='../../x/./y/..'><meta http-equiv=refresh content='0;url=?q=4'>")]
+    data += [(104, "http://d1.example/x/", ""), (105, "http://d1.example/1", "<link rel=canonical href='http:&#47;&#x2f;A.net&sol;'>"), (106, "http://d1.example/?q=4", None), (107, "HTTP://D1.example/", None)]
+    data += [(108, "http://d2.example/a", "<link rel=canonical href='mailto:x@a.net'><link rel=canonical href='#f'><link rel=canonical href='//A.NET/b/../c'>"), (109, "http://d2.example?z", "<link rel=canonical href='/r?u=http://a.net/'>")]
     spark.createDataFrame(data, "page_id int, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(map(repr, (tuple(r) for r in u.op6_url_filters(spark, str(tmp_path)).collect())))
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == sorted(map(repr, con.sql(u.ORACLE_SQL).fetchall()))
+    verdicts = {r.page_id: r.verdict for r in u.op6_url_filters(spark, str(tmp_path)).collect()}
+    assert all(verdicts[k] == "block" for k in (103, 104, 105, 106, 107, 108)) and verdicts[109] == "allow"
 
 
 @pytest.mark.parametrize(

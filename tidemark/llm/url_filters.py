@@ -23,6 +23,8 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+#: Character references that occur in links, and what they stand for; the ampersand last.
+REFERENCES = [("&#47;", "/"), ("&#x2F;", "/"), ("&#x2f;", "/"), ("&sol;", "/"), ("&#58;", ":"), ("&#x3A;", ":"), ("&#x3a;", ":"), ("&colon;", ":"), ("&#61;", "="), ("&equals;", "="), ("&#63;", "?"), ("&quest;", "?"), ("&#38;", "&"), ("&#x26;", "&"), ("&AMP;", "&"), ("&amp;", "&")]
 TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -40,10 +42,11 @@ def path_of(url: Column) -> Column:
 
 
 def key_of(url: Column) -> Column:
-    """What two spellings of one URL share: no fragment, scheme and host in lower case."""
+    """What two spellings of one URL share: no fragment, scheme and host in lower case, a slash for an empty path."""
     bare = F.regexp_extract(url, r"^[^#]*", 0)
     head = F.regexp_extract(bare, r"^[^/?#]*://[^/?#]*", 0)
-    return F.concat(F.translate(head, UPPER, LOWER), F.substr(bare, F.length(head) + 1))
+    tail = F.substr(bare, F.length(head) + 1)
+    return F.concat(F.translate(head, UPPER, LOWER), F.when((head != "") & ~tail.startswith("/"), "/").otherwise(""), tail)
 
 
 def _without_dots(path: Column) -> Column:
@@ -60,7 +63,8 @@ def _without_dots(path: Column) -> Column:
 
 def _absolute(base: Column, link: Column) -> Column:
     """A link of the page ``base`` by RFC 3986; null if its scheme has no host (``mailto:``): it leads to no page."""
-    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
+    for reference, character in REFERENCES:
+        link = F.replace(link, F.lit(reference), F.lit(character))
     site = F.regexp_extract(base, r"^[^/?#]*://[^/?#]*", 0)
     folder = F.regexp_extract(base, r"^[^/?#]*://[^/?#]*(/(?:[^?#]*/)?)?", 0)
     target = (
@@ -135,7 +139,11 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
 _HOST = "CASE WHEN contains({u}, '://') THEN translate(regexp_extract(substr({u}, strpos({u}, '://') + 3), '^[^/?#]*'), '" + UPPER + "', '" + LOWER + "') ELSE '' END"
 _PATH = "CASE WHEN contains({u}, '://') THEN regexp_extract(substr({u}, strpos({u}, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
-_KEY = "translate(regexp_extract({u}, '^[^/?#]*://[^/?#]*'), '" + UPPER + "', '" + LOWER + "') || substr(regexp_extract({u}, '^[^#]*'), length(regexp_extract({u}, '^[^/?#]*://[^/?#]*')) + 1)"
+_TAIL = "substr(regexp_extract({u}, '^[^#]*'), length(regexp_extract({u}, '^[^/?#]*://[^/?#]*')) + 1)"
+_KEY = "translate(regexp_extract({u}, '^[^/?#]*://[^/?#]*'), '" + UPPER + "', '" + LOWER + "') || CASE WHEN regexp_matches({u}, '^[^/?#]*://') AND NOT starts_with(" + _TAIL + ", '/') THEN '/' ELSE '' END || " + _TAIL
+_LINK = "link"
+for _reference, _character in REFERENCES:
+    _LINK = f"replace({_LINK}, '{_reference}', '{_character}')"
 
 
 def _q(pattern: str) -> str:
@@ -145,17 +153,24 @@ def _q(pattern: str) -> str:
 ORACLE_SQL = f"""
 WITH RECURSIVE rules(rule_host, rule_path, action) AS (VALUES {_VALUES}),
 links AS (
-  SELECT url AS src, unnest([regexp_extract(regexp_extract(html, {_q(CANONICAL)}), {_q(HREF)}, 1),
-                             regexp_extract(regexp_extract(html, {_q(REFRESH)}), {_q(TARGET)}, 1)]) AS link
-  FROM pages WHERE url IS NOT NULL),
+  SELECT url AS src, unnest(list_concat(list_transform(regexp_extract_all(html, {_q(CANONICAL)}), lambda t: regexp_extract(t, {_q(HREF)}, 1)),
+                                        list_transform(regexp_extract_all(html, {_q(REFRESH)}), lambda t: regexp_extract(t, {_q(TARGET)}, 1)))) AS link
+  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
 absolute AS (
-  SELECT src, replace(link, '&amp;', '&') AS l, regexp_extract(src, '^[^/?#]*://[^/?#]*') AS site,
-         regexp_extract(src, '^[^/?#]*://[^/?#]*(/([^?#]*/)?)?') AS folder
+  SELECT src, {_LINK} AS l, regexp_extract(src, '^[^/?#]*://[^/?#]*') AS site, regexp_extract(src, '^[^/?#]*://[^/?#]*(/([^?#]*/)?)?') AS folder
   FROM links WHERE link <> ''),
+targets AS (
+  SELECT src, l, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(l, '//') THEN regexp_extract(src, '^[^/?#]*:') || l
+    WHEN starts_with(l, '/') THEN site || l WHEN folder = site THEN site || '/' || l ELSE folder || l END AS t FROM absolute),
+split AS (SELECT src, l, t, regexp_extract(t, '^([^/?#]*//[^/?#]*)?(/[^?#]*)?', 1) AS head, regexp_extract(t, '^([^/?#]*//[^/?#]*)?(/[^?#]*)?', 2) AS path FROM targets),
 pairs AS (
-  SELECT src, CASE WHEN contains(l, '://') THEN l WHEN starts_with(l, '//') THEN regexp_extract(src, '^[^/?#]*:') || l
-    WHEN starts_with(l, '/') THEN site || l WHEN folder = site THEN site || '/' || l ELSE folder || l END AS dst FROM absolute),
-edges AS (SELECT {_KEY.format(u="src")} AS a, {_KEY.format(u="dst")} AS b FROM pairs),
+  SELECT src, CASE WHEN starts_with(l, '?') THEN regexp_extract(src, '^[^?#]*') || l WHEN starts_with(l, '#') THEN regexp_extract(src, '^[^#]*') || l
+    WHEN regexp_matches(path, '/[.][.]?(/|$)') THEN head || list_reduce(list_prepend('', string_split(substr(path, 2), '/')),
+        lambda kept, part: CASE part WHEN '.' THEN kept WHEN '..' THEN regexp_replace(kept, '/[^/]*$', '') ELSE kept || '/' || part END)
+      || CASE WHEN regexp_matches(path, '/[.][.]?$') THEN '/' ELSE '' END || substr(t, length(head) + length(path) + 1)
+    ELSE t END AS dst FROM split),
+edges AS (SELECT {_KEY.format(u="src")} AS a, {_KEY.format(u="dst")} AS b FROM pairs WHERE dst IS NOT NULL),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
 components AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
