@@ -85,3 +85,32 @@ def test_columns_of_the_same_name_stay(spark):
     docs = documents(spark, [(1, "AKIA" + "A" * 16)], extra=True)
     row = s.scan_secrets(docs).first()
     assert row.secrets == 1 and row.secrets_[0].kind == "access"
+
+
+#: Published test vectors.
+XPRV = "xprv9s21ZrQH143K3QTDL4LXw2F7HEK3wJUD2nW2nRk4stbPy6cq3jPPqjiChkVvvNKmPGJxWUtg6LnF5kejMRNNU3TGtRBeJgk33yuGBxrMPHi"
+BECH = [("a", "2uel5l"), ("abcdef", "qpzry9x8gf2tvdw0s3jn54khce6mua7lmqqqxw"), ("split", "checkupstagehandshakeupstreamerranterredcaperred2y9e3w")]
+
+
+def test_checksums_of_keys():
+    assert all(s.bech32_holds(p, d) for p, d in BECH) and not any(s.bech32_holds(p, d[:-1] + "q") for p, d in BECH)
+    assert s.base58_holds(XPRV, 82) and not s.base58_holds(XPRV[:-1] + "j", 82) and not s.base58_holds("z" * 111, 82)
+    assert s.find_secrets(f"a {XPRV}. b") == [(2, 113, "wallet")] and s.find_secrets(f"a {XPRV[:-1]}j") == [] and s.find_secrets(XPRV + "x") == []
+    body = "QPZRY9X8GF2TVDW0S3JN54KHCE6MUA7LQPZRY9X8GF2TVDW0S3JN"
+    found = [c for c in checksums("age-secret-key-", body.lower())]
+    key = f"AGE-SECRET-KEY-1{body}{found[0].upper()}"
+    assert len(key) == 74 and s.find_secrets(f"key: {key}\n") == [(5, 79, "age")] and s.find_secrets(key[:-1] + ("Q" if key[-1] != "Q" else "P")) == []
+    assert s.redact(f"x {key} y {XPRV} z") == "x [SECRET] y [SECRET] z"
+
+
+def checksums(prefix, data):
+    """The six digits, by the definition: the remainder over all positions is 1."""
+    values = [*(ord(c) >> 5 for c in prefix), 0, *(ord(c) & 31 for c in prefix), *map(s.BECH32.index, data)]
+    check = 1
+    for v in values + [0] * 6:
+        top = check >> 25
+        check = (check & 0x1FFFFFF) << 5 ^ v
+        for i in range(5):
+            check ^= s.GENERATOR[i] if (top >> i) & 1 else 0
+    check ^= 1
+    yield "".join(s.BECH32[(check >> 5 * (5 - i)) & 31] for i in range(6))

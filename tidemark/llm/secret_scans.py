@@ -32,16 +32,24 @@ GITHUB = re.compile(r"gh[opsur]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 #: Up to the END line of the same label, header lines included, and never across another BEGIN line.
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY( BLOCK)?-----(?:(?!-----BEGIN ).){16,}?-----END \1PRIVATE KEY(?(2) BLOCK)-----", re.S)
-#: Digits of base 62 as these tokens use them.
+#: Keys of file encryption (bech32) and extended private keys of wallets (base 58 with a digest).
+AGE = re.compile(r"AGE-SECRET-KEY-1([QPZRY9X8GF2TVDW0S3JN54KHCE6MUA7L]{58})(?![A-Z0-9])")
+WALLET = re.compile(r"([xyzt]prv[1-9A-HJ-NP-Za-km-z]{107})(?![A-Za-z0-9])")
+#: Digits of base 62 as these tokens use them, of base 58 and of bech32, and bech32's generator.
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+GENERATOR = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
     "access": ("akia",),
     "github": ("gho_", "ghp_", "ghs_", "ghu_", "ghr_"),
     "npm": ("npm_",),
     "pem": ("-----begin ",),
+    "age": ("age-secret-key-1",),
+    "wallet": ("xprv", "yprv", "zprv", "tprv"),
 }
-KINDS = (*BASE, "github", "npm", "pem")
+KINDS = (*BASE, "github", "npm", "pem", "age", "wallet")
 
 
 def base62_crc32(body: str) -> str:
@@ -57,12 +65,35 @@ def _checksum(m: re.Match) -> bool:
     return base62_crc32(m[1]) == m[2]
 
 
+def bech32_holds(prefix: str, data: str) -> bool:
+    """Whether the last six digits are the checksum of those before and of the prefix, all in lower case."""
+    check = 1
+    for v in [*(ord(c) >> 5 for c in prefix), 0, *(ord(c) & 31 for c in prefix), *map(BECH32.index, data)]:
+        top, check = check >> 25, (check & 0x1FFFFFF) << 5 ^ v
+        for i, g in enumerate(GENERATOR):
+            check ^= g if top >> i & 1 else 0
+    return check == 1
+
+
+def base58_holds(text: str, size: int) -> bool:
+    """Whether the text is of ``size`` bytes whose last four begin the double SHA-256 of the others."""
+    n = 0
+    for c in text:
+        n = n * 58 + BASE58.index(c)
+    if n >> 8 * size:
+        return False
+    raw = n.to_bytes(size, "big")
+    return hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:]
+
+
 ANCHORED = {
     "assign": (ASSIGN, lambda m: len(m[2]) >= MIN_ASSIGN),
     "access": (ACCESS, lambda m: len(m[0]) >= MIN_ACCESS),
     "github": (GITHUB, _checksum),
     "npm": (NPM, _checksum),
     "pem": (PEM, lambda m: True),
+    "age": (AGE, lambda m: bech32_holds("age-secret-key-", m[1].lower())),
+    "wallet": (WALLET, lambda m: base58_holds(m[1], 82)),
 }
 
 
