@@ -65,3 +65,42 @@ def test_sample_is_bounded(spark):
     rows = labelled(100)
     labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
     assert q.learn(documents(spark, rows), labels, max_labelled=10).depth  # ten rows are enough to fit
+
+
+def plain_boosting(x, y, trees, depth, bins, rate, least, shrink):
+    """The same fit without histograms: every cut of every feature is tried on the rows themselves, node by node."""
+    n, width = x.shape
+    cuts = [sorted(set(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower"))) for c in x.T]
+    start = np.log(y.mean() / (1 - y.mean()))
+    logit = np.full(n, start)
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-logit))
+        g, h = p - y, p * (1 - p)
+
+        def grow(rows, level):
+            best = (1e-6, None)
+            for f in range(width) if level < depth else ():
+                for cut in cuts[f]:
+                    left = rows[x[rows, f] <= cut]
+                    right = rows[x[rows, f] > cut]
+                    if h[left].sum() < least or h[right].sum() < least:
+                        continue
+                    gain = g[left].sum() ** 2 / (h[left].sum() + shrink) + g[right].sum() ** 2 / (h[right].sum() + shrink) - g[rows].sum() ** 2 / (h[rows].sum() + shrink)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (left, right))
+            if best[1] is None:
+                logit[rows] += -rate * g[rows].sum() / (h[rows].sum() + shrink)
+            else:
+                grow(best[1][0], level + 1)
+                grow(best[1][1], level + 1)
+
+        grow(np.arange(n), 0)
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_a_whole_fit_equals_a_plain_one():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4)).round(2)
+    y = (x[:, 0] * x[:, 1] + 0.5 * x[:, 2] + rng.normal(size=300) * 0.4 > 0).astype(float)
+    kind = dict(trees=6, depth=3, bins=16, rate=0.3, least=2.0, shrink=1.0)
+    assert np.allclose(q.fit(x, y, **kind).score(x), plain_boosting(x, y, **kind), atol=1e-9)

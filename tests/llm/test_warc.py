@@ -191,3 +191,48 @@ def test_encodings_are_undone_and_headers_kept(fields, pack):
     lines = meta.decode().split("\r\n")
     assert [x for x in lines if x.startswith("source-header-")] == [f"source-header-{k}: {v}" for k, v in source[2:]]
     assert "title: t" in lines
+
+
+def test_metadata_equals_a_plain_reading(spark):
+    """Every record of the test table's pages against one put together from the page by another parser."""
+    import base64
+    import hashlib
+
+    class Links(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.links, self.depth, self.title, self.inside = [], 0, None, False
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag in Reader.SKIP
+            self.inside = tag == "title" and self.title is None
+            if tag == "a" and not self.depth and (href := dict(attrs).get("href")) is not None:
+                self.links.append(href.strip())
+
+        def handle_endtag(self, tag):
+            self.depth -= tag in Reader.SKIP
+            self.inside = False
+
+        def handle_data(self, data):
+            if self.inside:
+                self.title = (self.title or "") + data
+
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    rows = warc.op5_warc_derivatives(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 2 * len(pages)
+    by = {(r.page_id, r.record_type): r for r in rows}
+    for i, page in pages.items():
+        text, meta = by[i, "conversion"], by[i, "metadata"]
+        payload = (page.html or "").encode()
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+        reader = Links()
+        reader.feed(page.html or "")
+        want = [f"source-record-id: {text.refers_to}", f"source-block-digest: {sha(http)}", f"source-payload-digest: {sha(payload)}", f"conversion-record-id: {text.record_id}", "http-status: HTTP/1.1 200 OK"]
+        want += ["http-header-Content-Type: text/html; charset=utf-8", f"http-header-Content-Length: {len(payload)}"]
+        want += [f"title: {' '.join(reader.title.split())}"] if reader.title is not None else []
+        want += [f"outlink: {' '.join(x.split())}" for x in reader.links]
+        assert meta.block.split("\r\n") == [*want, ""], i
+        assert text.block == plainly(page.html or "")
+        assert {(r.refers_to, r.target_uri, r.source_payload_digest) for r in (text, meta)} == {(text.refers_to, page.url, sha(payload))}
+        assert all(r.block_digest == sha(r.block.encode()) for r in (text, meta))
