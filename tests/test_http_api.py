@@ -46,3 +46,6 @@ def test_routes(at):
     for bad in ({"query": ""}, {"query": "a OR"}, {"query": "a", "fromDate": "x"}, {"query": "~("}, {}, []):
         assert call(f"{url}/api/query", bad)[0] == 400
     assert call(f"{url}/nope")[0] == 404
+    for path in ("/", "/query/1"):
+        with urllib.request.urlopen(url + path) as r:
+            assert r.headers["Content-Type"].startswith("text/html") and b"/api/query" in r.read()

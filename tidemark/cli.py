@@ -17,6 +17,7 @@ from .http_api import server
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidemark")
     parser.add_argument("--config", default="tidemark.yml")
+    parser.add_argument("--profile", metavar="FOLDER", help="write Spark's event log there, for its history server")
     for f in fields(Config):
         parser.add_argument("--" + f.name.replace("_", "-"), type=int if f.type == "int" else str, default=None)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -40,7 +41,10 @@ def main(args: list[str] | None = None) -> int:
     if said.command == "gen":
         print(config.to_yaml(), end="")
         return 0
-    spark = SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    builder = SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC")
+    if said.profile:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", said.profile)
+    spark = builder.getOrCreate()
     try:
         engine = Engine(spark, config)
         if said.command == "test":

@@ -1,4 +1,4 @@
-"""A small JSON interface: start a query, list queries, page through one's hits."""
+"""A small JSON interface: start a query, list queries, page through one's hits; and a page that uses it."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from urllib.parse import parse_qs, urlsplit
 from pyspark.sql import Row
 
 from .engine import Engine
+from .page import PAGE
 
 DEFAULT_LIMIT = 100
 
@@ -37,13 +38,13 @@ def start_query(engine: Engine, body: dict) -> dict:
 
 
 def server(engine: Engine, port: int = 0, host: str = "127.0.0.1") -> ThreadingHTTPServer:
-    """``serve_forever()`` answers ``GET /api/query``, ``GET /api/query/ID?skip=&limit=`` and ``POST /api/query``."""
+    """``serve_forever()`` answers ``GET /api/query``, ``GET /api/query/ID?skip=&limit=``, ``POST /api/query``, and ``GET /`` and ``GET /query/ID`` with a page."""
 
     class Handler(BaseHTTPRequestHandler):
         def answer(self, status: int, value: object) -> None:
-            data = json.dumps(value).encode()
+            data = value.encode() if isinstance(value, str) else json.dumps(value).encode()
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", "text/html; charset=utf-8" if isinstance(value, str) else "application/json")
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)
@@ -63,6 +64,8 @@ def server(engine: Engine, port: int = 0, host: str = "127.0.0.1") -> ThreadingH
                 self.tried(lambda: list_queries(engine))
             elif m := re.fullmatch(r"/api/query/(\d+)", url.path):
                 self.tried(lambda: show_query(engine, int(m[1]), int(asked.get("skip", 0)), int(asked.get("limit", DEFAULT_LIMIT))))
+            elif url.path == "/" or re.fullmatch(r"/query/\d+", url.path):
+                self.answer(200, PAGE)
             else:
                 self.answer(404, {"error": "not found"})
 
