@@ -26,7 +26,7 @@ from .sources.discover import discover
 from .sources.ranges import read_ranges, splits_of
 from .sources.scan import scan_messages
 from .streaming.tail import hits_by_time, standing_query
-from .workers import shared_dir
+from .workers import shared_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,12 +162,12 @@ _POSTINGS = f"SELECT DISTINCT unnest({_sql_terms()}) AS term, doc_id // {PER_SEG
 
 @query(f"SELECT doc_id, array_to_string({_sql_terms()}, ' ') AS terms FROM documents")
 def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(terms(F.col("text")), " ").alias("terms"))
+    return spread(_table(spark, sf_dir, "documents")).select("doc_id", F.array_join(terms(F.col("text")), " ").alias("terms"))
 
 
 @query(f"SELECT doc_id, len(list_distinct({_sql_terms()}))::BIGINT AS n FROM documents")
 def distinct_terms_per_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(distinct_terms(F.col("text"))).cast("long").alias("n"))
+    return spread(_table(spark, sf_dir, "documents")).select("doc_id", F.size(distinct_terms(F.col("text"))).cast("long").alias("n"))
 
 
 @query(f"SELECT segment_id, count(*) AS n FROM ({_POSTINGS}) GROUP BY 1")

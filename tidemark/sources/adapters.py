@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..workers import spread
+
 
 def as_messages(df: DataFrame, file: str, pos: str, body: str, date: str | None = None) -> DataFrame:
     when = F.expr(date) if date else F.lit(None).cast("timestamp")
@@ -18,4 +20,5 @@ def table_messages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         "pages": ("url", "page_id", "html", None),
         "events": ("event_type", "event_id", "concat(event_type, ' user_', user_id, ' ', props)", "ts"),
     }
-    return as_messages(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *shape[name])
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return as_messages(rows if name == "events" else spread(rows), *shape[name])

@@ -7,10 +7,12 @@ import re
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch: some very long texts must not fill a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+#: Bytes that one row group, which one task reads, may well have.
+ROW_GROUP = 128 << 20
 _shipped: set[str] = set()
 _own: str | None = None
 
@@ -47,3 +49,20 @@ def shared_dir(spark: SparkSession) -> str:
     if _own is None:
         _own = tempfile.mkdtemp(prefix="tidemark-")
     return _own
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from files, with work for every core if it is small.
+
+    A file is often a single row group, which a single task reads. Where there are fewer files than cores and so few
+    bytes that this may be the case, rows are dealt out before the work; a large table is left as it is.
+    """
+    context, files = df.sparkSession.sparkContext, df.inputFiles()
+    cores, jvm = context.defaultParallelism, context._jvm
+    if len(files) >= cores:
+        return df
+    size = 0
+    for file in files:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        size += path.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return df.repartition(cores) if size < cores * ROW_GROUP else df
