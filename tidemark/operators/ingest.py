@@ -70,7 +70,7 @@ def ingest(
     The driver holds the listing of files and a few numbers of each that changed, as Spark's own readers do.
     """
     manifest = store.manifest()
-    disk = discover(spark, globs).withColumn("file", plain(F.col("file")))
+    disk = discover(spark, globs).select(plain(F.col("file")).alias("file"), "size", F.unix_millis("modified").alias("modified"))
     rejects = store.read("rejects", manifest)
     known = store.read("files", manifest).unionByName(rejects.drop("reason"))
     seen = changes(disk, known).join(rejects.select("file", "reason"), "file", "left").collect()
@@ -90,7 +90,7 @@ def ingest(
         drop += [r["drop"] for r in ends if r["drop"] is not None]
     others = [r for r in todo if r.file not in direct]
     if others:
-        scanned = _staged(store, scan_messages(spark, [r.file for r in others], start_re, date_layout).withColumn("file", plain(F.col("file"))))
+        scanned = _staged(store, scan_messages(spark, [r.file for r in others], start_re, date_layout, _staging(store)).withColumn("file", plain(F.col("file"))))
         ends = _kept_by_scan(spark, segments, scanned, [r for r in others if r in grown], segment_length)
         start |= {r.file: r.end for r in ends}
         drop += [r["drop"] for r in ends if r["drop"] is not None]
@@ -132,9 +132,14 @@ def ingest(
     return counts
 
 
+def _staging(store: Store) -> str:
+    """A folder that the next cleaning deletes."""
+    return f"{store.root}/data/staged-{uuid.uuid4().hex}"
+
+
 def _staged(store: Store, df: DataFrame) -> DataFrame:
-    """A written copy of what is read more than once; the next cleaning deletes it."""
-    path = f"{store.root}/data/staged-{uuid.uuid4().hex}"
+    """A written copy of what is read more than once."""
+    path = _staging(store)
     df.write.parquet(path)
     return store.spark.read.schema(df.schema).parquet(path)
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..workers import shared_dir
+from ..workers import own_dir
 
 
 def ranked(rows: DataFrame, order: list[str | Column], name: str = "nth") -> DataFrame:
@@ -16,7 +14,7 @@ def ranked(rows: DataFrame, order: list[str | Column], name: str = "nth") -> Dat
     numbered for itself, and adds the rows of those before it: one number a part is all that tasks share.
     """
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-rank-{uuid.uuid4().hex}"
+    path = own_dir(spark, "rank")
     rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("_at")).write.parquet(path)
     placed = spark.read.parquet(path)
     before, total = [], 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, functions as F
@@ -17,7 +18,8 @@ _ids = threading.Lock()
 
 
 class Results:
-    """Each query's hits are a folder of their own, written once; its metadata is one row, replaced when it is done."""
+    """Each query's hits are a folder of their own, written by parts; its metadata is a row for each report, of which the last
+    counts. Nothing is written over, so readers are never in the way."""
 
     def __init__(self, store: Store):
         self.store, self.spark = store, store.spark
@@ -41,7 +43,8 @@ class Results:
         return [int(s.getPath().getName()) for s in fs.listStatus(p)]
 
     def _describe(self, *row) -> None:
-        self.spark.createDataFrame([row], QUERY).coalesce(1).drop("query_id").write.mode("overwrite").parquet(self._path("queries", row[0]))
+        report = self.spark.createDataFrame([row], QUERY).coalesce(1).drop("query_id").withColumn("report", F.lit(time.time_ns()))
+        report.write.mode("append").parquet(self._path("queries", row[0]))
 
     def submit(self, text: str, found: DataFrame, date_min: datetime | None = None, date_max: datetime | None = None, wait: bool = True, cuts: list[int] | None = None) -> int:
         """Stores the hits of ``found`` under a new id; with ``wait`` false the id returns while they are being written.
@@ -80,7 +83,9 @@ class Results:
     def list(self, ids: list[int] | None = None) -> DataFrame:
         """Metadata of all queries, or of ``ids``, newest first."""
         path = self._path("queries")
-        rows = self.spark.read.schema(QUERY).parquet(path) if self.store.exists(path) else self.spark.createDataFrame([], QUERY)
+        rows = self.spark.read.schema(f"{QUERY}, report long").parquet(path) if self.store.exists(path) else self.spark.createDataFrame([], f"{QUERY}, report long")
+        last = rows.groupBy("query_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("query_id", "report")]), "report").alias("q"))
+        rows = last.select("query_id", "q.*")
         return history(rows if ids is None else rows.where(F.col("query_id").isin(ids)))
 
     def page(self, query_id: int, skip: int = 0, limit: int = 100) -> DataFrame:

@@ -12,10 +12,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Schemas. ``files`` and ``rejects`` are written anew with each generation; the others add up.
+#: Schemas; ``modified`` is in milliseconds since the epoch. ``files`` and ``rejects`` are written anew with each generation; the others add up.
 TABLES = {
-    "files": "file string, size long, modified timestamp",
-    "rejects": "file string, size long, modified timestamp, reason string",
+    "files": "file string, size long, modified long",
+    "rejects": "file string, size long, modified long, reason string",
     "segments": "file string, segment_id long, pos_from long, pos_to long, date_min timestamp, date_max timestamp, messages long",
     "messages": "file string, pos_from long, pos_to long, date_from long, date_to long, date_text string, date_at int, is_tail boolean, body string, segment_id long, date timestamp",
     "postings": "term string, segment_id long",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -26,7 +25,7 @@ from .sources.discover import discover
 from .sources.ranges import read_ranges, splits_of
 from .sources.scan import scan_messages
 from .streaming.tail import hits_by_time, standing_query
-from .workers import shared_dir, spread
+from .workers import delete, own_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,7 +199,7 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The postings of documents as they are stored: sorted by term."""
 
     def make() -> str:
-        path = f"{shared_dir(spark)}/tidemark-index-{uuid.uuid4().hex}"
+        path = own_dir(spark, "index")
         compact(postings(_documents(spark, sf_dir)), 4).write.parquet(path)
         return path
 
@@ -463,7 +462,7 @@ def _write_logs(spark: SparkSession, docs: DataFrame, folder: str) -> None:
     """Writes ``folder/SOURCE.log`` for every source; a file that is there is written anew."""
     stamp = F.date_format(F.expr("timestampadd(SECOND, doc_id, TIMESTAMP_NTZ'2024-01-01')"), "yyyy-MM-dd'T'HH:mm:ss")
     line = F.concat(F.lit("["), stamp, F.lit("] "), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("text", F.lit("")))
-    at = f"{folder}-{uuid.uuid4().hex}"
+    at = own_dir(spark, "text")
     docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", line.alias("value")).write.partitionBy("source").text(at)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -472,7 +471,7 @@ def _write_logs(spark: SparkSession, docs: DataFrame, folder: str) -> None:
         to = path(f"{folder}/{made.getPath().getParent().getName().partition('=')[2]}.log")
         fs.delete(to, False)
         fs.rename(made.getPath(), to)
-    fs.delete(path(at), True)
+    delete(spark, at)
 
 
 def _engine(spark: SparkSession, folder: str) -> Engine:
@@ -482,15 +481,11 @@ def _engine(spark: SparkSession, folder: str) -> Engine:
     return Engine(spark, Config(f"{folder}/logs/*.log", store, START, LAYOUT, segment_length=20_000))
 
 
-def _new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tidemark-logs-{uuid.uuid4().hex}"
-
-
 def _logs(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine that has indexed the documents' logs."""
 
     def make() -> Engine:
-        folder = _new_folder(spark)
+        folder = own_dir(spark, "logs")
         _write_logs(spark, _table(spark, sf_dir, "documents"), f"{folder}/logs")
         engine = _engine(spark, folder)
         engine.ingest()
@@ -577,7 +572,7 @@ def _reconciled(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine that has seen its logs grow, one of them vanish, one appear and one be written anew; merged afterwards."""
 
     def make() -> Engine:
-        folder, docs = _new_folder(spark), _table(spark, sf_dir, "documents")
+        folder, docs = own_dir(spark, "logs"), _table(spark, sf_dir, "documents")
         _write_logs(spark, docs.where("source <> 'src3' AND doc_id < 300"), f"{folder}/logs")
         engine = _engine(spark, folder)
         engine.ingest()
@@ -686,7 +681,7 @@ def http_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streamed(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What a stream of the events ends in."""
     events = table_messages(spark, sf_dir, "events").withColumn("date", F.col("date").cast("timestamp"))
-    folder = f"{shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}"
+    folder = own_dir(spark, "stream")
     events.write.parquet(f"{folder}/in")
     out = make(spark.readStream.schema(events.schema).parquet(f"{folder}/in"))
     out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()

@@ -6,14 +6,13 @@ Files that executors can open by themselves are read by ``ranges``, which needs
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.dates import parse_date
-from ..workers import prepare, shared_dir
+from ..workers import own_dir, prepare
 
 #: ``part``: 0 messages, 1 those that meet others of another split, 2 the length of a split.
 _FOUND = "part int, file string, block long, size long, at long, bytes long, date_at_byte int, date_bytes int, date_text string, date_at int, last boolean, body string"
@@ -76,7 +75,7 @@ def _finder(start_re: str):
     return find
 
 
-def scan_messages(spark: SparkSession, files: list[str], start_re: str, date_layout: str | None = None) -> DataFrame:
+def scan_messages(spark: SparkSession, files: list[str], start_re: str, date_layout: str | None = None, at: str | None = None) -> DataFrame:
     """``(file, pos_from, pos_to, date_from, date_to, date_text, date_at, is_tail, body, date)`` of every message.
 
     Group 1 of ``start_re`` is the date; ``^`` and ``$`` match at lines. A start should not span lines, as splits are cut
@@ -84,13 +83,13 @@ def scan_messages(spark: SparkSession, files: list[str], start_re: str, date_lay
     match belongs to no message.
 
     Files are read in splits like any text, so their size does not matter, and messages are found where they are read, in
-    one pass that is written once, below the shared folder. Of each split only its length, the message that it ends in
+    one pass that is written once, to ``at`` or below the shared folder. Of each split only its length, the message that it ends in
     and what it begins with meet others of the same file.
     """
     prepare(spark)
     raw = spark.read.option("lineSep", "\n").text(files)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), "value")
-    path = f"{shared_dir(spark)}/tidemark-scan-{uuid.uuid4().hex}"
+    path = at or own_dir(spark, "scan")
     raw.select("file", "block", "size", F.col("value").cast("binary").alias("value")).mapInPandas(_finder(start_re), _FOUND).write.partitionBy("part").parquet(path)
     found = spark.read.schema(_FOUND.partition(", ")[2] + ", part int").parquet(path)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

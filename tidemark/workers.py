@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def own_dir(spark: SparkSession, kind: str) -> str:
+    """A new path below the shared folder; what is there is deleted when the interpreter ends."""
+
+    def forget() -> None:
+        try:
+            delete(spark, path)
+        except Exception:  # the session is gone: its owner cleans the folder
+            pass
+
+    path = f"{shared_dir(spark)}/tidemark-{kind}-{uuid.uuid4().hex}"
+    atexit.register(forget)
+    return path
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table read from files, with work for every core if it is small.
 
