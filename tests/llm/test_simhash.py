@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -205,6 +206,16 @@ def test_link_wide_equals_brute_force():
         assert (s.link_wide(fps, member, s.wide_threshold()) == linked(len(fps), i, j)).all()
 
 
+def test_query_equals_its_sql(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [*enumerate(near_copies(30, rng)), (500, None), (501, ""), (502, "One two"), (502, "A B c d E"), (None, "A B c d E"), (None, "alone " * 9), (503, " ".join("w" * n for n in range(1, 90))), (504, "Å é ü 東京 " * 7), (505, "x" * 5000)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(repr, map(tuple, s.op2_simhash_near_dedup(spark, str(tmp_path)).collect())))
+    assert got == sorted(map(repr, con.sql(s.ORACLE["op2_simhash_near_dedup"]).fetchall()))
+
+
 def test_null_ids_repeated_rows_and_empty(spark):
     rows = [(None, "alone in this text here"), (None, "shared text of two rows"), (5, "shared text of two rows"), (5, "shared text of two rows")]
     out = s.near_duplicates(documents(spark, rows), Scratch(spark)).collect()

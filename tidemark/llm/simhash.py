@@ -46,6 +46,9 @@ from .words import spans
 
 SEED, SHINGLE, THRESHOLD = 42, 4, 4
 BANDS = 3
+#: The primes of XXH64.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Distinct fingerprints that trees are planned from at most; members a shard is planned for; of a block.
 SAMPLE, SHARD, LEAF = 8192, 16_384, 64
 FULL = np.uint64(2**64 - 1)
@@ -445,5 +448,51 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def _oracle() -> str:
+    """XXH64 by its definition: a table of shingles in which every step reads some more bytes of each."""
+    p1, p2, p3, p4, p5 = PRIMES
+    wide = lambda x: f"({x})::UHUGEINT"
+    mul = lambda a, b: f"({wide(a)} * {wide(b)} % {2**64})"
+    add = lambda *a: f"(({' + '.join(map(wide, a))}) % {2**64})"
+    rotl = lambda x, r: f"({wide(x)} * {2**r} % {2**64} + {wide(x)} // {2 ** (64 - r)})"
+    xor = lambda a, b: f"xor(({a})::UBIGINT, ({b})::UBIGINT)"
+    little = lambda at, n: "('0x' || " + " || ".join(f"substr(x, 2 * ({at} + {k}) + 1, 2)" for k in reversed(range(n))) + ")::UBIGINT"
+    stripe = lambda k: f"CASE WHEN state = 0 AND n - p >= 32 THEN {mul(rotl(add(f'v{k}', mul(f'l{k}', p2)), 31), p1)} ELSE v{k} END::UBIGINT"
+    merged = add(*[rotl(f"v{k + 1}", r) for k, r in enumerate((1, 7, 12, 18))])
+    for k in range(1, 5):
+        merged = add(mul(xor(merged, mul(rotl(mul(f"v{k}", p2), 31), p1)), p1), p4)
+    eight = add(mul(rotl(xor("h", mul(rotl(mul("l1", p2), 31), p1)), 27), p1), p4)
+    four = add(mul(rotl(xor("h", mul("l5", p1)), 23), p2), p3)
+    one = mul(rotl(xor("h", mul("l6", p5)), 11), p1)
+    bits = ", ".join(f"sum(h // {2**b} % 2) AS b{b}" for b in range(64))
+    back = " + ".join(f"CASE WHEN 2 * b{b} > total THEN {2**b}::UHUGEINT ELSE 0 END" for b in range(64))
+    return rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT k, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s FROM (SELECT k, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+r(s, x, n, p, state, v1, v2, v3, v4, h) AS (
+  SELECT s, hex(encode(s)), strlen(s), 0::BIGINT, 0, {(SEED + p1 + p2) % 2**64}::UBIGINT, {(SEED + p2) % 2**64}::UBIGINT, {SEED}::UBIGINT, {(SEED - p1) % 2**64}::UBIGINT, 0::UBIGINT FROM (SELECT DISTINCT s FROM s)
+  UNION ALL
+  SELECT s, x, n, p + CASE WHEN state = 0 THEN CASE WHEN n - p >= 32 THEN 32 ELSE 0 END WHEN n - p >= 8 THEN 8 WHEN n - p >= 4 THEN 4 WHEN n > p THEN 1 ELSE 0 END,
+    CASE WHEN state = 0 AND n - p >= 32 THEN 0 WHEN state = 0 OR n > p THEN 1 ELSE 2 END, {stripe(1)}, {stripe(2)}, {stripe(3)}, {stripe(4)},
+    CASE WHEN state = 0 AND n - p >= 32 THEN h WHEN state = 0 AND n >= 32 THEN {add(merged, 'n')} WHEN state = 0 THEN {add(SEED + p5, 'n')}
+      WHEN n - p >= 8 THEN {eight} WHEN n - p >= 4 THEN {four} WHEN n > p THEN {one} ELSE h END::UBIGINT
+  FROM (SELECT *, CASE WHEN n - p >= 8 THEN {little('p', 8)} END AS l1, {', '.join(f"CASE WHEN n - p >= 32 THEN {little(f'p + {8 * k}', 8)} END AS l{k + 1}" for k in (1, 2, 3))},
+          CASE WHEN n - p >= 4 THEN {little('p', 4)} END AS l5, CASE WHEN n > p THEN {little('p', 1)} END AS l6 FROM r WHERE state < 2)),
+a1 AS (SELECT s, {xor('h', f'h // {2**33}')} AS h FROM r WHERE state = 2),
+a2 AS (SELECT s, {mul('h', p2)}::UBIGINT AS h FROM a1),
+a3 AS (SELECT s, {mul(xor('h', f'h // {2**29}'), p3)}::UBIGINT AS h FROM a2),
+hashed AS MATERIALIZED (SELECT s, {xor('h', f'h // {2**32}')} AS h FROM a3),
+counted AS (SELECT k, count(*) AS total, {bits} FROM s JOIN hashed USING (s) GROUP BY k),
+prints AS MATERIALIZED (SELECT d.k, doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM d LEFT JOIN (SELECT k, ({back})::UBIGINT AS fp FROM counted) USING (k)),
+reps AS MATERIALIZED (SELECT fp, min(doc_id) AS rep FROM prints GROUP BY fp),
+links AS MATERIALIZED (SELECT DISTINCT a.rep AS a, b.rep AS b FROM reps a JOIN reps b ON bit_count(xor(a.fp, b.fp)) <= {THRESHOLD} WHERE a.rep IS NOT NULL AND b.rep IS NOT NULL),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+classes AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, lpad(lower(hex(fp)), 16, '0') AS fingerprint, component AS component_id FROM prints JOIN reps USING (fp) LEFT JOIN classes USING (rep)
+"""
+
+
 QUERIES = {"op2_simhash_near_dedup": op2_simhash_near_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_simhash_near_dedup": _oracle()}
