@@ -121,8 +121,11 @@ def ingest(
     set_aside = [(f, now[f]["size"], now[f].modified, reason) for f, reason in sorted(rejected.items())]
     terms = postings(messages, F.col("body"), shortest, longest).sortWithinPartitions("term", "segment_id")
     add = {"messages": [written], "segments": [store.write("segments", good)], "postings": [store.write("postings", terms)]}
-    add["dropped"] = [store.write("dropped", dropped)] if whole or drop or reasons else []
-    replace = {"files": [store.write("files", spark.createDataFrame(files, TABLES["files"]).coalesce(1))], "rejects": [store.write("rejects", spark.createDataFrame(set_aside, TABLES["rejects"]).coalesce(1))]}
+    known_before = {r.file for r in seen if r.before is not None}
+    if drop or reasons or known_before & set(whole):
+        add["dropped"] = [store.write("dropped", dropped)]
+    replace = {"files": [store.write("files", spark.createDataFrame(files, TABLES["files"]).coalesce(1))]}
+    replace["rejects"] = [store.write("rejects", spark.createDataFrame(set_aside, TABLES["rejects"]).coalesce(1))] if set_aside else []
     store.commit(manifest, add, replace, next_segment)
     store.clean()
     counts |= {"rejected": len(reasons), "indexed": len(todo) - len(reasons)}
