@@ -244,6 +244,7 @@ def test_a_crash_changes_nothing(spark, logs, monkeypatch):
     before = snapshot(engine), terms_of(engine)
     (logs / "logs" / "1.log").write_text(LOG1 * 2)
     (logs / "logs" / "2.log").unlink()
+    (logs / "logs" / "3.log").write_text("no start")
     write = engine.store.write
     for step in ("messages", "segments", "postings", "dropped", "files", "rejects", "commit"):
         with monkeypatch.context() as m:
@@ -256,7 +257,7 @@ def test_a_crash_changes_nothing(spark, logs, monkeypatch):
         assert (snapshot(engine), terms_of(engine)) == before, step
     (logs / "store" / "manifests" / "99.json").write_text('{"version": 99, "tab')  # cut short
     assert snapshot(engine) == before[0]
-    assert engine.ingest() == {"indexed": 1, "rejected": 0, "removed": 1, "unchanged": 0} and len(snapshot(engine)) == 20
+    assert engine.ingest() == {"indexed": 1, "rejected": 1, "removed": 1, "unchanged": 0} and len(snapshot(engine)) == 20
     stale = engine.store.manifest()
     engine.compact()
     with pytest.raises(Conflict):
