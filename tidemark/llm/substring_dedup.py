@@ -38,7 +38,7 @@ ROWS = 2
 #: Sketch cells per window and row; windows of one shard.
 CELLS, SHARD_WINDOWS = 4, 1 << 21
 #: Cells of a segment, and bytes of text of a batch: at least and at most. Both grow with the corpus in between.
-SEGMENTS, BATCHES = (1 << 22, 1 << 27), (8 << 20, 32 << 20)
+SEGMENTS, BATCHES = (1 << 22, 1 << 27), (4 << 20, 32 << 20)
 #: Bytes of text per window that the sketch is planned for.
 BYTES_A_WINDOW = 8
 
