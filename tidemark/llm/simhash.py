@@ -80,12 +80,14 @@ def wide_fingerprint(text: str | None, width: int = SIMILAR_SHINGLE, words: int
     width, digest = min(width, len(starts)), xxhash.xxh64_intdigest
     h = np.unique(np.array([digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends[width - 1 :].tolist())], "<u8"))
     ones, step = np.zeros(64 * words, np.int64), np.arange(1, words + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(h), 1 << 12):
-        z = h[at : at + (1 << 12), None] + step  # each shingle's own stream of bits
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    for at in range(0, len(h), 255):  # as many as a byte counts, so bits are added up as bytes
+        z = h[at : at + 255, None] + step  # each shingle's own stream of bits
+        z ^= z >> np.uint64(30)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(27)
+        z *= np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
-        ones += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
     return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
 
 
