@@ -238,6 +238,25 @@ def test_appends_read_and_write_only_what_is_new(spark, logs, monkeypatch):
     assert snapshot(engine) == before and engine.store.manifest()["tables"]["dropped"] == [] and engine.search("@LOGIN").count() == 51
 
 
+@pytest.mark.parametrize("direct", [True, False])
+def test_only_the_last_message_of_a_file_that_grew_is_its_end(spark, logs, monkeypatch, direct):
+    if not direct:
+        monkeypatch.setattr(ingest_module, "opens", lambda file: False)
+    engine = Engine(spark, config(logs, segment_length=50))  # every message but one fills a segment: the last one too
+    engine.ingest()
+    one, line = logs / "logs" / "1.log", "[2024-07-31T00:00:0{}.000000+00:00] more than fifty bytes\n".format
+    ends = lambda: [r.pos_from for r in engine.store.read("messages").where("file LIKE '%1.log' AND is_tail").collect()]
+    assert ends() == [571]
+    kept = {r.segment_id for r in engine.store.read("segments").where("file LIKE '%1.log'").collect()}
+    for k in range(2):
+        one.write_text(one.read_text() + line(k))
+        assert engine.ingest() == {"indexed": 1, "rejected": 0, "removed": 0, "unchanged": 1}
+        assert ends() == [623 + k * len(line(k))]
+    assert snapshot(engine) == [*ALL1, *[("1.log", 623 + k * len(line(k)), 623 + (k + 1) * len(line(k))) for k in range(2)], *ALL2]
+    assert len(kept - {r.segment_id for r in engine.store.read("segments").collect()}) == 1  # the others stay
+    assert terms_of(engine) == terms_of(engine, fresh=f"{logs}/fresh")
+
+
 def test_a_crash_changes_nothing(spark, logs, monkeypatch):
     engine = Engine(spark, config(logs, segment_length=100))
     engine.ingest()

@@ -1,7 +1,8 @@
 """Index building: brings the tables to what the files on disk hold now, reading only what is new.
 
 A file is read from its first byte that no kept segment covers. Which segments of a file that grew may be kept is told by
-reading the lines at their ends: a message must still begin there. Files that executors cannot open by their path are
+reading the lines that they begin with: a message must still begin there. Its last segment is always read again, as the
+message that ended the file now ends before another, or goes on. Files that executors cannot open by their path are
 read by Spark's reader instead, whole, and their segments are compared with all their messages.
 """
 
@@ -17,7 +18,7 @@ from ..sources.discover import discover
 from ..sources.ranges import opens, read_ranges, split_bytes, splits_of, still_starts
 from ..sources.scan import scan_messages
 from .postings import compact, postings
-from .segments import SEGMENT_LENGTH, assign_segments, incomplete_trailing, misaligned_files, segment_bounds
+from .segments import SEGMENT_LENGTH, assign_segments, misaligned_files, segment_bounds
 from .store import TABLES, Store
 
 log = logging.getLogger("tidemark.ingest")
@@ -41,19 +42,18 @@ def changes(disk: DataFrame, known: DataFrame) -> DataFrame:
     return disk.join(old, "file", "full").select("file", "size", "modified", "before", state.alias("state"))
 
 
-def kept_ends(segments: DataFrame, grown: DataFrame, start_re: str, segment_length: int) -> DataFrame:
-    """``(file, end, drop)`` of files that grew: up to where their segments are kept, and the last one's id if it is not.
+def kept_ends(segments: DataFrame, grown: DataFrame, start_re: str) -> DataFrame:
+    """``(file, end, drop)`` of files that grew: up to where their segments are kept, and the last one's id, which is not.
 
-    All are kept whose ends are still beginnings of messages, but for a last one that is short or that now goes on; none
-    (``end`` 0) where any other is not, as the file has been written anew.
+    All but the last are kept if messages still begin where segments do; none (``end`` 0) where one does not, as the file
+    has been written anew. The last one goes even if it is full: its last message is marked as the file's end.
     """
     own = segments.join(grown.select("file", "size"), "file").select("file", "segment_id", "pos_from", "pos_to", "size")
     probed = still_starts(own.sortWithinPartitions("file", "pos_from"), start_re)
-    last = F.max_by(F.struct("segment_id", "pos_from", "pos_to", "to_ok"), "pos_to")
-    by_file = probed.groupBy("file").agg(F.min(F.col("from_ok").cast("int")).alias("ok"), last.alias("l"))
-    again = (F.col("l.pos_to") - F.col("l.pos_from") < segment_length) | ~F.col("l.to_ok")
-    end = F.when(F.col("ok") == 0, 0).when(again, F.col("l.pos_from")).otherwise(F.col("l.pos_to"))
-    return by_file.select("file", end.cast("long").alias("end"), F.when((F.col("ok") == 1) & again, F.col("l.segment_id")).alias("drop"))
+    last = F.max_by(F.struct("segment_id", "pos_from"), "pos_to")
+    by_file = probed.groupBy("file").agg(F.min(F.col("ok").cast("int")).alias("ok"), last.alias("l"))
+    end = F.when(F.col("ok") == 0, 0).otherwise(F.col("l.pos_from"))
+    return by_file.select("file", end.cast("long").alias("end"), F.when(F.col("ok") == 1, F.col("l.segment_id")).alias("drop"))
 
 
 def ingest(
@@ -62,7 +62,7 @@ def ingest(
     """Reconciles the tables with the files; returns how many files were indexed, rejected, removed and left as they were.
 
     * Files that are gone lose their rows; files of the size and time that are indexed are not read.
-    * A file that grew keeps the segments that still begin and end at messages, but for a short last one; what follows is
+    * A file that grew keeps the segments that still begin at messages, but for the last one; that and what follows is
       indexed. One whose segments do not, or that was written anew, is indexed from its beginning.
     * A file with a date that cannot be read, or without any message, is set aside, with all its messages and the reason,
       until it changes.
@@ -85,13 +85,13 @@ def ingest(
     start, drop = dict.fromkeys((r.file for r in todo), 0), []
     scanned = None
     if any(r.file in direct for r in grown):
-        ends = kept_ends(segments, spark.createDataFrame([(r.file, r["size"]) for r in grown if r.file in direct], "file string, size long"), start_re, segment_length).collect()
+        ends = kept_ends(segments, spark.createDataFrame([(r.file, r["size"]) for r in grown if r.file in direct], "file string, size long"), start_re).collect()
         start |= {r.file: r.end for r in ends}
         drop += [r["drop"] for r in ends if r["drop"] is not None]
     others = [r for r in todo if r.file not in direct]
     if others:
         scanned = _staged(store, scan_messages(spark, [r.file for r in others], start_re, date_layout, _staging(store)).withColumn("file", plain(F.col("file"))))
-        ends = _kept_by_scan(spark, segments, scanned, [r for r in others if r in grown], segment_length)
+        ends = _kept_by_scan(spark, segments, scanned, [r for r in others if r in grown])
         start |= {r.file: r.end for r in ends}
         drop += [r["drop"] for r in ends if r["drop"] is not None]
     whole = [r.file for r in (*gone, *todo) if start.get(r.file, 0) == 0]  # whatever is known of these goes
@@ -147,21 +147,17 @@ def _staged(store: Store, df: DataFrame) -> DataFrame:
     return store.spark.read.schema(df.schema).parquet(path)
 
 
-def _kept_by_scan(spark: SparkSession, segments: DataFrame, scanned: DataFrame, grown: list, segment_length: int) -> list:
+def _kept_by_scan(spark: SparkSession, segments: DataFrame, scanned: DataFrame, grown: list) -> list:
     """The same as ``kept_ends``, by comparison with all messages of the files."""
-    files = spark.createDataFrame([(r.file, r["size"]) for r in grown], "file string, size long")
-    own = segments.join(files.select("file"), "file", "left_semi")
-    short = incomplete_trailing(own, files, segment_length).select("file", F.col("segment_id").alias("short"))
-    last = own.groupBy("file").agg(F.max_by(F.struct("segment_id", "pos_from", "pos_to"), "pos_to").alias("l")).join(short, "file", "left")
-    goes_on = last.select("file", F.col("l.pos_to").alias("pos_to")).join(scanned.select("file", "pos_to"), ["file", "pos_to"], "left_anti").select("file", F.lit(True).alias("on"))
+    files = spark.createDataFrame([(r.file,) for r in grown], "file string")
+    own = segments.join(files, "file", "left_semi")
+    last = own.groupBy("file").agg(F.max_by(F.struct("segment_id", "pos_from"), "pos_to").alias("l"))
     body = own.join(last.select("file", F.col("l.segment_id").alias("segment_id")), ["file", "segment_id"], "left_anti")
     wrong = misaligned_files(body, scanned).select("file", F.lit(True).alias("wrong"))
     moved = last.select("file", F.col("l.pos_from").alias("pos_from")).join(scanned.select("file", "pos_from"), ["file", "pos_from"], "left_anti").select("file", F.lit(True).alias("moved"))
-    again = F.col("short").isNotNull() | F.col("on").isNotNull()
     ok = F.col("wrong").isNull() & F.col("moved").isNull()
-    end = F.when(~ok, 0).when(again, F.col("l.pos_from")).otherwise(F.col("l.pos_to"))
-    every = last.join(wrong, "file", "left").join(moved, "file", "left").join(goes_on, "file", "left")
-    return every.select("file", end.cast("long").alias("end"), F.when(ok & again, F.col("l.segment_id")).alias("drop")).collect()
+    every = last.join(wrong, "file", "left").join(moved, "file", "left")
+    return every.select("file", F.when(ok, F.col("l.pos_from")).otherwise(0).cast("long").alias("end"), F.when(ok, F.col("l.segment_id")).alias("drop")).collect()
 
 
 def _numbered(spark: SparkSession, scanned: DataFrame, start: dict[str, int], first: dict[str, int], segment_length: int) -> DataFrame:
